@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from graphloom.llm import media_ts, packing, simhash, token_counts
+from graphloom.llm import decontamination, line_dedup, media_ts, packing, simhash, token_counts
 
 QUERIES = {
     "op4_media_ts": media_ts.query,
+    "op5_decontamination": decontamination.query,
     "op7_token_counts": token_counts.query,
     "op8_best_fit_packing": packing.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_simhash": simhash.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_line_dedup": line_dedup.SQL,
+}
