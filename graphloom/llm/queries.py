@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, line_dedup, media_ts, packing, simhash, token_counts
+from graphloom.llm import decontamination, line_dedup, lm_scoring, media_ts, packing, simhash, token_counts
 
 QUERIES = {
+    "op3_lm_scoring": lm_scoring.query,
     "op4_media_ts": media_ts.query,
     "op5_decontamination": decontamination.query,
     "op7_token_counts": token_counts.query,
