@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, line_dedup, lm_scoring, media_ts, packing, simhash, token_counts
+from graphloom.llm import decontamination, line_dedup, lm_scoring, media_ts, packing, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op3_lm_scoring": lm_scoring.query,
     "op4_media_ts": media_ts.query,
     "op5_decontamination": decontamination.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_token_counts": token_counts.query,
     "op8_best_fit_packing": packing.query,
     "op9_line_dedup": line_dedup.query,
