@@ -12,8 +12,11 @@ Null and empty texts are documents of the end id alone. Every row is packed, rep
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,41 +29,72 @@ from graphloom.llm.common import cut, documents, table
 CAPACITY, END_ID = 4096, 1
 #: Pieces a partition holds on average; its packing is done in one task.
 PART_PIECES = 100_000
-CACHED_CHUNKS, CACHED_LENGTH = 250_000, 64
+#: What a worker remembers at most; then it forgets all of the kind.
+CACHED_CHUNKS, CACHED_WORDS, CACHED_LENGTH = 600_000, 600_000, 64
 
 
 class Encoder:
-    """Little-endian uint32 ids of texts. The tokenizer drops white space and looks at nothing
-    across a space, so the ids of the parts between spaces, remembered, make up those of a text."""
+    """Little-endian uint32 ids of texts.
+
+    The tokenizer drops white space and looks at nothing across it, so the ids of the chunks between spaces and
+    line ends, remembered, make up those of a text. A chunk of plain Latin letters and ASCII marks after them is
+    two of the tokenizer's words, whatever its case, which are remembered too.
+    """
+
+    PLAIN = re.compile(r"([a-zà-öø-ÿœß]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(tokenizer_file), {}
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.seen: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(chunks), 4000):
+            some = chunks[at : at + 4000]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                yield c, array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.seen) > CACHED_CHUNKS:
             self.seen = {}
-        seen, parts = self.seen, [t.split(" ") for t in texts]
-        new = list({c for p in parts for c in p if c not in seen})
-        long = {}
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for c, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                (seen if len(c) <= CACHED_LENGTH else long)[c] = np.array(e.ids, "<u4").tobytes()
-        if long:
-            return [b"".join([long[c] if c in long else seen[c] for c in p]) for p in parts]
+        if len(self.words) > CACHED_WORDS:
+            self.words = {"": b""}
+        seen, words = self.seen, self.words
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        new = {c for p in parts for c in p if c not in seen}
+        plain, others = [], []
+        for c in new:
+            if len(c) <= CACHED_LENGTH and (m := self.PLAIN.fullmatch(c.lower())):
+                plain.append((c, *m.groups()))
+            else:
+                others.append(c)
+        words.update(self.encoded(list({w for _, *both in plain for w in both if w not in words})))
+        for c, letters, marks in plain:
+            seen[c] = words[letters] + words[marks]
+        passing = {}
+        for c, ids in self.encoded(others):
+            (seen if len(c) <= CACHED_LENGTH else passing)[c] = ids
+        if passing:
+            return [b"".join([passing[c] if c in passing else seen[c] for c in p]) for p in parts]
         return [b"".join([seen[c] for c in p]) for p in parts]
 
 
+@lru_cache(2)
+def encoder(tokenizer_file: str) -> Encoder:
+    """One for each worker process: its next task finds the words of the last."""
+    return Encoder(tokenizer_file)
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_key, piece, start, length, ids_crc32[, ids]) of each text's pieces; ids are bytes of uint32."""
     names = ["doc_id", "doc_key", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = Encoder(tokenizer_file), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encode, end, step = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows = []
             for d, k, ids in zip(b.column("doc_id").to_pylist(), b.column("doc_key").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
@@ -172,8 +206,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = 4, part_piece
     return placed
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
+    """The pieces of ``docs`` and their places."""
     import public_tokenizers
 
-    items = cut(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "pieces")
+    items = cut(pieces(docs, tokenizer_file or public_tokenizers.path("word_bpe_49k.json")), "pieces")
     return pack(items).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from fixtures import awkward, frame
 from tokenizers import Tokenizer
 
 from graphloom.llm.common import cut
-from graphloom.llm.packing import best_fit, lower_bound, pack, pieces
+from graphloom.llm.packing import Encoder, best_fit, lower_bound, pack, pieces
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -40,6 +40,14 @@ def test_ids_are_kept_on_request(spark):
     assert ids == [[*Tokenizer.from_file(FILE).encode("the the", add_special_tokens=False).ids, 1]]
 
 
+def test_chunks_equal_the_tokenizer():
+    t, e, r = Tokenizer.from_file(FILE), Encoder(FILE), random.Random(8)
+    letters = list("abzAZéÉñßœŒÿŸøØàÇ'.,!?-_`~|<>{}[]()0 9\n\t\x1c\u00a0İKÅµſ日") + ["e\u0301", "'s", "'LL", "<|endoftext|>", "\r\n", "***", "\u200b"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 12))) for _ in range(20_000)]
+    for text, ids in zip(texts, e(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def brute(lengths, capacity):
     """The fewest bins, by search."""
     best = [len(lengths)]
