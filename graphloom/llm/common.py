@@ -53,11 +53,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, doc_key): no null texts; doc_key identifies a document by id and text."""
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, doc_key, _0, _1, ...): no null texts; doc_key identifies a document by id and text. _i is the
+    i-th of the carried columns, whose names may be any."""
     prepare(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return d.withColumn("doc_key", F.xxhash64("doc_id", "text"))
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    d = docs.select(*own, *(F.col(c).alias(f"_{i}") for i, c in enumerate(carried)))
+    return d.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_key"), *(f"_{i}" for i in range(len(carried))))
 
 
 def prepare(spark: SparkSession) -> None:

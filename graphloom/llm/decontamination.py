@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import documents, table
+from graphloom.llm.common import documents, prepare, table
 
 MIN_WORDS, EDITS_PER_WORD = 5, 5
 WALKS, TABLES, SAMPLES = 16, 8, 3
@@ -271,5 +271,21 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out
 
 
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; no shuffle."""
+    prepare(docs.sparkSession)
+    for block in item_blocks(items, item_col, item_text_col):
+        index = docs.sparkSession.sparkContext.broadcast(Index(block))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = [t or "" for t in b.column(text_col).to_pylist()]
+                held = {x for x, *_ in index.value.search(texts)}
+                yield b.filter(pa.array([i not in held for i in range(len(texts))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc_key")

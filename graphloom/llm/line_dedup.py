@@ -69,14 +69,27 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return words.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("keep"))
 
 
-def kept_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, doc_key, n_lines, n_dropped, kept): the texts under their bitmaps."""
-    d = documents(docs, id_col, text_col).join(bitmaps, "doc_key", "left")
+def _under(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``documents`` with lines and those that stay."""
+    d = documents(docs, id_col, text_col, carried).join(bitmaps, "doc_key", "left")
     d = d.withColumn("lines", F.split("text", "\n", -1))
     d = d.withColumn("words", F.expr("transform(sequence(0L, element_at(keep, -1).word), w -> coalesce(map_from_entries(keep)[w], -1L))"))
     stay = F.expr("filter(lines, (x, i) -> getbit(coalesce(get(words, cast(i div 64 as int)), -1L), i % 64) = 1)")
-    d = d.withColumn("stay", F.when(F.col("keep").isNull(), F.col("lines")).otherwise(stay))
-    return d.select("doc_id", "doc_key", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))
+    return d.withColumn("stay", F.when(F.col("keep").isNull(), F.col("lines")).otherwise(stay))
+
+
+def kept_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, doc_key, n_lines, n_dropped, kept): the texts under their bitmaps."""
+    counts = [F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped")]
+    return _under(docs, bitmaps, id_col, text_col).select("doc_id", "doc_key", *counts, F.array_join("stay", "\n").alias("kept"))
+
+
+def deduplicated(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the kept texts in place of theirs; their sizes in code points go to ``size_col``, if it is there."""
+    names = tuple(docs.columns)
+    kept = F.array_join("stay", "\n")
+    new = {text_col: kept, size_col: F.char_length(kept).cast("long")}
+    return _under(docs, bitmaps, id_col, text_col, names).select(*(new.get(c, F.col(f"_{i}")).alias(c) for i, c in enumerate(names)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

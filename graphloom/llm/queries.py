@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, line_dedup, lm_scoring, media_ts, packing, simhash, substring_dedup, suffix_dedup, token_counts
+from graphloom.llm import decontamination, line_dedup, lm_scoring, media_ts, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_quality": quality.query,
     "op3_lm_scoring": lm_scoring.query,
     "op4_media_ts": media_ts.query,
     "op5_decontamination": decontamination.query,

@@ -183,6 +183,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return own.join(reps, "fp").select("doc_id", "doc_key", "fp", F.when(F.col("c") != least, F.col("c")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the document of the smallest doc_id, with all its columns; of several rows of that id the
+    one of the least doc_key, once."""
+    found = near_duplicates(docs, words, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Two texts of one doc_id may lead different components: those of the fingerprint say which.
+    keepers = found.groupBy("component_id").agg(F.min("doc_key").alias("doc_key")).select("doc_key")
+    names = tuple(docs.columns)
+    own = documents(docs, id_col, text_col, names).select("doc_key", *(f"_{i}" for i in range(len(names))))
+    once = own.join(keepers.distinct(), "doc_key").groupBy("doc_key").agg(*(F.first(f"_{i}").alias(f"_{i}") for i in range(len(names))))
+    return once.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
