@@ -1,0 +1 @@
+"""Streaming: the graphs this package covers are static, so there is nothing here yet."""
