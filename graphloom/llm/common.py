@@ -11,17 +11,15 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.scratch import cut, scratch_dir
 from graphloom.plans.session import ship
 
+__all__ = ["ascii_lower", "cut", "documents", "partitions", "prepare", "scratch_dir", "table", "utf8"]
+
 #: Documents an Arrow batch holds at most: Python workers see a few MB at a time.
 BATCH_ROWS = 500
 
@@ -30,29 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, found[7:], True)
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to a table in the shared scratch folder and reads it back.
-
-    This ends the lineage: what follows survives the loss of executors without
-    recomputing, and is computed once however often it is read.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, doc_key, _0, _1, ...): no null texts; doc_key identifies a document by id and text. _i is the
     i-th of the carried columns, whose names may be any."""
