@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.finish import MOST_EDGES, small_components
 from graphloom.operators.fwbw import canonical, fw_bw, split
 from graphloom.operators.graph import Graph, alike, among, degrees
 from graphloom.operators.label import color_components, max_color, min_reachable_label
@@ -96,6 +97,19 @@ class _Run:
             if not self.state.head(1):
                 return rounds
 
+    def small(self, most: int) -> bool:
+        """Whether the rest had at most ``most`` edges; then one task has finished it."""
+        if not most or self.edges.limit(most + 1).count() > most:
+            return False
+
+        def work() -> None:
+            found = cut(small_components(self.edges, most), "small")
+            alone = self.state.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
+            self.finish(found.union(alone), "pivot")
+
+        self.phase("finish", work)
+        return True
+
     def result(self) -> Result:
         out = self.done[0]
         for d in self.done[1:]:
@@ -105,12 +119,16 @@ class _Run:
         return Result(cut(named.join(out.select("id", "kind"), "id"), "components"), self.phases)
 
 
-def hong(graph: Graph, use_trim1: bool = True, use_trim2: bool = True) -> Result:
+def hong(graph: Graph, use_trim1: bool = True, use_trim2: bool = True, finish_edges: int = 0) -> Result:
     """Trim, take out the component of the vertex of the largest degree product, trim, decompose by reachable labels,
-    and split the rest by forward-backward search of all labels at once."""
+    and split the rest by forward-backward search of all labels at once.
+
+    Any pipeline hands what is left after its first trimming to one task if it has at most ``finish_edges`` edges."""
     run = _Run(graph)
     if use_trim1:
         run.phase("trim1", run.trim1)
+    if run.small(finish_edges):
+        return run.result()
     run.phase("first pivot", run.first_pivot)
     if use_trim1:
         run.phase("trim1", run.trim1)
@@ -123,23 +141,27 @@ def hong(graph: Graph, use_trim1: bool = True, use_trim2: bool = True) -> Result
     return run.result()
 
 
-def slota(graph: Graph, use_trim1: bool = True) -> Result:
+def slota(graph: Graph, use_trim1: bool = True, finish_edges: int = 0) -> Result:
     """One pass of trimming, the component of the first pivot, and coloring for the rest."""
     run = _Run(graph)
     if use_trim1:
         run.phase("trim1", lambda: run.trim1(once=True))
+    if run.small(finish_edges):
+        return run.result()
     run.phase("first pivot", run.first_pivot)
     run.phase("coloring", run.coloring)
     return run.result()
 
 
-def partitioned(graph: Graph, use_trim1: bool = True, use_trim2: bool = True) -> Result:
+def partitioned(graph: Graph, use_trim1: bool = True, use_trim2: bool = True, finish_edges: int = 0) -> Result:
     """Trim, find components inside each part, and merge parts pair by pair."""
     if graph.parts is None:
         raise ValueError("the partitioned pipeline needs parts")
     run = _Run(graph)
     if use_trim1:
         run.phase("trim1", run.trim1)
+    if run.small(finish_edges):
+        return run.result()
     if use_trim2:
         run.phase("trim2", run.trim2)
         if use_trim1:
@@ -166,14 +188,15 @@ PIPELINES = {"g": hong, "x": hong, "h": slota, "y": slota, "d": partitioned}
 WARPS = (1, 2, 4, 8, 16, 32)
 
 
-def strong_components(graph: Graph, algorithm: str = "g", use_trim1: bool = True, use_trim2: bool = True, warp_size: int = 1) -> Result:
-    """Runs a pipeline by name; ``warp_size`` must be one of WARPS and changes nothing."""
+def strong_components(graph: Graph, algorithm: str = "g", use_trim1: bool = True, use_trim2: bool = True, warp_size: int = 1, finish_edges: int = MOST_EDGES) -> Result:
+    """Runs a pipeline by name; ``warp_size`` must be one of WARPS and changes nothing. With ``finish_edges`` 0 no rest is
+    small enough for one task."""
     if algorithm not in PIPELINES:
         raise ValueError(f"algorithm must be one of {', '.join(PIPELINES)}")
     if warp_size not in WARPS:
         raise ValueError(f"warp size must be one of {WARPS}")
     run = PIPELINES[algorithm]
-    return run(graph, use_trim1) if run is slota else run(graph, use_trim1, use_trim2)
+    return run(graph, use_trim1, finish_edges=finish_edges) if run is slota else run(graph, use_trim1, use_trim2, finish_edges)
 
 
 def component_histogram(components: DataFrame) -> DataFrame:

@@ -398,6 +398,12 @@ def scc_partitioned(graph):
     return pipelines.partitioned(graph).components.select("id", "component")
 
 
+@query("a", SCC, closure("m"))
+def scc_small_rest(graph):
+    """As scc_hong, but a rest that is small goes to one task."""
+    return pipelines.strong_components(graph).components.select("id", "component")
+
+
 @query("b", f"select count(distinct component)::bigint as n_scc, count(distinct component)::bigint as n_by_kind from ({SCC})", closure("m"))
 def scc_summary(graph):
     return pipelines.hong(graph).summary().selectExpr("n_scc", "n_trim1 + n_trim2 + n_pivot as n_by_kind")

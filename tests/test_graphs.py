@@ -6,6 +6,7 @@ from reference_model import random_graph, reachable, strong
 from graphloom.functions.tags import TAG_BITS, has_tag, packed_tag
 from graphloom.operators import label, merge, reach, trim
 from graphloom.operators import graph as g
+from graphloom.operators.finish import small_components, strong_of
 from graphloom.operators.graph import Graph
 from graphloom.operators.pivot import pivots
 from graphloom.plans import pipelines
@@ -70,7 +71,7 @@ def everything():
 @pytest.mark.parametrize("trims", [(True, True), (False, False)])
 def test_pipelines_agree_with_the_model(spark, algorithm, trims):
     n, edges, parts = everything()[trims[0]]
-    result = pipelines.strong_components(made(spark, n, edges, parts), algorithm, *trims)
+    result = pipelines.strong_components(made(spark, n, edges, parts), algorithm, *trims, finish_edges=0)
     assert pairs(result.components, "id", "component") == sorted(strong(n, edges).items())
     s = result.summary().first()
     assert s.n_scc == s.n_trim1 + s.n_trim2 + s.n_pivot
@@ -78,6 +79,25 @@ def test_pipelines_agree_with_the_model(spark, algorithm, trims):
     assert all(p["rounds"] >= 1 and p["seconds"] >= 0 for p in result.phases)
 
 
+@pytest.mark.parametrize("algorithm", ["x", "y", "d"])
+def test_small_rest(spark, algorithm):
+    n, edges, parts = everything()[1]
+    result = pipelines.strong_components(made(spark, n, edges, parts), algorithm, warp_size=32)
+    assert pairs(result.components, "id", "component") == sorted(strong(n, edges).items())
+    assert [p["phase"] for p in result.phases] == ["trim1", "finish"]
+    with pytest.raises(ValueError, match="more than 3"):
+        small_components(made(spark, n, edges).edges, 3)
+
+
+def test_one_task_against_the_model():
+    r = random.Random(5)
+    for _ in range(300):
+        n = r.randint(1, 12)
+        edges = random_graph(r, n, r.randint(0, 25))
+        want = strong(n, edges)
+        assert strong_of(edges) == {v: want[v] for e in edges for v in e}
+
+
 def test_empty_graph_and_options(spark):
     empty = Graph(spark.range(0), spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([], "id long, part long"))
     for a in "gd":
