@@ -17,7 +17,11 @@ def color_update(state: DataFrame, found: DataFrame, chosen: DataFrame, *keys: s
     the rest gets a color for each pivot and class.
 
     state: (id, keys); found: (id, fwd, bwd); chosen: (keys, pivot)."""
-    s = state.join(chosen.select(*keys, "pivot"), list(keys)) if keys else state.crossJoin(F.broadcast(chosen.select("pivot")))  # a single row
+    if keys:
+        s = state.join(chosen.select(*keys, "pivot"), list(keys))
+    else:
+        row = chosen.first()  # the only one
+        s = state.withColumn("pivot", F.lit(row.pivot if row else None).cast("long"))
     s = s.join(found, "id", "left").select("id", *keys, "pivot", F.coalesce("fwd", F.lit(False)).alias("fwd"), F.coalesce("bwd", F.lit(False)).alias("bwd"))
     done = F.col("fwd") & F.col("bwd")
     rest = [k for k in keys if k != "color"]

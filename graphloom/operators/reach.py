@@ -43,7 +43,7 @@ def reach(seeds: DataFrame, edges: DataFrame, backward: bool = False) -> tuple[D
 def reach_both(seeds: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """((id, fwd, bwd), rounds): both searches at once, one job for a level of each."""
     ways = edges.select(F.lit("f").alias("way"), "src", "dst").union(transpose(edges).select(F.lit("b"), "src", "dst"))
-    starts = seeds.select("id").crossJoin(seeds.sparkSession.createDataFrame([("f",), ("b",)], "way string"))
+    starts = seeds.select("id", F.explode(F.array(F.lit("f"), F.lit("b"))).alias("way"))
     found, rounds = search(starts, cut(ways, "ways"), ["way"])
     return found.groupBy("id").agg(F.max(F.col("way") == "f").alias("fwd"), F.max(F.col("way") == "b").alias("bwd")), rounds
 

@@ -85,7 +85,8 @@ def metis_lines(graph: Graph) -> DataFrame:
     lists = ways.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("way", "dst"))).alias("n"))
     lists = lists.select("id", F.array_join(F.transform("n", lambda x: x["dst"].cast("string")), " ").alias("line"))
     body = graph.vertices.join(lists, "id", "left").select("id", F.coalesce("line", F.lit("")).alias("line"))
-    sizes = graph.vertices.agg(F.count("*").alias("v")).crossJoin(graph.edges.agg(F.count("*").alias("e")))  # one row each
+    each = graph.vertices.select(F.lit(1).alias("v"), F.lit(0).alias("e")).union(graph.edges.select(F.lit(0), F.lit(1)))
+    sizes = each.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("e"), F.lit(0)).alias("e"))
     return sizes.select(F.lit(0).cast("long").alias("id"), F.concat_ws(" ", "v", "e").alias("line")).union(body)
 
 
