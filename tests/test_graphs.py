@@ -44,22 +44,32 @@ def pairs(df, *names):
     return sorted(tuple(r[n] for n in names) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", list(MICRO))
-def test_micro_graphs(spark, name):
-    n, edges, parts, n_strong, n_weak, trimmed, twos, least, largest = MICRO[name]
-    graph = made(spark, n, edges, parts).checked()
-    want = sorted(strong(n, edges).items())
-    assert len({c for _, c in want}) == n_strong
-    assert pairs(merge.components_of(graph.vertices, graph.edges), "id", "component") == want
-    weak = pairs(label.weakly_connected_components(graph.vertices, graph.edges), "id", "component")
-    assert len({c for _, c in weak}) == n_weak
+def test_micro_graphs(spark):
+    """All of them at once, side by side: the k-th has its ids moved by 100 k."""
+    ids = [100 * k + v for k, m in enumerate(MICRO.values()) for v in range(1, m[0] + 1)]
+    edges = [(100 * k + a, 100 * k + b) for k, m in enumerate(MICRO.values()) for a, b in m[1]]
+    parts = [(100 * k + v, (m[2] or [0] * m[0])[v - 1]) for k, m in enumerate(MICRO.values()) for v in range(1, m[0] + 1)]
+    graph = Graph(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(parts, "id long, part long")).checked()
+
+    def own(rows, k):
+        return [tuple(x - 100 * k for x in r) for r in rows if r[0] // 100 == k]
+
+    strongly = pairs(merge.components_of(graph.vertices, graph.edges), "id", "component")
+    weakly = pairs(label.weakly_connected_components(graph.vertices, graph.edges), "id", "component")
+    merged = pairs(merge.merged_components(graph)[0], "id", "component")
     rest, _ = trim.trim1(graph.edges)
-    assert n - trim.trim1_survivors(rest).count() == trimmed
-    assert pairs(trim.trim2(rest), "a", "b") == twos
-    assert [x for _, x in pairs(label.min_reachable_label(graph.vertices, graph.edges), "id", "label")] == least
-    assert [x for _, x in pairs(label.max_color(graph.vertices, graph.edges), "id", "label")] == largest
-    if parts:
-        assert pairs(merge.merged_components(graph)[0], "id", "component") == want
+    kept, twos = pairs(trim.trim1_survivors(rest), "id"), pairs(trim.trim2(rest), "a", "b")
+    least = pairs(label.min_reachable_label(graph.vertices, graph.edges), "id", "label")
+    largest = pairs(label.max_color(graph.vertices, graph.edges), "id", "label")
+    for k, (name, (n, e, _, n_strong, n_weak, trimmed, twos_here, least_here, largest_here)) in enumerate(MICRO.items()):
+        want = sorted(strong(n, e).items())
+        assert len({c for _, c in want}) == n_strong, name
+        assert own(strongly, k) == own(merged, k) == want, name
+        assert len({c for _, c in own(weakly, k)}) == n_weak, name
+        assert n - len(own(kept, k)) == trimmed, name
+        assert own(twos, k) == twos_here, name
+        assert [x for _, x in own(least, k)] == least_here, name
+        assert [x for _, x in own(largest, k)] == largest_here, name
 
 
 def everything():
