@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import prepare, table
 
-LABELLED, POOL, ROUNDS, CONFIDENT = 12_000, 4_000, 3, 0.02
+LABELLED, POOL, ROUNDS, CONFIDENT = 8_000, 2_000, 3, 0.02
 TARGETS = ("quality", "toxic")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BEGINNINGS = (4, 5, 6)
@@ -116,19 +116,18 @@ class MetaView:
 
 
 class TextView:
-    """Logistic regression over the features that tell the classes apart; x is a list of arrays of distinct hashes."""
+    """Logistic regression over the features that tell the classes apart; x is a list of arrays of distinct feature numbers."""
 
     def fit(self, x: list[np.ndarray], y: np.ndarray) -> TextView:
-        flat, ptr = np.concatenate(x) if x else np.zeros(0, np.int64), np.cumsum([0, *map(len, x)])
-        rows = np.repeat(np.arange(len(x)), np.diff(ptr))
-        names, at = np.unique(flat, return_inverse=True)
-        n, ones = np.bincount(at, minlength=len(names)), np.bincount(at, weights=y[rows], minlength=len(names))
+        at = np.concatenate([np.zeros(0, np.int32), *x])
+        rows = np.repeat(np.arange(len(x), dtype=np.int32), [len(f) for f in x])
+        n, ones = np.bincount(at), np.bincount(at, weights=y[rows])
         share = y.mean()
         z = np.abs(ones - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
         chosen = np.flatnonzero((n >= min(LEAST_DOCS, 1 + len(x) // 100)) & (z >= LEAST_Z))
         chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MOST_FEATURES]])
-        self.names = names[chosen]
-        place = np.full(len(names), -1)
+        self.names = chosen
+        place = np.full(len(n), -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         keep = place[at] >= 0
         rows, at = rows[keep], place[at[keep]]
@@ -263,16 +262,27 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: i
             meta = [meta_features(t.encode("utf-8", "surrogatepass"), s, g).tobytes() for t, s, g in zip(text, source, lang, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "quality", "toxic", "labelled")), pa.array(words, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "quality", "toxic", "labelled", "words", "meta"])
 
-    rows = chosen.select("doc_id", "text", "source", "lang", "quality", "toxic", "labelled").mapInArrow(run, "doc_id long, quality int, toxic int, labelled boolean, words binary, meta binary").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.words)))
-    words = [np.frombuffer(r.words, np.uint32).astype(np.int64) for r in rows]
-    meta = np.stack([np.frombuffer(r.meta) for r in rows]) if rows else np.zeros((0, META_SIZE))
+    found = chosen.select("doc_id", "text", "source", "lang", "quality", "toxic", "labelled").mapInArrow(run, "doc_id long, quality int, toxic int, labelled boolean, words binary, meta binary").toArrow()
+    words = [np.frombuffer(x, np.uint32) for x in found.column("words").to_pylist()]
+    meta = np.stack([np.frombuffer(x) for x in found.column("meta").to_pylist()]) if words else np.zeros((0, META_SIZE))
+    rows = list(zip(*(found.column(c).to_pylist() for c in ("doc_id", "quality", "toxic", "labelled")), range(len(words)), strict=True))
+    del found
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], words[r[4]].tobytes()))
+    # Features of few documents are dropped at once, the others numbered: the driver is small.
+    names = np.sort(np.concatenate([np.zeros(0, np.uint32), *words]))
+    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
+    often = np.diff(np.concatenate((first, [len(names)]))) >= min(LEAST_DOCS, 1 + len(words) // 100)
+    names = names[first[often]]
+    for i, f in enumerate(words):
+        at = np.minimum(np.searchsorted(names, f), max(len(names) - 1, 0))
+        words[i] = at[names[at] == f].astype(np.int32) if len(names) else np.zeros(0, np.int32)
     out = {}
-    for name, default in zip(TARGETS, (0.5, 0.0), strict=True):
-        known = [i for i, r in enumerate(rows) if r.labelled and r[name] is not None]
-        others = [i for i, r in enumerate(rows) if not r.labelled]
-        y = np.array([float(rows[i][name] > 0) for i in known])
-        out[name] = Target(default).fit([words[i] for i in known], meta[known], y, [words[i] for i in others], meta[others])
+    for i, (name, default) in enumerate(zip(TARGETS, (0.5, 0.0), strict=True), 1):
+        known, others = [r for r in rows if r[3] and r[i] is not None], [r[4] for r in rows if not r[3]]
+        y, at = np.array([float(r[i] > 0) for r in known]), [r[4] for r in known]
+        out[name] = Target(default).fit([words[k] for k in at], meta[at], y, [words[k] for k in others], meta[others])
+        if out[name].constant is None:
+            out[name].views[0].names = names[out[name].views[0].names]  # what a scorer looks up
     return out
 
 
