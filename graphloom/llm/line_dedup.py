@@ -23,7 +23,9 @@ from graphloom.llm.common import ascii_lower, cut, documents, partitions, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: A hash is counted apart if it has so many lines and is among so many most frequent ones.
-HOT_LINES, HOT_KEYS = 10_000, 1_000
+HOT_LINES, HOT_KEYS = 1_000, 1_000
+#: Ranges of hashes for each partition, so that partitions get like numbers of them.
+RANGES = 32
 _WHITE = " \t\n\x0b\x0c\r"
 _LEAST = -(1 << 63)
 
@@ -43,10 +45,11 @@ def dropped_lines(hashes: DataFrame, min_docs: int = MIN_DOCS, hot_lines: int =
     hot = F.broadcast(cut(hot.select("h1", F.lit(True).alias("hot")), "hot"))
     marked = hashes.join(hot, "h1", "left")
 
-    ranges = max(1, partitions(hashes.sparkSession))
+    parts = partitions(hashes.sparkSession)
+    ranges = RANGES * parts
     width = (1 << 64) // ranges + 1
     place = F.floor((F.col("h1").cast("decimal(20,0)") - F.lit(str(_LEAST)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("int")
-    cool = marked.where("hot is null").drop("hot").withColumn("range", place).repartition(ranges, "range")
+    cool = marked.where("hot is null").drop("hot").withColumn("range", place).repartition(parts, "range")
     by_hash = Window.partitionBy("range", "h1", "h2")
     up, down = F.dense_rank().over(by_hash.orderBy(F.asc("n"))), F.dense_rank().over(by_hash.orderBy(F.desc("n")))
     ranked = cool.withColumn("up", up).withColumn("down", down)
