@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontamination, line_dedup, packing, quality, simhash
+from graphloom.llm import decontamination, line_dedup, near_dedup, packing, quality
 from graphloom.llm.common import cut, table
 
 
@@ -24,8 +24,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (0.8 of their 5-word shingles), that of the smallest doc_id."""
+    return near_dedup.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality classifier", quality_classifier),
     ("line dedup", repeated_lines),
-    ("SimHash near-dedup", near_duplicates),
+    ("MinHash near-dedup", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
     ("best-fit packing", best_fit_packing),
 ]
