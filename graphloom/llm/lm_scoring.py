@@ -9,8 +9,9 @@ estimate, and its share stays with the longest one seen. The score is the log10
 the code length per byte is -score / log10(2) / bytes.
 
 Training counts byte strings of DEPTH + 1 in all training texts: tasks send sorted counts by the two nearest context
-bytes, and each such subtree is weighted where it lands. What is broadcast is bounded: the two upper levels
-(65,536 estimates) and, of the rest, the contexts seen most often, at most MAX_NODES decisions.
+bytes, and each such subtree is weighted where it lands. The two upper levels (65,536 estimates) are broadcast, and the log10
+probabilities of the byte strings seen most often, at most MAX_NODES. All other strings of the documents go to
+their subtree, which scores them with all of its contexts: none is left out, whatever the size.
 
 The baseline needs every word's count. The HEAD_WORDS most frequent short words are broadcast; the others are
 joined, a row for each document and word.
@@ -220,6 +221,20 @@ class Model:
         return out
 
 
+class Frequent(Model):
+    """Knows the probabilities of some codes; those of others are NaN."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray, depth: int = DEPTH) -> None:
+        order = np.argsort(codes)
+        self.codes, self.values, self.depth, self.seen = codes[order], values[order], depth, None
+
+    def log10(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.full(len(codes), np.nan)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.values[at], np.nan)
+
+
 def log10_probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
     out = np.zeros(len(texts))
     for codes, starts, docs in chunks(texts, model.depth):
@@ -281,54 +296,98 @@ def gathered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return words, both.where("bucket is not null").select("bucket", "codes", "counts")
 
 
-def trained(strings: DataFrame, max_nodes: int = MAX_NODES) -> Model:
-    """The model of the counted strings (bucket, codes, counts)."""
+def _merged(rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes and their counts, of rows that end in codes and counts."""
+    codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size = [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("bucket", "codes", "counts")), strict=True))
-        for _, own in groupby(rows, key=lambda x: x[0]):
-            codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate([codes, *(x for x, _ in held)]), np.concatenate([counts, *(x for _, x in held)]))
+
+    for *_, c, n in rows:
+        held.append((np.frombuffer(c, np.uint64), np.frombuffer(n, np.int64)))
+        size += len(held[-1][0])
+        if size > 2_000_000:
+            codes, counts = merged()
             held, size = [], 0
-            for _, c, n in own:
-                held.append((np.frombuffer(c, np.uint64), np.frombuffer(n, np.int64)))
-                size += len(held[-1][0])
-                if size > 2_000_000:
-                    codes, counts = _summed(np.concatenate([codes, *(x for x, _ in held)]), np.concatenate([counts, *(x for _, x in held)]))
-                    held, size = [], 0
-            codes, counts = _summed(np.concatenate([codes, *(x for x, _ in held)]), np.concatenate([counts, *(x for _, x in held)]))
-            nodes, top = subtrees(codes, counts)
-            out = [(1, -1, len(top[0]), *(x.tobytes() for x in top))]
-            for d, (key, odds, w, n) in nodes.items():
-                level = np.log2(n).astype(np.int64)
-                for k in np.unique(level).tolist():
-                    at = level == k
-                    out.append((d, k, int(at.sum()), key[at].tobytes(), odds[at].astype(np.float32).tobytes(), w[at].astype(np.float32).tobytes(), b""))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["depth", "level", "n", "a", "b", "c", "d"])
-
-    types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    return merged()
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    return (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in names), strict=True))
+
+
+def _lower(codes: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    return {d: x[:3] for d, x in subtrees(codes, counts)[0].items()} if len(codes) else {}
+
+
+def trained(strings: DataFrame) -> tuple[DataFrame, dict[int, tuple[np.ndarray, ...]], dict[int, int]]:
+    """Of the counted strings (bucket, codes, counts): each bucket's in one row, the two upper levels of the model, and
+    how many codes there are by the logarithm of their count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, own in groupby(_rows(batches, "bucket", "codes", "counts"), key=lambda x: x[0]):
+            codes, counts = _merged(own)
+            top = subtrees(codes, counts)[1]
+            levels = np.bincount(np.log2(counts).astype(np.int64)).astype(np.int64)
+            row = (bucket, codes.tobytes(), counts.tobytes(), levels.tobytes(), *(x.tobytes() for x in top))
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], ["bucket", "codes", "counts", "levels", "a", "b", "c", "d"])
+
     dealt = strings.repartition(min(BUCKETS, partitions(strings.sparkSession)), "bucket").sortWithinPartitions("bucket")
-    made = cut(dealt.mapInArrow(run, "depth int, level int, n long, a binary, b binary, c binary, d binary"), "lm-nodes")
-    sizes = dict(made.where("level >= 0").groupBy("level").agg(F.sum("n")).collect())  # a row for each power of two
-    least = 0
-    while sum(n for k, n in sizes.items() if k >= least) > max_nodes:
-        least += 1
+    made = cut(dealt.mapInArrow(run, "bucket int, codes binary, counts binary, levels binary, a binary, b binary, c binary, d binary"), "lm-strings")
     upper: dict[int, np.ndarray] = {}
-    for r in made.where("level = -1").toLocalIterator():
+    sizes: Counter = Counter()
+    for r in made.select("levels", "a", "b", "c", "d").toLocalIterator():
+        sizes.update(dict(enumerate(np.frombuffer(r.levels, np.int64).tolist())))
         for k, *x in zip(*(np.frombuffer(v, t).tolist() for v, t in ((r.a, np.uint64), (r.b, float), (r.c, float), (r.d, float))), strict=True):
             upper[k] = upper.get(k, 0) + np.array(x)
-    kept = made.where(f"level >= {least}")
-    totals = dict(kept.groupBy("depth").agg(F.sum("n")).collect())
-    nodes = {}
-    for depth, n in totals.items():  # one depth at a time, into arrays of the right size: the driver is small
-        parts, at = [np.empty(n, t) for t in (np.uint64, np.float32, np.float32)], 0
-        for r in kept.where(F.col("depth") == depth).select("n", "a", "b", "c").toLocalIterator():
-            for part, blob in zip(parts, (r.a, r.b, r.c), strict=True):
-                part[at : at + r.n] = np.frombuffer(blob, part.dtype)
-            at += r.n
-        order = np.argsort(parts[0])
-        nodes[depth] = tuple(p[order] for p in parts)
-        del parts, order
-    return Model([(k, *x.tolist()) for k, x in upper.items()], nodes)
+    return made.select("bucket", "codes", "counts"), Model([(k, *x.tolist()) for k, x in upper.items()], {}).nodes, sizes
+
+
+def _model(upper: dict[int, tuple[np.ndarray, ...]], codes: np.ndarray, counts: np.ndarray) -> Model:
+    return Model([], {**upper, **_lower(codes, counts)})
+
+
+def frequent(strings: DataFrame, upper, sizes: dict[int, int], most: int) -> Frequent:
+    """The probabilities of the codes seen most often, ``most`` at most."""
+    least = 0
+    while sum(n for k, n in sizes.items() if k >= least) > most:
+        least += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c, n in _rows(batches, "bucket", "codes", "counts"):
+            codes, counts = np.frombuffer(c, np.uint64), np.frombuffer(n, np.int64)
+            often = codes[counts >= 1 << least]
+            if len(often):
+                found = _model(upper.value, codes, counts).log10(often)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (often, found)], ["codes", "found"])
+
+    rows = cut(strings.mapInArrow(run, "codes binary, found binary"), "lm-frequent")
+    codes, found = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for r in rows.toLocalIterator():
+        codes.append(np.frombuffer(r.codes, np.uint64))
+        found.append(np.frombuffer(r.found, float))
+    return Frequent(np.concatenate(codes), np.concatenate(found))
+
+
+def rare_scores(strings: DataFrame, rare: DataFrame, upper) -> DataFrame:
+    """(doc_key, score): what the codes of ``rare`` (bucket, codes, docs) add, each bucket with its whole subtree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in groupby(_rows(batches, "bucket", "kind", "codes", "more"), key=lambda x: x[0]):
+            model = None
+            for _, kind, c, more in own:  # the strings come first
+                codes = np.frombuffer(c, np.uint64)
+                if kind == 0:
+                    model = _model(upper.value, codes, np.frombuffer(more, np.int64))
+                    continue
+                model = model or _model(upper.value, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                docs, back = np.unique(np.frombuffer(more, np.int64), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.bincount(back, model.score(codes), len(docs)))], ["doc_key", "score"])
+
+    both = strings.select("bucket", F.lit(0).alias("kind"), "codes", F.col("counts").alias("more")).union(rare.select("bucket", F.lit(1), "codes", F.col("docs")))
+    dealt = both.repartition(min(BUCKETS, partitions(strings.sparkSession)), "bucket").sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(run, "doc_key long, score double")
 
 
 class Head:
@@ -347,7 +406,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     d = documents(docs, id_col, text_col)
     words, strings = gathered(d)
     context = d.sparkSession.sparkContext
-    model = context.broadcast(trained(strings, max_nodes))
+    strings, upper, sizes = trained(strings)
+    upper = context.broadcast(upper)
+    often = context.broadcast(frequent(strings, upper, sizes, max_nodes))
     n, v = words.agg(F.sum("c"), F.count("*")).first()
     n = n or 0
     short = words.where(F.length("word") <= HEAD_BYTES)
@@ -359,7 +420,21 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value.logs()
-        own = Model([], model.value.nodes, model.value.depth)
+        own = Frequent(often.value.codes, often.value.values)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def rest() -> pa.RecordBatch:
+            codes, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            bucket = _bucket(codes)
+            order = np.argsort(bucket, kind="stable")
+            codes, docs = codes[order], docs[order]
+            edges = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=BUCKETS)))).tolist()
+            full = [k for k in range(BUCKETS) if edges[k] < edges[k + 1]]
+            part = lambda a: pa.array([a[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary())
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(full), t) for t in kinds), pa.array(full, pa.int32()), part(codes), part(docs)], names)
+
         for b in batches:
             texts = [t.lower() for t in utf8(b)]
             tokens, hits, logs, tails = [], [], [], []
@@ -370,18 +445,35 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
                 hits.append(len(values) + known_end)
                 logs.append(math.fsum(values) + end_log)
                 tails.append([{"word": w, "n": k} for w, k in Counter(w for w in found if w not in known).items()] if len(values) < len(found) else [])
-            ids = b.column("doc_id")
-            columns = [ids, b.column("doc_key"), pa.array([held_out(x) for x in ids.to_pylist()], pa.bool_()), pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(logs, pa.float64()), pa.array(tails, tail), pa.array(log10_probabilities(own, texts))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_key", "held_out", "n_bytes", "n_tokens", "hits", "logs", "tail", "score"])
-
+            ids, keys, total = b.column("doc_id"), b.column("doc_key").to_numpy(), np.zeros(len(texts))
+            for codes, starts, at in chunks(texts):
+                found = own.score(codes)
+                lost = np.flatnonzero(np.isnan(found))
+                held.append((codes[lost], keys[at[np.searchsorted(starts, lost, "right") - 1]]))
+                size += len(lost)
+                found[lost] = 0
+                np.add.at(total, at, np.add.reduceat(found, starts))
+                if size > 1_000_000:
+                    yield rest()
+                    size = 0
+            columns = [ids, b.column("doc_key"), pa.array([held_out(x) for x in ids.to_pylist()], pa.bool_()), pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(logs, pa.float64()), pa.array(tails, tail), pa.array(total)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(texts), t) for t in (pa.int32(), pa.binary(), pa.binary()))], names)
+        if size:
+            yield rest()
+
+    names = ["doc_id", "doc_key", "held_out", "n_bytes", "n_tokens", "hits", "logs", "tail", "score", "bucket", "codes", "docs"]
     tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-    schema = "doc_id long, doc_key long, held_out boolean, n_bytes long, n_tokens long, hits long, logs double, tail array<struct<word:binary, n:long>>, score double"
-    scored = cut(d.mapInArrow(run, schema), "lm-scored")
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), tail, pa.float64()]
+    schema = "doc_id long, doc_key long, held_out boolean, n_bytes long, n_tokens long, hits long, logs double, tail array<struct<word:binary, n:long>>, score double, bucket int, codes binary, docs binary"
+    both = cut(d.mapInArrow(run, schema), "lm-scored")
+    scored = both.where("bucket is null").drop("bucket", "codes", "docs")
+    tails = rare_scores(strings, both.where("bucket is not null").select("bucket", "codes", "docs"), upper)
     rare = scored.select("doc_key", F.explode("tail").alias("t")).select("doc_key", "t.word", "t.n")
-    found = rare.join(words, "word").select("doc_key", F.col("n").alias("hits"), (F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), F.lit(0).alias("rows"))
+    found = rare.join(words, "word").select("doc_key", F.col("n").alias("hits"), (F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), F.lit(0).alias("rows"), F.lit(0.0).alias("score"))
     # Equal rows share a doc_key: each of them gets its share of what the key gathers.
-    per_key = found.union(scored.select("doc_key", F.lit(0), F.lit(0.0), F.lit(1))).groupBy("doc_key").agg(F.sum("hits").alias("more_hits"), F.sum("logs").alias("more_logs"), F.sum("rows").alias("rows"))
-    out = scored.drop("tail").join(per_key, "doc_key")
+    parts = found.union(tails.select("doc_key", F.lit(0), F.lit(0.0), F.lit(0), "score")).union(scored.select("doc_key", F.lit(0), F.lit(0.0), F.lit(1), F.lit(0.0)))
+    per_key = parts.groupBy("doc_key").agg(F.sum("hits").alias("more_hits"), F.sum("logs").alias("more_logs"), F.sum("rows").alias("rows"), F.sum("score").alias("more_score"))
+    out = scored.drop("tail").join(per_key, "doc_key").withColumn("score", F.col("score") + F.col("more_score") / F.col("rows"))
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hits") + F.expr("more_hits div rows")).alias("n_known"),

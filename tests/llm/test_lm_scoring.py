@@ -127,3 +127,12 @@ def test_held_out_code_length(spark):
     got = [r for r in m.query(spark, SF).collect() if r.held_out]
     bits = sum(-r.score for r in got) / math.log10(2) / sum(r.score / -r.bits_per_byte / math.log10(2) for r in got)
     assert bits < 3.2  # 8 untrained
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(awkward()) if t and t.isascii()]
+    tree = built([t.lower().encode() for d, t in rows if not m.held_out(d)], m.DEPTH)
+    want = dict(zip([d for d, _ in rows], m.log10_probabilities(tree, [t.lower().encode() for _, t in rows]), strict=True))
+    for most in (0, 500, m.MAX_NODES):
+        got = {r.doc_id: r.score for r in m.scores(frame(spark, rows), max_nodes=most).collect()}
+        assert got == pytest.approx(want, rel=1e-5)
