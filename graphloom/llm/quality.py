@@ -2,12 +2,12 @@
 
 The text view sees which words, word beginnings and marks occur; the metadata view sees the source, the language and
 measures of the page (sizes, shares of kinds of characters, repetition). For either target (quality, toxic) both
-views start from labelled documents. In each round they judge a pool of other documents; what one calls
-with confidence becomes a pseudo-label for the other. In the end each view is calibrated on labelled documents
+views start from labelled documents. In each round they judge all other documents; the surest of what one calls
+with confidence becomes pseudo-labels for the other. In the end each view is calibrated on labelled documents
 that neither was trained on, and the calibrated views are combined there by a logistic regression.
 
-Fitting uses at most ``LABELLED`` labelled documents and a pool of at most ``POOL`` others, those whose hashed
-doc_id is least; it runs on the driver. All documents are scored, whole, without a shuffle.
+Fitting uses at most ``LABELLED`` labelled documents, those whose hashed doc_id is least, and runs on the driver; a round adds
+at most a tenth of ``POOL`` pseudo-labels of a class to a view, chosen from all documents in a distributed pass. All documents are scored, whole, without a shuffle.
 
 A document is kept if it is likely of quality (0.5 or more) and not likely toxic (less than 0.5). Null texts are
 empty, null sources and languages a value of their own. Labels that are null are not used; of
@@ -19,14 +19,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import prepare, table
+from graphloom.llm.common import cut, prepare, table
 
 LABELLED, POOL, ROUNDS, CONFIDENT = 8_000, 2_000, 3, 0.02
 TARGETS = ("quality", "toxic")
@@ -119,14 +119,14 @@ class TextView:
     """Logistic regression over the features that tell the classes apart; x is a list of arrays of distinct feature numbers."""
 
     def fit(self, x: list[np.ndarray], y: np.ndarray) -> TextView:
-        at = np.concatenate([np.zeros(0, np.int32), *x])
+        names, at = np.unique(np.concatenate([np.zeros(0, np.uint32), *x]), return_inverse=True)
         rows = np.repeat(np.arange(len(x), dtype=np.int32), [len(f) for f in x])
-        n, ones = np.bincount(at), np.bincount(at, weights=y[rows])
+        n, ones = np.bincount(at, minlength=len(names)), np.bincount(at, weights=y[rows], minlength=len(names))
         share = y.mean()
         z = np.abs(ones - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
         chosen = np.flatnonzero((n >= min(LEAST_DOCS, 1 + len(x) // 100)) & (z >= LEAST_Z))
         chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MOST_FEATURES]])
-        self.names = chosen
+        self.names = names[chosen]
         place = np.full(len(n), -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         keep = place[at] >= 0
@@ -159,7 +159,9 @@ class Target:
         self.constant: float | None = default
         self.rounds: list[tuple[int, int]] = []
 
-    def fit(self, text: list[np.ndarray], meta: np.ndarray, y: np.ndarray, pool_text: list[np.ndarray], pool_meta: np.ndarray) -> Target:
+    def fit(self, text: list[np.ndarray], meta: np.ndarray, y: np.ndarray, surest: Callable) -> Target:
+        """surest(views, scales, given) finds pseudo-labels among all other documents: of either view's calls, those not
+        given to the other view yet, as {document: (label, text features, metadata features)}."""
         if not len(y):
             return self
         self.constant = (y.sum() + 1) / (len(y) + 2)
@@ -168,25 +170,21 @@ class Target:
         if min(y[own].sum(), (1 - y[own]).sum(), y[apart].sum(), (1 - y[apart]).sum()) < 2:
             return self
         self.constant = None
-        given: list[dict[int, int]] = [{}, {}]  # pseudo-labels of the pool, for either view
+        given: list[dict] = [{}, {}]  # pseudo-labels, for either view
         pick = lambda x, at: [x[i] for i in at] if isinstance(x, list) else x[at]
-        join = lambda x, z: x + z if isinstance(x, list) else np.concatenate((x, z))
         for r in range(ROUNDS + 1):
             self.views, self.scales = [], []
-            for kind, x, pool, pseudo in ((TextView, text, pool_text, given[0]), (MetaView, meta, pool_meta, given[1])):
-                at = np.array(list(pseudo), np.int64)
-                view = kind().fit(join(pick(x, own), pick(pool, at)), np.concatenate((y[own], np.array(list(pseudo.values()), float))))
+            for k, (kind, x) in enumerate(((TextView, text), (MetaView, meta))):
+                more = [g[1 + k] for g in given[k].values()]
+                rows = pick(x, own) + more if isinstance(x, list) else np.concatenate((x[own], np.array(more).reshape(-1, x.shape[1])))
+                view = kind().fit(rows, np.concatenate((y[own], [float(g[0]) for g in given[k].values()])))
                 m = view.margin(pick(x, np.flatnonzero(apart)))
                 self.views.append(view)
                 self.scales.append(logistic(np.stack((np.ones(len(m)), m), axis=1), y[apart], 0.1))
-            if r == ROUNDS or not len(pool_meta):
+            if r == ROUNDS:
                 break
-            for view, scale, pool, other in ((self.views[0], self.scales[0], pool_text, given[1]), (self.views[1], self.scales[1], pool_meta, given[0])):
-                p = _sigmoid(scale[0] + scale[1] * view.margin(pool))
-                for label, doubt in ((1, 1 - p), (0, p)):
-                    surest = np.argsort(doubt, kind="stable")[: max(1, len(p) // 10)]
-                    fresh = [i for i in surest.tolist() if doubt[i] < CONFIDENT and i not in other]
-                    other.update(dict.fromkeys(fresh, label))
+            for k, found in enumerate(surest(self.views, self.scales, given)):
+                given[1 - k].update(found)
             self.rounds.append((len(given[0]), len(given[1])))
         x = self._calibrated(*(v.margin(pick(x, np.flatnonzero(apart))) for v, x in zip(self.views, (text, meta), strict=True)))
         self.both = logistic(x, y[apart], 0.01)
@@ -250,9 +248,6 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: i
     d = docs.select(*_columns(docs)).where("doc_id is not null")
     each = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     own = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).withColumn("labelled", F.lit(True))
-    rest = d.select("doc_id").distinct().orderBy(F.xxhash64(F.lit("pool"), "doc_id"), "doc_id").limit(pool).withColumn("pooled", F.lit(True))
-    sample = own.join(rest, "doc_id", "full")  # bounded by labelled + pool
-    chosen = d.join(F.broadcast(sample), "doc_id")
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,29 +255,61 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: i
             text, source, lang = (b.column(c).to_pylist() for c in ("text", "source", "lang"))
             words = [np.unique(np.array([f for k in set(TOKEN.findall(t.lower())) for f in token_features(k)], np.uint32)).tobytes() for t in text]
             meta = [meta_features(t.encode("utf-8", "surrogatepass"), s, g).tobytes() for t, s, g in zip(text, source, lang, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "quality", "toxic", "labelled")), pa.array(words, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "quality", "toxic", "labelled", "words", "meta"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "doc_key", "quality", "toxic", "labelled")), pa.array(words, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "doc_key", "quality", "toxic", "labelled", "words", "meta"])
+
+    keyed = d.join(F.broadcast(own), "doc_id", "left").withColumn("doc_key", F.xxhash64("doc_id", "text", "source", "lang"))
+    features = cut(keyed.select("doc_id", "doc_key", "text", "source", "lang", "quality", "toxic", "labelled").mapInArrow(run, "doc_id long, doc_key long, quality int, toxic int, labelled boolean, words binary, meta binary"), "quality-features")
+    others = features.where("labelled is null").select("doc_key", "words", "meta")
+
+    def surest(views: list, scales: list, given: list[dict]) -> list[dict]:
+        if not pool:
+            return [{}, {}]
+        model = docs.sparkSession.sparkContext.broadcast((views, scales, [set(g) for g in given]))
+
+        def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            views, scales, given = model.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                keys = b.column("doc_key").to_numpy()
+                text = [np.frombuffer(x, np.uint32) for x in b.column("words").to_pylist()]
+                meta = np.stack([np.frombuffer(x) for x in b.column("meta").to_pylist()])
+                for k, x in enumerate((text, meta)):
+                    p = _sigmoid(scales[k][0] + scales[k][1] * views[k].margin(x))
+                    fresh = np.array([key not in given[1 - k] for key in keys.tolist()])
+                    for label, doubt in ((1, 1 - p), (0, p)):
+                        at = np.flatnonzero((doubt < CONFIDENT) & fresh)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(doubt[at]), pa.array(keys[at])], ["view", "label", "doubt", "doc_key"])
+
+        found = others.mapInArrow(calls, "view int, label int, doubt double, doc_key long").groupBy("doc_key", "view", "label").agg(F.min("doubt").alias("doubt"))
+        found = cut(found, "quality-calls")
+        top = None
+        for k, label in ((0, 1), (0, 0), (1, 1), (1, 0)):
+            best = found.where((F.col("view") == k) & (F.col("label") == label)).orderBy("doubt", "doc_key").limit(max(1, pool // 10))
+            top = best if top is None else top.union(best)
+        chosen = [(r.view, r.label, r.doc_key) for r in top.collect()]  # bounded by pool
+        if not chosen:
+            return [{}, {}]
+        keys = docs.sparkSession.createDataFrame([(k,) for k in sorted({c[2] for c in chosen})], "doc_key long")
+        rows = others.join(F.broadcast(keys), "doc_key").dropDuplicates(["doc_key"]).toArrow()
+        seen = dict(zip(rows.column("doc_key").to_pylist(), zip(*(rows.column(c).to_pylist() for c in ("words", "meta")), strict=True), strict=True))
+        out: list[dict] = [{}, {}]
+        for k, label, key in sorted(chosen):
+            words, meta = seen[key]
+            out[k][key] = (label, np.frombuffer(words, np.uint32), np.frombuffer(meta))
+        return out
 
-    found = chosen.select("doc_id", "text", "source", "lang", "quality", "toxic", "labelled").mapInArrow(run, "doc_id long, quality int, toxic int, labelled boolean, words binary, meta binary").toArrow()
+    found = features.where("labelled").drop("labelled", "doc_key").toArrow()  # bounded by labelled
     words = [np.frombuffer(x, np.uint32) for x in found.column("words").to_pylist()]
     meta = np.stack([np.frombuffer(x) for x in found.column("meta").to_pylist()]) if words else np.zeros((0, META_SIZE))
-    rows = list(zip(*(found.column(c).to_pylist() for c in ("doc_id", "quality", "toxic", "labelled")), range(len(words)), strict=True))
+    rows = list(zip(*(found.column(c).to_pylist() for c in ("doc_id", "quality", "toxic")), range(len(words)), strict=True))
     del found
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], words[r[4]].tobytes()))
-    # Features of few documents are dropped at once, the others numbered: the driver is small.
-    names = np.sort(np.concatenate([np.zeros(0, np.uint32), *words]))
-    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
-    often = np.diff(np.concatenate((first, [len(names)]))) >= min(LEAST_DOCS, 1 + len(words) // 100)
-    names = names[first[often]]
-    for i, f in enumerate(words):
-        at = np.minimum(np.searchsorted(names, f), max(len(names) - 1, 0))
-        words[i] = at[names[at] == f].astype(np.int32) if len(names) else np.zeros(0, np.int32)
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], words[r[3]].tobytes()))
     out = {}
     for i, (name, default) in enumerate(zip(TARGETS, (0.5, 0.0), strict=True), 1):
-        known, others = [r for r in rows if r[3] and r[i] is not None], [r[4] for r in rows if not r[3]]
-        y, at = np.array([float(r[i] > 0) for r in known]), [r[4] for r in known]
-        out[name] = Target(default).fit([words[k] for k in at], meta[at], y, [words[k] for k in others], meta[others])
-        if out[name].constant is None:
-            out[name].views[0].names = names[out[name].views[0].names]  # what a scorer looks up
+        known = [r for r in rows if r[i] is not None]
+        y, at = np.array([float(r[i] > 0) for r in known]), [r[3] for r in known]
+        out[name] = Target(default).fit([words[k] for k in at], meta[at], y, surest)
     return out
 
 

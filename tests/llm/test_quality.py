@@ -58,3 +58,12 @@ def test_logistic():
     x = np.concatenate((np.ones((4000, 1)), r.normal(size=(4000, 2))), axis=1)
     y = (r.random(4000) < 1 / (1 + np.exp(-(x @ [0.5, 1.0, -2.0])))).astype(float)
     assert np.allclose(m.logistic(x, y, 1e-3), [0.5, 1.0, -2.0], atol=0.2)
+
+
+def test_pseudo_labels_come_from_all_documents(data):
+    docs, labels = data
+    targets = m.fitted(docs, labels, labelled=260, pool=40)
+    # Four pseudo-labels of either class at most from each view and round: a fixed pool of 40 runs dry, all documents do not.
+    rounds = targets["quality"].rounds
+    assert len(rounds) == m.ROUNDS and all(b[i] > a[i] for a, b in zip(rounds, rounds[1:], strict=False) for i in (0, 1))
+    assert max(rounds[-1]) <= 8 * m.ROUNDS
