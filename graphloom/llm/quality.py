@@ -1,18 +1,21 @@
 """A quality classifier by co-training on two views of a document.
 
-The text view sees which words, word beginnings and marks occur; the metadata view sees the source, the language and
-measures of the page (sizes, shares of kinds of characters, repetition). For either target (quality, toxic) both
-views start from labelled documents. In each round they judge all other documents; the surest of what one calls
-with confidence becomes pseudo-labels for the other. In the end each view is calibrated on labelled documents
-that neither was trained on, and the calibrated views are combined there by a logistic regression.
-
-Fitting uses at most ``LABELLED`` labelled documents, those whose hashed doc_id is least, and runs on the driver; a round adds
-at most a tenth of ``POOL`` pseudo-labels of a class to a view, chosen from all documents in a distributed pass. All documents are scored, whole, without a shuffle.
+The text view sees which words, word beginnings and marks occur, and measures of the text (shares of kinds of bytes,
+lengths, repetition). The metadata view sees the columns beside the text alone: source, language, both together, and the
+size that the page was recorded with. For either target (quality, toxic) both views start from labelled documents. In
+each round they judge all other documents, in one distributed pass; the surest of what one calls with confidence
+becomes pseudo-labels for the other. In the end each view is calibrated on labelled documents that neither was trained
+on, and the calibrated views are combined there by a logistic regression.
+
+Fitting runs on the driver, on at most ``LABELLED`` labelled documents, those whose hashed doc_id is least, and at most a
+tenth of ``POOL`` pseudo-labels of a class, view and round, which are chosen from all documents. Of several rows of a labelled
+doc_id that of the least hash stands for it. Documents that are alike in all that the views see count once as pseudo-labels.
+All documents are scored, whole, without a shuffle.
 
 A document is kept if it is likely of quality (0.5 or more) and not likely toxic (less than 0.5). Null texts are
-empty, null sources and languages a value of their own. Labels that are null are not used; of
-several labels for a document the worst counts. A target whose labels are all alike gets their smoothed share for every
-document, one without labels 0.5 for quality and 0 for toxic.
+empty; null sources, languages and sizes, or columns that are not there, are a value of their own. Labels that are
+null are not used; of several labels for a document the worst counts. A target whose labels are all alike gets their
+smoothed share for every document, one without labels 0.5 for quality and 0 for toxic.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +34,30 @@ from graphloom.llm.common import cut, prepare, table
 
 LABELLED, POOL, ROUNDS, CONFIDENT = 8_000, 2_000, 3, 0.02
 TARGETS = ("quality", "toxic")
+VIEWS = ("text", "meta")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BEGINNINGS = (4, 5, 6)
-#: Word features of the text view: at least so many documents, so many standard errors, and at most so many of them.
+#: Features of a view in the model: at least so many documents, so many standard errors in the text view, and at most so many.
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 5, 4.0, 4_000
-CACHED_TOKENS = 300_000
+#: Tokens that a worker remembers, and the longest of them.
+CACHED_TOKENS, CACHED_LENGTH = 300_000, 40
+
 
+# What the views see.
 
-# The views.
+
+def _hashed(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass"))
 
 
 def token_features(token: str) -> list[int]:
     """Hashes of what the text view sees in a token."""
-    names = [token[:40], *(f"{n}^{token[:n]}" for n in BEGINNINGS if len(token) > n)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in names]
+    return [_hashed(token), *(_hashed(f"{n}^{token[:n]}") for n in BEGINNINGS if len(token) > n)]
+
+
+def word_features(text: str) -> np.ndarray:
+    """The distinct features of a text's tokens, sorted."""
+    return np.unique(np.array([f for token in set(TOKEN.findall(text.lower())) for f in token_features(token)], np.uint32))
 
 
 def _kinds() -> np.ndarray:
@@ -56,23 +70,45 @@ def _kinds() -> np.ndarray:
 
 
 _KINDS = _kinds()
-_SOURCES, _LANGS = 32, 16
-META_SIZE = 1 + len(_KINDS[0]) + 6 + _SOURCES + _LANGS
+MEASURES = len(_KINDS[0]) + 6
 
 
-def meta_features(text: bytes, source: str | None, lang: str | None) -> np.ndarray:
-    out = np.zeros(META_SIZE)
-    n, words = max(len(text), 1), text.split()
+def measures(text: str) -> np.ndarray:
+    """Shares of kinds of bytes, lengths and repetition of a text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    n, words, lines = max(len(raw), 1), raw.split(), raw.count(b"\n") + 1
     m = max(len(words), 1)
-    shares = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _KINDS / n
+    shares = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _KINDS / n
     again = sum(map(bytes.__eq__, words, words[1:])) / m
-    lines = text.count(b"\n") + 1
-    measures = [np.log1p(len(text)), np.log1p(lines), np.log1p(len(text) / lines), len(set(words)) / m, again, len(text) / m / 10]
-    out[: 1 + len(shares) + 6] = [1, *np.sqrt(shares), *measures]
-    at = 1 + len(shares) + 6
-    out[at + zlib.crc32((source or "\0").encode()) % _SOURCES] = 1
-    out[at + _SOURCES + zlib.crc32((lang or "\0").encode()) % _LANGS] = 1
-    return out
+    return np.array([*np.sqrt(shares), np.log1p(len(raw)), np.log1p(lines), np.log1p(len(raw) / lines), len(set(words)) / m, again, len(raw) / m / 10])
+
+
+def meta_features(source: str | None, lang: str | None, size: int | None) -> np.ndarray:
+    """Hashes of what the metadata view sees: source, language, both, and the size up to a factor of 2."""
+    named = lambda kind, x: kind if x is None else f"{kind}={x}"
+    s, g = named("source", source), named("lang", lang)
+    return np.unique(np.array([_hashed(x) for x in (s, g, f"{s}\n{g}", named("size", None if size is None else max(size, 0).bit_length()))], np.uint32))
+
+
+class Rows(NamedTuple):
+    """Documents as the views see them."""
+
+    words: list[np.ndarray]
+    dense: np.ndarray
+    meta: list[np.ndarray]
+
+    def pick(self, at: np.ndarray) -> Rows:
+        return Rows([self.words[i] for i in at], self.dense[at], [self.meta[i] for i in at])
+
+    def plus(self, other: Rows) -> Rows:
+        return Rows(self.words + other.words, np.concatenate((self.dense, other.dense)), self.meta + other.meta)
+
+
+def rows_of(columns: dict[str, list]) -> Rows:
+    """Of columns text, source, lang and size."""
+    text = columns["text"]
+    dense = np.stack([measures(t) for t in text]) if text else np.zeros((0, MEASURES))
+    return Rows([word_features(t) for t in text], dense, [meta_features(*x) for x in zip(columns["source"], columns["lang"], columns["size"], strict=True)])
 
 
 # The learners. Rows are documents; y is 0 or 1.
@@ -101,54 +137,63 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.
     return w
 
 
-class MetaView:
-    def fit(self, x: np.ndarray, y: np.ndarray) -> MetaView:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        self.mean[0], self.scale[0] = 0, 1
-        self.w = logistic(self._x(x), y, 1.0)
-        return self
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values, sizes[i] of them for row i."""
+    total = np.concatenate(([0.0], np.cumsum(values)))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
 
-    def _x(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        return self._x(x) @ self.w
+class View:
+    """Logistic regression over the features of one view that occur often enough, and over measures if it has any."""
 
+    def __init__(self, name: str) -> None:
+        self.name = name
 
-class TextView:
-    """Logistic regression over the features that tell the classes apart; x is a list of arrays of distinct feature numbers."""
+    def _seen(self, rows: Rows) -> tuple[list[np.ndarray], np.ndarray]:
+        return (rows.words, rows.dense) if self.name == "text" else (rows.meta, np.zeros((len(rows.meta), 0)))
 
-    def fit(self, x: list[np.ndarray], y: np.ndarray) -> TextView:
-        names, at = np.unique(np.concatenate([np.zeros(0, np.uint32), *x]), return_inverse=True)
-        rows = np.repeat(np.arange(len(x), dtype=np.int32), [len(f) for f in x])
-        n, ones = np.bincount(at, minlength=len(names)), np.bincount(at, weights=y[rows], minlength=len(names))
+    def fit(self, rows: Rows, y: np.ndarray) -> View:
+        features, dense = self._seen(rows)
+        names, at = np.unique(np.concatenate([np.zeros(0, np.uint32), *features]), return_inverse=True)
+        row = np.repeat(np.arange(len(y)), [len(f) for f in features])
+        n, ones = np.bincount(at, minlength=len(names)), np.bincount(at, weights=y[row], minlength=len(names))
         share = y.mean()
         z = np.abs(ones - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
-        chosen = np.flatnonzero((n >= min(LEAST_DOCS, 1 + len(x) // 100)) & (z >= LEAST_Z))
+        chosen = np.flatnonzero((n >= min(LEAST_DOCS, 1 + len(y) // 100)) & (z >= (LEAST_Z if self.name == "text" else 0)))
         chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MOST_FEATURES]])
         self.names = names[chosen]
-        place = np.full(len(n), -1, np.int32)
+        place = np.full(len(names), -1)
         place[chosen] = np.arange(len(chosen))
         keep = place[at] >= 0
-        rows, at = rows[keep], place[at[keep]]
-        self.w, self.bias = np.zeros(len(chosen)), _logit(np.array([share]))[0]
-        seen, seen_bias, ridge = np.full(len(chosen), 1e-8), 1e-8, 2e-4
+        row, at = row[keep], place[at[keep]]
+        sizes = np.bincount(row, minlength=len(y))
+        self.mean, self.scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
+        d = np.clip((dense - self.mean) / self.scale, -8, 8)
+        self.w, self.v, self.bias = np.zeros(len(chosen)), np.zeros(d.shape[1]), float(_logit(np.array([share]))[0])
+        seen, seen_v, seen_bias, ridge = np.full(len(chosen), 1e-8), np.full(d.shape[1], 1e-8), 1e-8, 2e-4
         for _ in range(300):  # Adagrad on all rows at once
-            g = _sigmoid(np.bincount(rows, self.w[at], len(x)) + self.bias) - y
-            gw, gb = np.bincount(at, g[rows], len(chosen)) / len(x) + ridge * self.w, g.mean()
+            g = _sigmoid(_sums(self.w[at], sizes) + d @ self.v + self.bias) - y
+            gw, gv, gb = np.bincount(at, g[row], len(chosen)) / len(y) + ridge * self.w, d.T @ g / len(y) + ridge * self.v, g.mean()
             seen += gw**2
+            seen_v += gv**2
             seen_bias += gb**2
             self.w -= 0.3 * gw / np.sqrt(seen)
+            self.v -= 0.3 * gv / np.sqrt(seen_v)
             self.bias -= 0.3 * gb / np.sqrt(seen_bias)
         return self
 
-    def margin(self, x: list[np.ndarray]) -> np.ndarray:
-        if not len(self.names):
-            return np.full(len(x), self.bias)
-        out = np.empty(len(x))
-        for i, f in enumerate(x):
+    def measured(self, dense: np.ndarray) -> np.ndarray:
+        """The part of the margin that does not come from features."""
+        return np.clip((dense - self.mean) / self.scale, -8, 8) @ self.v + self.bias
+
+    def margin(self, rows: Rows) -> np.ndarray:
+        features, dense = self._seen(rows)
+        out = self.measured(dense)
+        if len(self.names):
+            f = np.concatenate([np.zeros(0, np.uint32), *features])
             at = np.minimum(np.searchsorted(self.names, f), len(self.names) - 1)
-            out[i] = self.w[at[self.names[at] == f]].sum() + self.bias
+            out += _sums(np.where(self.names[at] == f, self.w[at], 0.0), np.array([len(x) for x in features], np.int64))
         return out
 
 
@@ -157,187 +202,287 @@ class Target:
 
     def __init__(self, default: float) -> None:
         self.constant: float | None = default
-        self.rounds: list[tuple[int, int]] = []
+        self.rounds: list[tuple[int, int]] = []  # pseudo-labels that either view has had
 
-    def fit(self, text: list[np.ndarray], meta: np.ndarray, y: np.ndarray, surest: Callable) -> Target:
-        """surest(views, scales, given) finds pseudo-labels among all other documents: of either view's calls, those not
-        given to the other view yet, as {document: (label, text features, metadata features)}."""
+    def start(self, rows: Rows, y: np.ndarray) -> None:
         if not len(y):
-            return self
+            return
         self.constant = (y.sum() + 1) / (len(y) + 2)
         apart = np.arange(len(y)) % 3 == 2  # labelled documents for calibration only
-        own = np.flatnonzero(~apart)
-        if min(y[own].sum(), (1 - y[own]).sum(), y[apart].sum(), (1 - y[apart]).sum()) < 2:
-            return self
+        if min(y[~apart].sum(), (1 - y[~apart]).sum(), y[apart].sum(), (1 - y[apart]).sum()) < 2:
+            return
         self.constant = None
-        given: list[dict] = [{}, {}]  # pseudo-labels, for either view
-        pick = lambda x, at: [x[i] for i in at] if isinstance(x, list) else x[at]
-        for r in range(ROUNDS + 1):
-            self.views, self.scales = [], []
-            for k, (kind, x) in enumerate(((TextView, text), (MetaView, meta))):
-                more = [g[1 + k] for g in given[k].values()]
-                rows = pick(x, own) + more if isinstance(x, list) else np.concatenate((x[own], np.array(more).reshape(-1, x.shape[1])))
-                view = kind().fit(rows, np.concatenate((y[own], [float(g[0]) for g in given[k].values()])))
-                m = view.margin(pick(x, np.flatnonzero(apart)))
-                self.views.append(view)
-                self.scales.append(logistic(np.stack((np.ones(len(m)), m), axis=1), y[apart], 0.1))
-            if r == ROUNDS:
-                break
-            for k, found in enumerate(surest(self.views, self.scales, given)):
-                given[1 - k].update(found)
-            self.rounds.append((len(given[0]), len(given[1])))
-        x = self._calibrated(*(v.margin(pick(x, np.flatnonzero(apart))) for v, x in zip(self.views, (text, meta), strict=True)))
-        self.both = logistic(x, y[apart], 0.01)
-        return self
-
-    def _calibrated(self, *margins: np.ndarray) -> np.ndarray:
+        self.own, self.apart = (rows.pick(np.flatnonzero(x)) for x in (~apart, apart))
+        self.y, self.y_apart = y[~apart], y[apart]
+        self.given: list[dict[int, tuple[float, Rows]]] = [{}, {}]  # document: label and features; for either view
+
+    def train(self) -> None:
+        """Both views, on labels and on the pseudo-labels given to them."""
+        self.views, self.scales = [], []
+        for k, name in enumerate(VIEWS):
+            rows, y = self.own, self.y
+            if self.given[k]:
+                labels, more = zip(*self.given[k].values(), strict=True)
+                more = Rows([r.words[0] for r in more], np.concatenate([r.dense for r in more]), [r.meta[0] for r in more])
+                rows, y = rows.plus(more), np.concatenate((y, labels))
+            view = View(name).fit(rows, y)
+            m = view.margin(self.apart)
+            self.views.append(view)
+            self.scales.append(logistic(np.stack((np.ones(len(m)), m), axis=1), self.y_apart, 0.1))
+
+    def learn(self, found: list[dict[int, tuple[float, Rows]]]) -> None:
+        """Takes what each view calls with confidence as pseudo-labels of the other."""
+        for k in (0, 1):
+            self.given[1 - k].update(found[k])
+        self.rounds.append((len(self.given[0]), len(self.given[1])))
+
+    def combine(self) -> None:
+        self.both = logistic(self._calibrated([v.margin(self.apart) for v in self.views]), self.y_apart, 0.01)
+        del self.own, self.apart, self.y, self.y_apart, self.given  # the model is what is sent to the executors
+
+    def _calibrated(self, margins: list[np.ndarray]) -> np.ndarray:
         return np.stack([np.ones(len(margins[0])), *(s[0] + s[1] * m for s, m in zip(self.scales, margins, strict=True))], axis=1)
 
-    def judged(self, text_margin: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def each(self, margins: list[np.ndarray]) -> list[np.ndarray]:
+        """Calibrated probabilities by text and by metadata."""
+        x = self._calibrated(margins)
+        return [_sigmoid(x[:, 1]), _sigmoid(x[:, 2])]
+
+    def judged(self, margins: list[np.ndarray]) -> list[np.ndarray]:
         """Probabilities by text, by metadata, by both."""
         if self.constant is not None:
-            return (np.full(len(meta), self.constant),) * 3
-        x = self._calibrated(text_margin, self.views[1].margin(meta))
-        return _sigmoid(x[:, 1]), _sigmoid(x[:, 2]), _sigmoid(x @ self.both)
+            return [np.full(len(margins[0]), self.constant)] * 3
+        return [*self.each(margins), _sigmoid(self._calibrated(margins) @ self.both)]
 
 
 class Scorer:
-    """Judges documents; remembers which of the text views' features a token has."""
-
-    def __init__(self, targets: dict[str, Target]) -> None:
-        self.targets = targets
-        self.weights: dict[int, np.ndarray] = {}
-        for i, name in enumerate(TARGETS):
-            t = targets[name]
-            if t.constant is None:
-                for f, w in zip(t.views[0].names.tolist(), t.views[0].w.tolist(), strict=True):
-                    self.weights.setdefault(f, np.zeros(len(TARGETS)))[i] = w
-        self.bias = [targets[n].views[0].bias if targets[n].constant is None else 0.0 for n in TARGETS]
-        self.seen: dict[str, list[int]] = {}
-
-    def margins(self, text: str) -> np.ndarray:
-        seen, found = self.seen, set()
+    """Margins of documents for all targets; remembers which of the model's features a token has."""
+
+    def __init__(self, views: dict[str, list[View]]) -> None:
+        """views: by target, those of targets that have any."""
+        self.views = views
+        names = [n for n in TARGETS if n in views]
+        self.place: list[dict[int, int]] = []
+        self.weights: list[np.ndarray] = []
+        for k in range(len(VIEWS)):
+            features = np.unique(np.concatenate([np.zeros(0, np.uint32), *(views[n][k].names for n in names)]))
+            w = np.zeros((len(features) + 1, len(names)))
+            for i, n in enumerate(names):
+                w[np.searchsorted(features, views[n][k].names), i] = views[n][k].w
+            self.place.append({f: i for i, f in enumerate(features.tolist())})
+            self.weights.append(w)
+        self.names, self.seen, self.pages = names, {}, {}
+
+    def _words(self, text: str) -> np.ndarray:
+        seen, place, found = self.seen, self.place[0], set()
         for token in set(TOKEN.findall(text.lower())):
             own = seen.get(token)
             if own is None:
-                own = [f for f in token_features(token) if f in self.weights]
-                if len(seen) >= CACHED_TOKENS:
-                    seen.clear()
-                if len(token) <= 40:
+                own = [place[f] for f in token_features(token) if f in place]
+                if len(token) <= CACHED_LENGTH:
+                    if len(seen) >= CACHED_TOKENS:
+                        seen.clear()
                     seen[token] = own
             if own:
                 found.update(own)
-        return sum((self.weights[f] for f in sorted(found)), np.array(self.bias))
-
-    def __call__(self, texts: list[str], sources: list[str | None], langs: list[str | None]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        meta = np.stack([meta_features(t.encode("utf-8", "surrogatepass"), s, g) for t, s, g in zip(texts, sources, langs, strict=True)])
-        text = np.stack([self.margins(t) for t in texts])
-        return {n: self.targets[n].judged(text[:, i], meta) for i, n in enumerate(TARGETS)}
+        at = np.fromiter(found, np.int64, len(found))
+        at.sort()  # the same sum whatever the order of the tokens
+        return self.weights[0][at].sum(axis=0)
+
+    def _page(self, source: str | None, lang: str | None, size: int | None) -> np.ndarray:
+        key = (source, lang, None if size is None else max(size, 0).bit_length())
+        if key not in self.pages:
+            if len(self.pages) >= CACHED_TOKENS:
+                self.pages.clear()
+            at = [self.place[1][f] for f in meta_features(source, lang, size).tolist() if f in self.place[1]]
+            self.pages[key] = self.weights[1][at].sum(axis=0)
+        return self.pages[key]
+
+    def __call__(self, text: list[str], source: list[str | None], lang: list[str | None], size: list[int | None]) -> dict[str, list[np.ndarray]]:
+        """By target the margins of both views."""
+        if not self.names:
+            return {}
+        words = np.stack([self._words(t) for t in text])
+        pages = np.stack([self._page(*x) for x in zip(source, lang, size, strict=True)])
+        dense = np.stack([measures(t) for t in text])
+        return {n: [words[:, i] + self.views[n][0].measured(dense), pages[:, i] + self.views[n][1].measured(dense[:, :0])] for i, n in enumerate(self.names)}
 
 
 # The tables.
 
+_SEEN = ("text", "source", "lang", "size")
+
 
 def _columns(docs: DataFrame) -> list[Column]:
-    null = F.lit(None).cast("string")
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *((F.col(c).cast("string") if c in docs.columns else null).alias(c) for c in ("source", "lang"))]
+    null = F.lit(None)
+    of = lambda name, kind: (F.col(name) if name in docs.columns else null).cast(kind)
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), of("source", "string").alias("source"), of("lang", "string").alias("lang"), of("n_chars", "long").alias("size")]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Target]:
-    """The targets, learnt from a bounded sample; labels has doc_id, quality and toxic."""
-    d = docs.select(*_columns(docs)).where("doc_id is not null")
-    each = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-    own = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).withColumn("labelled", F.lit(True))
-    prepare(docs.sparkSession)
+def _lists(batch: pa.RecordBatch) -> list[list]:
+    return [batch.column(c).to_pylist() for c in _SEEN]
+
+
+def _with_features(frame: DataFrame, *kept: str) -> pa.Table:
+    """The kept columns and the features (words, dense, meta) of few documents, on the driver."""
+    names = [*kept, "words", "dense", "meta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, source, lang = (b.column(c).to_pylist() for c in ("text", "source", "lang"))
-            words = [np.unique(np.array([f for k in set(TOKEN.findall(t.lower())) for f in token_features(k)], np.uint32)).tobytes() for t in text]
-            meta = [meta_features(t.encode("utf-8", "surrogatepass"), s, g).tobytes() for t, s, g in zip(text, source, lang, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "doc_key", "quality", "toxic", "labelled")), pa.array(words, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "doc_key", "quality", "toxic", "labelled", "words", "meta"])
-
-    keyed = d.join(F.broadcast(own), "doc_id", "left").withColumn("doc_key", F.xxhash64("doc_id", "text", "source", "lang"))
-    features = cut(keyed.select("doc_id", "doc_key", "text", "source", "lang", "quality", "toxic", "labelled").mapInArrow(run, "doc_id long, doc_key long, quality int, toxic int, labelled boolean, words binary, meta binary"), "quality-features")
-    others = features.where("labelled is null").select("doc_key", "words", "meta")
-
-    def surest(views: list, scales: list, given: list[dict]) -> list[dict]:
-        if not pool:
-            return [{}, {}]
-        model = docs.sparkSession.sparkContext.broadcast((views, scales, [set(g) for g in given]))
-
-        def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            views, scales, given = model.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                keys = b.column("doc_key").to_numpy()
-                text = [np.frombuffer(x, np.uint32) for x in b.column("words").to_pylist()]
-                meta = np.stack([np.frombuffer(x) for x in b.column("meta").to_pylist()])
-                for k, x in enumerate((text, meta)):
-                    p = _sigmoid(scales[k][0] + scales[k][1] * views[k].margin(x))
-                    fresh = np.array([key not in given[1 - k] for key in keys.tolist()])
-                    for label, doubt in ((1, 1 - p), (0, p)):
-                        at = np.flatnonzero((doubt < CONFIDENT) & fresh)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(doubt[at]), pa.array(keys[at])], ["view", "label", "doubt", "doc_key"])
-
-        found = others.mapInArrow(calls, "view int, label int, doubt double, doc_key long").groupBy("doc_key", "view", "label").agg(F.min("doubt").alias("doubt"))
-        found = cut(found, "quality-calls")
-        top = None
-        for k, label in ((0, 1), (0, 0), (1, 1), (1, 0)):
-            best = found.where((F.col("view") == k) & (F.col("label") == label)).orderBy("doubt", "doc_key").limit(max(1, pool // 10))
-            top = best if top is None else top.union(best)
-        chosen = [(r.view, r.label, r.doc_key) for r in top.collect()]  # bounded by pool
-        if not chosen:
-            return [{}, {}]
-        keys = docs.sparkSession.createDataFrame([(k,) for k in sorted({c[2] for c in chosen})], "doc_key long")
-        rows = others.join(F.broadcast(keys), "doc_key").dropDuplicates(["doc_key"]).toArrow()
-        seen = dict(zip(rows.column("doc_key").to_pylist(), zip(*(rows.column(c).to_pylist() for c in ("words", "meta")), strict=True), strict=True))
-        out: list[dict] = [{}, {}]
-        for k, label, key in sorted(chosen):
-            words, meta = seen[key]
-            out[k][key] = (label, np.frombuffer(words, np.uint32), np.frombuffer(meta))
-        return out
+            rows = rows_of(dict(zip(_SEEN, _lists(b), strict=True)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in rows)], names)
+
+    kinds = dict(frame.dtypes)
+    return frame.select(*kept, *_SEEN).mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in kept) + "words binary, dense binary, meta binary").toArrow()
+
+
+def _rows(found: pa.Table) -> Rows:
+    words, dense, meta = (found.column(c).to_pylist() for c in ("words", "dense", "meta"))
+    return Rows([np.frombuffer(x, np.uint32) for x in words], np.stack([np.frombuffer(x) for x in dense]) if dense else np.zeros((0, MEASURES)), [np.frombuffer(x, np.uint32) for x in meta])
+
+
+def confident(others: DataFrame, targets: dict[str, Target], most: int) -> dict[str, list[dict[int, float]]]:
+    """Of all documents (key and what the views see), for each target and view the surest calls of either label, ``most`` of
+    each at most, that the other view has not been given yet: {key: label}.
+
+    A task keeps its surest calls only; what all tasks keep holds the surest of all."""
+    model = {n: (t.views, t.scales, [set(g) for g in t.given]) for n, t in targets.items()}
+    model = others.sparkSession.sparkContext.broadcast(model)
+    judge = Target.each
 
-    found = features.where("labelled").drop("labelled", "doc_key").toArrow()  # bounded by labelled
-    words = [np.frombuffer(x, np.uint32) for x in found.column("words").to_pylist()]
-    meta = np.stack([np.frombuffer(x) for x in found.column("meta").to_pylist()]) if words else np.zeros((0, META_SIZE))
-    rows = list(zip(*(found.column(c).to_pylist() for c in ("doc_id", "quality", "toxic")), range(len(words)), strict=True))
-    del found
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], words[r[3]].tobytes()))
-    out = {}
-    for i, (name, default) in enumerate(zip(TARGETS, (0.5, 0.0), strict=True), 1):
-        known = [r for r in rows if r[i] is not None]
-        y, at = np.array([float(r[i] > 0) for r in known]), [r[3] for r in known]
-        out[name] = Target(default).fit([words[k] for k in at], meta[at], y, surest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer({n: m[0] for n, m in model.value.items()})
+        best: dict[tuple[str, int, int], dict[int, float]] = {}
+        surest = lambda calls: dict(sorted(calls.items(), key=lambda x: (x[1], x[0]))[:most])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column("key").to_numpy()
+            margins = scorer(*_lists(b))
+            for n, (_, scales, given) in model.value.items():
+                t = Target(0.0)
+                t.scales = scales
+                for k, p in enumerate(judge(t, margins[n])):
+                    for label, doubt in ((1, 1 - p), (0, p)):
+                        own = best.setdefault((n, k, label), {})
+                        for i in np.flatnonzero(doubt < CONFIDENT).tolist():
+                            if (key := int(keys[i])) not in given[1 - k]:
+                                own[key] = float(doubt[i])
+                        if len(own) > 4 * most:
+                            best[n, k, label] = surest(own)
+        rows = [(n, k, label, key, doubt) for (n, k, label), own in best.items() for key, doubt in surest(own).items()]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["target", "view", "label", "key", "doubt"])
+
+    found = others.mapInArrow(run, "target string, view int, label int, key long, doubt double")
+    found = cut(found.groupBy("target", "view", "label", "key").agg(F.min("doubt").alias("doubt")), "quality-calls")
+    out: dict[str, list[dict[int, float]]] = {n: [{}, {}] for n in targets}
+    top = None
+    for n in targets:
+        for k in range(len(VIEWS)):
+            for label in (1, 0):
+                own = found.where((F.col("target") == n) & (F.col("view") == k) & (F.col("label") == label)).orderBy("doubt", "key").limit(most)
+                top = own if top is None else top.union(own)
+    for r in sorted(top.collect(), key=lambda r: (r.target, r.view, -r.label, r.key)):  # bounded by ``most``
+        out[r.target][r.view][r.key] = float(r.label)
     return out
 
 
+def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Target]:
+    """The targets, learnt from a bounded sample; labels has doc_id, quality and toxic."""
+    prepare(docs.sparkSession)
+    d = docs.select(*_columns(docs)).where("doc_id is not null").withColumn("key", F.xxhash64(*_SEEN))
+    each = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    own = cut(each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "quality-labels")
+    one = d.join(F.broadcast(own), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min_by(F.struct(*_SEEN), "key").alias("d"))
+    found = _with_features(one.select("doc_id", "quality", "toxic", "d.*"), "doc_id", "quality", "toxic")  # bounded by labelled
+    rows = _rows(found)
+    known = list(zip(*(found.column(c).to_pylist() for c in ("doc_id", "quality", "toxic")), range(len(rows.words)), strict=True))
+    known.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    targets = {n: Target(default) for n, default in zip(TARGETS, (0.5, 0.0), strict=True)}
+    for i, n in enumerate(TARGETS, 1):
+        told = [r for r in known if r[i] is not None]
+        targets[n].start(rows.pick(np.array([r[3] for r in told], np.int64)), np.array([float(r[i] > 0) for r in told]))
+    learning = {n: t for n, t in targets.items() if t.constant is None}
+    others = d.join(F.broadcast(own.select("doc_id")), "doc_id", "left_anti").select("key", *_SEEN)
+    exchange(others, learning, max(1, pool // 10) if pool else 0)
+    return targets
+
+
+def exchange(others: DataFrame, targets: dict[str, Target], most: int, pick: Callable = confident) -> None:
+    """The rounds of co-training: views are trained, call the other documents, and are given each other's surest calls."""
+    for _ in range(ROUNDS if most and targets else 0):
+        for t in targets.values():
+            t.train()
+        calls = pick(others, targets, most)
+        keys = sorted({key for n in calls for found in calls[n] for key in found})
+        seen = {}
+        if keys:
+            wanted = others.sparkSession.createDataFrame([(k,) for k in keys], "key long")
+            texts = others.join(F.broadcast(wanted), "key").groupBy("key").agg(F.first(F.struct(*_SEEN)).alias("d")).select("key", "d.*")
+            found = _with_features(texts, "key")
+            rows = _rows(found)
+            seen = {k: rows.pick(np.array([i])) for i, k in enumerate(found.column("key").to_pylist())}
+        for n, t in targets.items():
+            t.learn([{key: (label, seen[key]) for key, label in calls[n][k].items()} for k in (0, 1)])
+    for t in targets.values():
+        t.train()
+        t.combine()
+
+
+def _scored(targets: dict[str, Target], scorer: Scorer, columns: list[list]) -> tuple[dict[str, list[np.ndarray]], np.ndarray]:
+    """Probabilities by target, and which documents are kept."""
+    margins = scorer(*columns)
+    nothing = [np.zeros(len(columns[0]))] * 2
+    found = {n: t.judged(margins.get(n, nothing)) for n, t in targets.items()}
+    return found, (found["quality"][2] >= 0.5) & (found["toxic"][2] < 0.5)
+
+
+def _scorer(targets: dict[str, Target]) -> Scorer:
+    return Scorer({n: t.views for n, t in targets.items() if t.constant is None})
+
+
 def judged(docs: DataFrame, targets: dict[str, Target], carried: tuple[str, ...] = ()) -> DataFrame:
     """Adds to every row, beside doc_id: p_quality and p_toxic (both views), text_* and meta_* (each view), and keep.
 
-    ``carried`` names columns of ``docs`` that are passed on."""
+    ``carried`` names columns of ``docs`` that are passed on; one named like a result is passed on as carried_<name>."""
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(targets)
-    own = [F.col(c).alias(f"_{i}") for i, c in enumerate(carried)]
-    frame = docs.select(*_columns(docs), *own)
+    frame = docs.select(*_columns(docs), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carried)))
     names = [f"{v}_{n}" for n in TARGETS for v in ("text", "meta", "p")]
+    extra = [f"_{i}" for i in range(len(carried))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = _scorer(model.value)
         for b in batches:
-            if not b.num_rows:
-                continue
-            found = scorer(*(b.column(c).to_pylist() for c in ("text", "source", "lang")))
-            p = [x for n in TARGETS for x in found[n]]
-            keep = (found["quality"][2] >= 0.5) & (found["toxic"][2] < 0.5)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, p), pa.array(keep), *(b.column(f"_{i}") for i in range(len(carried)))], ["doc_id", *names, "keep", *(f"_{i}" for i in range(len(carried)))])
+            if b.num_rows:
+                found, keep = _scored(model.value, scorer, _lists(b))
+                p = [x for n in TARGETS for x in found[n]]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, p), pa.array(keep), *(b.column(c) for c in extra)], ["doc_id", *names, "keep", *extra])
 
-    schema = "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", keep boolean"
     kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
-    schema += "".join(f", _{i} {kinds[f'_{i}']}" for i in range(len(carried)))
+    schema = "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", keep boolean" + "".join(f", {c} {kinds[c]}" for c in extra)
+    new = {e: f"carried_{c}" if c in (*names, "keep") else c for e, c in zip(extra, carried, strict=True) if c != "doc_id"}
     out = frame.mapInArrow(run, schema)
-    return out.withColumnsRenamed({f"_{i}": c for i, c in enumerate(carried) if c != "doc_id"})
+    return out.select("doc_id", *names, "keep", *(F.col(e).alias(c) for e, c in new.items()))
+
+
+def kept(docs: DataFrame, targets: dict[str, Target]) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns, whatever their names."""
+    prepare(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(targets)
+    seen = _columns(docs)
+    frame = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)), *seen)
+    extra = [f"_{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(model.value)
+        for b in batches:
+            if b.num_rows:
+                yield b.select(extra).filter(pa.array(_scored(model.value, scorer, _lists(b))[1]))
+
+    out = frame.mapInArrow(run, frame.select(*extra).schema)
+    return out.select(*(F.col(e).alias(c) for e, c in zip(extra, docs.columns, strict=True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
