@@ -13,9 +13,7 @@ from graphloom.llm.common import cut, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps: of quality, and not toxic."""
-    targets = quality.fitted(docs, table(spark, sf_dir, "labels"))
-    names = tuple(docs.columns)
-    return quality.judged(docs, targets, names).where("keep").select(*names)
+    return quality.kept(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
