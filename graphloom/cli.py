@@ -9,6 +9,8 @@ import argparse
 import logging
 import time
 
+from pyspark.sql import Row
+
 from graphloom.operators.graph import Graph
 from graphloom.plans.pipelines import PIPELINES, WARPS, strong_components
 from graphloom.plans.session import local_session
@@ -28,6 +30,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def report(row: Row, trimmed: bool) -> list[str]:
+    """The lines for a run's summary, but for the time."""
+    return [f"numberOf1Sccs: {row.n_trim1}"] * trimmed + [f"Number Of Sccs : {row.n_scc}"]
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.a == "d" and not args.partition:
@@ -40,10 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         graph = Graph(graph.vertices, graph.edges, read_partition(spark, args.partition, graph))
     start = time.time()
     result = strong_components(graph, args.a, bool(args.p), bool(args.q), args.w)
-    row = result.summary().first()
-    if args.p:
-        print(f"numberOf1Sccs: {row.n_trim1}")
-    print(f"Number Of Sccs : {row.n_scc}")
+    print(*report(result.summary().first(), bool(args.p)), sep="\n")
     print(f"Time : {(time.time() - start) * 1000:f}")
     return 0
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import alike, symmetrize
 from graphloom.operators.reach import search
-from graphloom.plans.scratch import cut, cut_counted
+from graphloom.plans.scratch import cut, cut_observed, discard
 
 
 def unique_labels(vertices: DataFrame) -> DataFrame:
@@ -36,21 +36,30 @@ def jump(labels: DataFrame) -> DataFrame:
 def extreme_reachable(vertices: DataFrame, edges: DataFrame, largest: bool = False) -> tuple[DataFrame, int]:
     """((id, label), rounds): the least (or largest) id that each vertex reaches over edges, itself included.
 
-    A label is always reached, and so is all that the label reaches: jumping is right for directed edges too."""
-    edges = cut(edges.select("src", "dst").distinct().where("src <> dst"), "label-edges")
+    A round is one job over the labels of the round before: a vertex takes the best of its own label, of those
+    out-neighbours whose labels have just changed, and of its label's label. A label is always reached, and so is all
+    that the label reaches: jumping is right for directed edges too. The edges that are looked at shrink to those of
+    vertices that still change; it ends with the round in which none did."""
+    both, best = (F.greatest, F.max) if largest else (F.least, F.min)
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct(), "label-edges")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    labels = unique_labels(ends)  # the others keep their own id
-    rounds = 0
+    labels = propagate(unique_labels(ends), edges, largest)  # vertices without edges keep their own id
+    labels, _ = cut_observed(labels.withColumn("changed", F.col("label") != F.col("id")), "label", F.count(F.lit(1)).alias("n"))
+    rounds = 1
     while True:
-        new = jump(cut(propagate(labels, edges, largest), "label"))
-        old = labels.select("id", F.col("label").alias("old"))
-        joined = new.join(old, "id").withColumn("changed", F.col("label") != F.col("old"))
-        marked, n = cut_counted(joined.select("id", "label", "changed"), "label")
-        labels = marked.select("id", "label")
+        fresh = labels.where("changed").select(F.col("id").alias("dst"), F.col("label").alias("near"))
+        near = edges.join(fresh, "dst").groupBy(F.col("src").alias("id")).agg(best("near").alias("near"))
+        ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("ahead"))
+        new = labels.join(ahead, "label").join(near, "id", "left").select("id", "label", both("ahead", "near").alias("new"))
+        new = new.select("id", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed"))
+        old = labels
+        labels, seen = cut_observed(new, "label", F.count_if("changed").alias("n"))
+        discard(old)
         rounds += 1
-        if not n or not marked.where("changed").head(1):
+        if not seen["n"]:
             break
-    out = vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    discard(edges)
+    out = vertices.select("id").join(labels.select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     return out, rounds
 
 

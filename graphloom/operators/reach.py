@@ -17,7 +17,7 @@ def level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
 
 
-def search(seeds: DataFrame, edges: DataFrame, keys: list[str], most: int = 1_000_000) -> tuple[DataFrame, int]:
+def search(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     """((keys, id, level), rounds) of all that ``seeds`` (keys, id) reach over edges (keys, src, dst), seeds included.
 
     Without keys on the edges every seed key spreads over all edges."""
@@ -27,7 +27,7 @@ def search(seeds: DataFrame, edges: DataFrame, keys: list[str], most: int = 1_00
     frontier, n = cut_counted(seeds.select(*columns).distinct(), path=f"{path}/level=0")
     schema = f"{', '.join(f'{c} {t}' for c, t in frontier.dtypes)}, level int"
     rounds = 0
-    while n and rounds < most:
+    while n:
         rounds += 1
         visited = spark.read.schema(schema).parquet(path).select(*columns)
         step = frontier.withColumnRenamed("id", "src").join(edges, [*own, "src"]).select(*keys, F.col("dst").alias("id")).distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.scratch import cut_counted
+from graphloom.plans.scratch import cut_counted, discard
 
 
 def sources(edges: DataFrame) -> DataFrame:
@@ -36,8 +36,9 @@ def peel(edges: DataFrame, within: bool = True, without: bool = True, label: str
             rest = rest.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         if without:
             rest = rest.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        before = n
+        before, old = n, edges
         edges, n = cut_counted(rest.select("src", "dst"), label)
+        discard(old)
         rounds += 1
         if n == before:
             break

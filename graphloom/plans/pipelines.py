@@ -19,7 +19,7 @@ from graphloom.operators.graph import Graph, alike, among, degrees
 from graphloom.operators.label import color_components, max_color, min_reachable_label
 from graphloom.operators.merge import local_components, merged_components
 from graphloom.operators.trim import trim1, trim1_survivors, trim2
-from graphloom.plans.scratch import cut
+from graphloom.plans.scratch import cut, discard
 
 log = logging.getLogger(__name__)
 
@@ -55,8 +55,10 @@ class _Run:
         """Takes found (id, component) out of the active vertices and edges."""
         found = cut(found.select("id", "component", F.lit(kind).alias("kind")), kind)
         self.done.append(found)
-        self.state = cut(self.state.join(found, "id", "left_anti"), "state")
-        self.edges = cut(among(self.edges, self.state), "edges")
+        state, edges = self.state, self.edges
+        self.state = cut(state.join(found, "id", "left_anti"), "state")
+        self.edges = cut(among(edges, self.state), "edges")
+        discard(state, edges)
 
     def trim1(self, once: bool = False) -> int:
         inside = alike(self.edges, self.state, "color")
@@ -123,12 +125,11 @@ def hong(graph: Graph, use_trim1: bool = True, use_trim2: bool = True, finish_ed
     """Trim, take out the component of the vertex of the largest degree product, trim, decompose by reachable labels,
     and split the rest by forward-backward search of all labels at once.
 
-    Any pipeline hands what is left after its first trimming to one task if it has at most ``finish_edges`` edges."""
+    Any pipeline hands what is left after its trimming phases to one task if it has at most ``finish_edges`` edges; the
+    components found by each phase are the same as without."""
     run = _Run(graph)
     if use_trim1:
         run.phase("trim1", run.trim1)
-    if run.small(finish_edges):
-        return run.result()
     run.phase("first pivot", run.first_pivot)
     if use_trim1:
         run.phase("trim1", run.trim1)
@@ -136,6 +137,8 @@ def hong(graph: Graph, use_trim1: bool = True, use_trim2: bool = True, finish_ed
         run.phase("trim2", run.trim2)
         if use_trim1:
             run.phase("trim1", run.trim1)
+    if run.small(finish_edges):
+        return run.result()
     run.phase("labels", run.labels)
     run.phase("split", run.split_colors)
     return run.result()
@@ -146,9 +149,9 @@ def slota(graph: Graph, use_trim1: bool = True, finish_edges: int = 0) -> Result
     run = _Run(graph)
     if use_trim1:
         run.phase("trim1", lambda: run.trim1(once=True))
+    run.phase("first pivot", run.first_pivot)
     if run.small(finish_edges):
         return run.result()
-    run.phase("first pivot", run.first_pivot)
     run.phase("coloring", run.coloring)
     return run.result()
 
@@ -160,12 +163,12 @@ def partitioned(graph: Graph, use_trim1: bool = True, use_trim2: bool = True, fi
     run = _Run(graph)
     if use_trim1:
         run.phase("trim1", run.trim1)
-    if run.small(finish_edges):
-        return run.result()
     if use_trim2:
         run.phase("trim2", run.trim2)
         if use_trim1:
             run.phase("trim1", run.trim1)
+    if run.small(finish_edges):
+        return run.result()
     parts = cut(graph.parts.join(run.state.select("id"), "id", "left_semi").select("id", "part"), "parts")
     rest = Graph(run.state.select("id"), run.edges, parts)
     local: list[DataFrame] = []

@@ -10,13 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.cli import report
 from graphloom.functions.tags import packed_tag
 from graphloom.operators import fwbw, label, merge, pivot, reach, trim
 from graphloom.operators import graph as g
 from graphloom.operators.graph import Graph
 from graphloom.plans import pipelines
-from graphloom.plans.scratch import cut
-from graphloom.sources.text_graphs import metis_lines
+from graphloom.plans.scratch import cut, new_path
+from graphloom.sources import text_graphs
 from graphloom.sources.views import block_colors, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,7 +99,7 @@ def adjacency_list(graph):
     union all select 0, (select count(*) from v)::varchar || ' ' || (select count(*) from m)::varchar""",
 )
 def metis(graph):
-    return metis_lines(graph)
+    return text_graphs.metis_lines(graph)
 
 
 @query("a", "select id, out_degree, in_degree from dg")
@@ -417,3 +418,112 @@ def component_histogram(graph):
 @query("b", "select distinct x.component as src, y.component as dst from m join c x on x.id = m.src join c y on y.id = m.dst where x.component <> y.component", closure("m"), f"c as ({SCC})")
 def condensation_edges(graph):
     return pipelines.condensation_edges(cut(merge.components_of(graph.vertices, graph.edges)), graph.edges)
+
+
+#: Counts by phase of scc_hong: what trimming leaves (core), the first pivot's component (ps), pairs (tw) and their vertices (tv).
+PHASES = (
+    closure("m"),
+    core("m"),
+    "f2 as (select id from dg where id in (select id from core) order by score desc, id limit 1)",
+    "ps as (select x.d as id from r x join r y on x.s = y.d and x.d = y.s where x.s = (select id from f2))",
+    "m2 as (select * from m where src in (select id from core) and dst in (select id from core) and src not in (select id from ps) and dst not in (select id from ps))",
+    core("m2", "core2", "cyc2"),
+    "m3 as (select * from m2 where src in (select id from core2) and dst in (select id from core2))",
+    "i as (select dst as id, count(*) as n, min(src) as k from m3 group by 1)",
+    "o as (select src as id, count(*) as n, min(dst) as k from m3 group by 1)",
+    """tw as (select least(x.id, x.k) as a, greatest(x.id, x.k) as b from i x join i y on x.k = y.id and y.k = x.id where x.n = 1 and y.n = 1
+    union select least(x.id, x.k), greatest(x.id, x.k) from o x join o y on x.k = y.id and y.k = x.id where x.n = 1 and y.n = 1)""",
+    "tv as (select a as id from tw union select b from tw)",
+    "m4 as (select * from m3 where src not in (select id from tv) and dst not in (select id from tv))",
+    core("m4", "core4", "cyc4"),
+    f"c as ({SCC})",
+    """counts as (select (select count(distinct component) from c)::bigint as n_scc, (select count(distinct a) from tw)::bigint as n_trim2,
+    ((select count(*) from v) - (select count(*) from ps) - (select count(*) from tv) - (select count(*) from core4))::bigint as n_trim1)""",
+)
+
+
+@query("a", "select n_scc, n_trim1, n_trim2, n_scc - n_trim1 - n_trim2 as n_pivot from counts", *PHASES)
+def scc_counts(graph):
+    """What each phase finds, a small rest in one task."""
+    return pipelines.strong_components(graph).summary()
+
+
+@query("a", "select 1::bigint as row, 'numberOf1Sccs: ' || n_trim1 as line from counts union all select 2, 'Number Of Sccs : ' || n_scc from counts", *PHASES)
+def cli_report(graph):
+    """What the command line prints, but for the time."""
+    lines = report(pipelines.strong_components(graph).summary().first(), True)
+    return graph.vertices.sparkSession.createDataFrame(list(enumerate(lines, 1)), "row long, line string")
+
+
+HONG_PHASES = ("trim1", "first pivot", "trim1", "trim2", "trim1", "labels", "split")
+
+
+@query("b", f"select * from (values {', '.join(f"({i}::bigint, '{p}', true)" for i, p in enumerate(HONG_PHASES, 1))}) as t(step, phase, counted)")
+def scc_phases(graph):
+    """The phases of a run in order, and whether each has its rounds and seconds."""
+    phases = pipelines.hong(graph).phases
+    rows = [(i, p["phase"], p["rounds"] >= 1 and p["seconds"] > 0) for i, p in enumerate(phases, 1)]
+    return graph.vertices.sparkSession.createDataFrame(rows, "step long, phase string, counted boolean")
+
+
+# Text formats: files made of a view's graph, in the scratch folder, and what the readers make of them.
+
+WEIGHT = "(src + dst) % 9 + 1"
+
+
+def _file(graph: Graph, lines: DataFrame, *head: str) -> str:
+    spark = graph.vertices.sparkSession
+    path = new_path(spark, "text")
+    first = spark.createDataFrame([(x,) for x in head], "line string")
+    (first.union(lines) if head else lines).write.text(path)
+    return path
+
+
+def _edge_lines(graph: Graph) -> DataFrame:
+    return graph.edges.select(F.format_string("a %d %d %d", "src", "dst", F.expr(WEIGHT)).alias("line"))
+
+
+def _read_gtgraph(graph: Graph) -> tuple[Graph, DataFrame]:
+    head = [*(f"c comment {i}" for i in range(7)), f"p sp {graph.vertices.count()} {graph.edges.count()}"]
+    return text_graphs.read_gtgraph(graph.vertices.sparkSession, _file(graph, _edge_lines(graph), *head))
+
+
+@query("a", f"select src, dst, ({WEIGHT})::bigint as weight from m")
+def gtgraph_scan(graph):
+    return _read_gtgraph(graph)[1]
+
+
+@query("a", "select (select count(*) from v)::bigint as n_vertices, (select count(*) from m)::bigint as n_edges")
+def gtgraph_sizes(graph):
+    """As the file's size line has them."""
+    read, edges = _read_gtgraph(graph)
+    return graph.vertices.sparkSession.createDataFrame([(read.vertices.count(), edges.count())], "n_vertices long, n_edges long")
+
+
+@query("a", f"select src, dst, ({WEIGHT})::bigint as weight from m")
+def plain_scan(graph):
+    path = _file(graph, _edge_lines(graph), f"{graph.vertices.count()} {graph.edges.count()}")
+    return text_graphs.read_plain(graph.vertices.sparkSession, path)[1]
+
+
+@query("a", "select id, part from p")
+def partition_scan(graph):
+    path = _file(graph, graph.parts.orderBy("id").select(F.col("part").cast("string").alias("line")))
+    return text_graphs.read_partition(graph.vertices.sparkSession, path, graph)
+
+
+def _read_metis(graph: Graph) -> DataFrame:
+    path = new_path(graph.vertices.sparkSession, "metis")
+    text_graphs.write_metis(graph, path)
+    return text_graphs.read_metis(graph.vertices.sparkSession, path)[0]
+
+
+@query("b", "select k as id, (row_number() over (partition by k order by way, n) - 1)::int as pos, n as nbr from (select src as k, 0 as way, dst as n from m union all select dst, 1, src from m)")
+def metis_scan(graph):
+    return _read_metis(graph)
+
+
+@query("b", "select src, dst from m union select dst, src from m")
+def metis_round_trip(graph):
+    """The converter's lines read back are the edges either way."""
+    return _read_metis(graph).select(F.col("id").alias("src"), F.col("nbr").alias("dst")).distinct()

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; one of our own only where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, found[7:], True)
         spark.sparkContext.setCheckpointDir(found)
@@ -30,12 +33,34 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Writes ``df`` to a table in the scratch folder and reads it back: computed once, however often it is read."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _table(df, path)
 
 
-def cut_counted(df: DataFrame, label: str = "cut", path: str | None = None) -> tuple[DataFrame, int]:
-    """``cut``, and the number of rows, from the same job."""
+def cut_observed(df: DataFrame, label: str, *measures: Column, path: str | None = None) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates of the rows by their names, from the same job."""
     seen = Observation()
     path = path or new_path(df.sparkSession, label)
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+    df.observe(seen, *measures).write.option("compression", "zstd").parquet(path)
+    return _table(df, path), seen.get
+
+
+def cut_counted(df: DataFrame, label: str = "cut", path: str | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows, from the same job."""
+    table, seen = cut_observed(df, label, F.count(F.lit(1)).alias("n"), path=path)
+    return table, seen["n"]
+
+
+def _table(df: DataFrame, path: str) -> DataFrame:
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` made and that a later one, already written, takes the place of."""
+    for t in tables:
+        path = getattr(t, "_scratch_path", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -94,11 +94,31 @@ def test_small_rest(spark, algorithm):
     n, edges, parts = everything()[1]
     result = pipelines.strong_components(made(spark, n, edges, parts), algorithm, warp_size=32)
     assert pairs(result.components, "id", "component") == sorted(strong(n, edges).items())
-    assert [p["phase"] for p in result.phases] == ["trim1", "finish"]
+    before = {"x": ["trim1", "first pivot", "trim1", "trim2", "trim1"], "y": ["trim1", "first pivot"], "d": ["trim1", "trim2", "trim1"]}
+    assert [p["phase"] for p in result.phases] == [*before[algorithm], "finish"]
     with pytest.raises(ValueError, match="more than 3"):
         small_components(made(spark, n, edges).edges, 3)
 
 
+def test_counts_by_phase_of_a_small_graph(spark):
+    """A tail trimmed first, a pivot of degree product 4, a pair, and a vertex that only trimming after the pair finds."""
+    edges = [(9, 1), (1, 2), (2, 3), (3, 1), (1, 3), (3, 2), (3, 4), (4, 5), (5, 4), (5, 6), (6, 7), (7, 8), (8, 10), (10, 7)]
+    for finish in (0, 1000):
+        s = pipelines.strong_components(made(spark, 10, edges), "g", finish_edges=finish).summary().first()
+        assert (s.n_scc, s.n_trim1, s.n_trim2, s.n_pivot) == (5, 2, 1, 2)
+
+
+def test_scratch_must_be_shared_off_one_machine(spark, monkeypatch):
+    from graphloom.plans import scratch
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="share"):
+        scratch.scratch_dir(Elsewhere())
+
+
 def test_one_task_against_the_model():
     r = random.Random(5)
     for _ in range(300):
