@@ -23,11 +23,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, prepare, table
@@ -39,8 +40,8 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 BEGINNINGS = (4, 5, 6)
 #: Features of a view in the model: at least so many documents, so many standard errors in the text view, and at most so many.
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 5, 4.0, 4_000
-#: Tokens that a worker remembers, and the longest of them.
-CACHED_TOKENS, CACHED_LENGTH = 300_000, 40
+#: Stretches between white space that a worker remembers, and the longest of them.
+CACHED_CHUNKS, CACHED_LENGTH = 500_000, 40
 
 
 # What the views see.
@@ -55,9 +56,32 @@ def token_features(token: str) -> list[int]:
     return [_hashed(token), *(_hashed(f"{n}^{token[:n]}") for n in BEGINNINGS if len(token) > n)]
 
 
-def word_features(text: str) -> np.ndarray:
+class Chunks:
+    """What ``of`` gives for the tokens between white space, remembered: tokens do not reach across it."""
+
+    def __init__(self, of: Callable[[str], list[int]]) -> None:
+        self.of, self.seen = of, {}
+
+    def __call__(self, text: str) -> set[int]:
+        seen, chunks = self.seen, list(set(text.lower().split()))
+        if len(seen) + len(chunks) > CACHED_CHUNKS:
+            seen.clear()
+        own = list(map(seen.get, chunks))
+        if None in own:
+            for i, c in enumerate(chunks):
+                if own[i] is None:
+                    own[i] = [f for token in TOKEN.findall(c) for f in self.of(token)]
+                    if len(c) <= CACHED_LENGTH:
+                        seen[c] = own[i]
+        found: set[int] = set()
+        found.update(*filter(None, own))
+        return found
+
+
+def word_features(text: str, chunks: Chunks) -> np.ndarray:
     """The distinct features of a text's tokens, sorted."""
-    return np.unique(np.array([f for token in set(TOKEN.findall(text.lower())) for f in token_features(token)], np.uint32))
+    found = chunks(text)
+    return np.sort(np.fromiter(found, np.uint32, len(found)))
 
 
 def _kinds() -> np.ndarray:
@@ -79,7 +103,7 @@ def measures(text: str) -> np.ndarray:
     n, words, lines = max(len(raw), 1), raw.split(), raw.count(b"\n") + 1
     m = max(len(words), 1)
     shares = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _KINDS / n
-    again = sum(map(bytes.__eq__, words, words[1:])) / m
+    again = sum(map(eq, words, words[1:])) / m
     return np.array([*np.sqrt(shares), np.log1p(len(raw)), np.log1p(lines), np.log1p(len(raw) / lines), len(set(words)) / m, again, len(raw) / m / 10])
 
 
@@ -106,9 +130,9 @@ class Rows(NamedTuple):
 
 def rows_of(columns: dict[str, list]) -> Rows:
     """Of columns text, source, lang and size."""
-    text = columns["text"]
+    text, chunks = columns["text"], Chunks(token_features)
     dense = np.stack([measures(t) for t in text]) if text else np.zeros((0, MEASURES))
-    return Rows([word_features(t) for t in text], dense, [meta_features(*x) for x in zip(columns["source"], columns["lang"], columns["size"], strict=True)])
+    return Rows([word_features(t, chunks) for t in text], dense, [meta_features(*x) for x in zip(columns["source"], columns["lang"], columns["size"], strict=True)])
 
 
 # The learners. Rows are documents; y is 0 or 1.
@@ -256,7 +280,7 @@ class Target:
 
 
 class Scorer:
-    """Margins of documents for all targets; remembers which of the model's features a token has."""
+    """Margins of documents for all targets."""
 
     def __init__(self, views: dict[str, list[View]]) -> None:
         """views: by target, those of targets that have any."""
@@ -271,20 +295,12 @@ class Scorer:
                 w[np.searchsorted(features, views[n][k].names), i] = views[n][k].w
             self.place.append({f: i for i, f in enumerate(features.tolist())})
             self.weights.append(w)
-        self.names, self.seen, self.pages = names, {}, {}
+        self.names, self.pages = names, {}
+        place = self.place[0]
+        self.chunks = Chunks(lambda token: [place[f] for f in token_features(token) if f in place])
 
     def _words(self, text: str) -> np.ndarray:
-        seen, place, found = self.seen, self.place[0], set()
-        for token in set(TOKEN.findall(text.lower())):
-            own = seen.get(token)
-            if own is None:
-                own = [place[f] for f in token_features(token) if f in place]
-                if len(token) <= CACHED_LENGTH:
-                    if len(seen) >= CACHED_TOKENS:
-                        seen.clear()
-                    seen[token] = own
-            if own:
-                found.update(own)
+        found = self.chunks(text)
         at = np.fromiter(found, np.int64, len(found))
         at.sort()  # the same sum whatever the order of the tokens
         return self.weights[0][at].sum(axis=0)
@@ -292,7 +308,7 @@ class Scorer:
     def _page(self, source: str | None, lang: str | None, size: int | None) -> np.ndarray:
         key = (source, lang, None if size is None else max(size, 0).bit_length())
         if key not in self.pages:
-            if len(self.pages) >= CACHED_TOKENS:
+            if len(self.pages) >= CACHED_CHUNKS:
                 self.pages.clear()
             at = [self.place[1][f] for f in meta_features(source, lang, size).tolist() if f in self.place[1]]
             self.pages[key] = self.weights[1][at].sum(axis=0)
@@ -375,15 +391,12 @@ def confident(others: DataFrame, targets: dict[str, Target], most: int) -> dict[
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["target", "view", "label", "key", "doubt"])
 
     found = others.mapInArrow(run, "target string, view int, label int, key long, doubt double")
-    found = cut(found.groupBy("target", "view", "label", "key").agg(F.min("doubt").alias("doubt")), "quality-calls")
+    found = found.groupBy("target", "view", "label", "key").agg(F.min("doubt").alias("doubt")).withColumn("part", F.pmod("key", F.lit(64)))
+    for group in (["target", "view", "label", "part"], ["target", "view", "label"]):  # of each part, then of all
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("doubt", "key"))
+        found = found.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
     out: dict[str, list[dict[int, float]]] = {n: [{}, {}] for n in targets}
-    top = None
-    for n in targets:
-        for k in range(len(VIEWS)):
-            for label in (1, 0):
-                own = found.where((F.col("target") == n) & (F.col("view") == k) & (F.col("label") == label)).orderBy("doubt", "key").limit(most)
-                top = own if top is None else top.union(own)
-    for r in sorted(top.collect(), key=lambda r: (r.target, r.view, -r.label, r.key)):  # bounded by ``most``
+    for r in sorted(found.collect(), key=lambda r: (r.target, r.view, -r.label, r.key)):  # bounded by ``most``
         out[r.target][r.view][r.key] = float(r.label)
     return out
 
