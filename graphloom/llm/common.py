@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.plans.scratch import cut, scratch_dir
+from graphloom.plans.scratch import cut, cut_counted, discard, scratch_dir
 from graphloom.plans.session import ship
 
-__all__ = ["ascii_lower", "cut", "documents", "partitions", "prepare", "scratch_dir", "table", "utf8"]
+__all__ = ["ascii_lower", "cut", "cut_counted", "discard", "documents", "partitions", "prepare", "scratch_dir", "table", "utf8"]
 
 #: Documents an Arrow batch holds at most: Python workers see a few MB at a time.
 BATCH_ROWS = 500

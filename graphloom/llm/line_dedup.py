@@ -4,11 +4,12 @@ A line's key is the line stripped of ASCII white space with A-Z lower-cased; two
 for it. Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents keep only
 their lines in the largest doc_id that holds them.
 
-The hashes, which are uniform, are partitioned into equal ranges; within a range the rows are sorted by
-hash, then document and position, and streamed: the first document of a hash is the one that keeps it, and its
-rank from either end tells how many documents there are, so no group is held in memory. The most
-frequent hashes, 1,000 at most, would each fill a range: they are counted with partial aggregation
-instead, and their verdict, 1,000 rows at most, is broadcast.
+The hashes are written once. They are range-partitioned, and within a range sorted by hash, then document and position,
+and streamed: a hash's documents are numbered as they come, which tells how many there are and which is the
+last, the one that keeps it. A hash with more lines than a tenth of an average partition is hot and
+would make its range uneven: hot hashes, of which there are at most ten times as many as partitions whatever the
+data, are counted with partial aggregation instead, and their verdict is broadcast. All other hashes have too few lines to need
+splitting.
 
 A null text is one empty line. A null doc_id is one document, the smallest. Rows that are equal in
 doc_id and text get the same bitmap; rows of one doc_id with different texts count as one document.
@@ -19,13 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, cut, documents, partitions, table
+from graphloom.llm.common import ascii_lower, cut, cut_counted, documents, partitions, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: A hash is counted apart if it has so many lines and is among so many most frequent ones.
-HOT_LINES, HOT_KEYS = 1_000, 1_000
-#: Ranges of hashes for each partition, so that partitions get like numbers of them.
-RANGES = 32
+#: A hash is counted apart if it has so many lines at least, and more than this share of an average partition.
+HOT_LINES, HOT_SHARE = 1_000, 10
 _WHITE = " \t\n\x0b\x0c\r"
 _LEAST = -(1 << 63)
 
@@ -39,23 +38,21 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keys.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"), "n", "doc_key", "pos")
 
 
-def dropped_lines(hashes: DataFrame, min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES, hot_keys: int = HOT_KEYS) -> DataFrame:
+def dropped_lines(hashes: DataFrame, min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
     """(doc_key, pos) of the lines that go."""
-    hot = hashes.groupBy("h1").count().where(F.col("count") >= hot_lines).orderBy(F.desc("count"), "h1").limit(hot_keys)
-    hot = F.broadcast(cut(hot.select("h1", F.lit(True).alias("hot")), "hot"))
-    marked = hashes.join(hot, "h1", "left")
-
     parts = partitions(hashes.sparkSession)
-    ranges = RANGES * parts
-    width = (1 << 64) // ranges + 1
-    place = F.floor((F.col("h1").cast("decimal(20,0)") - F.lit(str(_LEAST)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("int")
-    cool = marked.where("hot is null").drop("hot").withColumn("range", place).repartition(parts, "range")
-    by_hash = Window.partitionBy("range", "h1", "h2")
-    up, down = F.dense_rank().over(by_hash.orderBy(F.asc("n"))), F.dense_rank().over(by_hash.orderBy(F.desc("n")))
-    ranked = cool.withColumn("up", up).withColumn("down", down)
-    gone = ranked.where((F.col("down") > 1) & (F.col("up") + F.col("down") - 1 >= min_docs)).select("doc_key", "pos")
-
-    warm = marked.where("hot").drop("hot")
+    hashes, n = cut_counted(hashes, "line-hashes")
+    least = max(hot_lines, n // (HOT_SHARE * parts) + 1)
+    # At most n / least hashes have so many lines: under HOT_SHARE * parts.
+    hot = F.broadcast(cut(hashes.groupBy("h1").count().where(F.col("count") >= least).select("h1"), "hot"))
+
+    cool = hashes.join(hot, "h1", "left_anti").repartitionByRange(parts, "h1")
+    of_hash = Window.partitionBy("h1", "h2")
+    numbered = cool.withColumn("nth", F.dense_rank().over(of_hash.orderBy("n")))
+    judged = numbered.withColumn("docs", F.max("nth").over(of_hash))
+    gone = judged.where((F.col("docs") >= min_docs) & (F.col("nth") < F.col("docs"))).select("doc_key", "pos")
+
+    warm = hashes.join(hot, "h1")
     verdict = warm.select("h1", "h2", "n").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("n").alias("keeper"))
     # One row for each h2 under the hot h1: as many as there are hot keys, but for collisions of 64-bit hashes.
     verdict = verdict.where(F.col("docs") >= min_docs).select("h1", "h2", "keeper")
