@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that is reachable, for every node of ``edges`` (a, b).
 
     Each round links every node to the least of its neighbours, first on the larger side, then on the
-    smaller; a hub's neighbours are joined, never gathered. Loops and repeated edges do no harm.
+    smaller, until nothing changes; a hub's neighbours are joined, never gathered. Loops and repeated edges do no harm.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     e = cut(e, "edges")
     state = _state(e)
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        e, before = cut(small, "edges"), state
+        old, before = e, state
+        e = cut(small, "edges")
         state = _state(e)
+        discard(old)
         if state == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -4,7 +4,7 @@ Documents are cut into pieces of at most ``capacity`` tokens, dealt to partition
 and packed there by best-fit decreasing. A dual-feasible-function lower bound on the partition's own
 pieces certifies its bin count when the two are equal. Partitions with a gap give up the pieces
 of their bins that are not full; those are dealt anew among them and packed again, until all is
-certified, no bin is saved, or ``rounds`` is reached.
+certified or no bin is saved.
 
 Null and empty texts are documents of the end id alone. Every row is packed, repeated rows too.
 """
@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -171,7 +172,7 @@ def _packed(items: DataFrame, number: int, parts: int, capacity: int) -> DataFra
     return dealt.groupBy("part").applyInPandas(run, PLACED)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = 4, part_pieces: int = PART_PIECES) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
     """Places ``pieces``: adds sequence_id, offset, and whether a lower bound certified its partition's count.
 
     A round takes the bins with a gap of partitions that are not certified, and of the others the bins
@@ -186,7 +187,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = 4, part_piece
     placed = cut(_packed(items, 0, max(1, -(-n // part_pieces)), capacity), "packed-0")
     done: list[DataFrame] = []
     bins = number_of_bins(placed)
-    for r in range(1, rounds):
+    for r in count(1):
         if bins <= bound:
             break
         pooled = f"gap > 0 and (not certified or gap >= {capacity // 16})"
