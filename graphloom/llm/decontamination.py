@@ -5,7 +5,8 @@ some stretch of the document is within floor(n / 5) word edits of it (similarity
 
 1. Of floor(n / 5) + 1 disjoint blocks of an item, so many edits leave one whole. Item-sized windows
    are taken wherever a document holds a whole block, at every start that the edits allow. This loses
-   nothing, and spares the walks below on the rest of the text.
+   nothing, and spares the walks below on the rest of the text. Items of fewer than ``MIN_WORDS`` words allow no
+   edit: their only block is the item, and where it is found the search ends.
 2. A CGK random walk maps a window to a string in which windows a few edits apart differ in
    few places. Samples of ``SAMPLES`` places make ``WALKS * TABLES`` keys; equal keys give candidates, whatever
    block led there.
@@ -14,8 +15,9 @@ some stretch of the document is within floor(n / 5) word edits of it (similarity
 Documents are read once and never shuffled. The items' index is broadcast in blocks of ``BLOCK_BYTES`` of
 item text at most; a larger benchmark takes a pass for each block.
 
-Null texts are empty and hold nothing. Items of fewer than ``MIN_WORDS`` words identify no source and are
-never reported; null and repeated items are reported like any other, each under its item_id.
+Null texts are empty and hold nothing. Short items are reported wherever they occur word for word, which need
+not mean that a document was copied: ``clean`` keeps such documents unless it is told otherwise. Items without
+words are in no document; null and repeated items are reported like any other, each under its item_id.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import documents, prepare, table
 
 MIN_WORDS, EDITS_PER_WORD = 5, 5
+#: The kind of items that are found as they are.
+EXACT = -1
 WALKS, TABLES, SAMPLES = 16, 8, 3
 BLOCK_BYTES = 16 << 20
 WORD = re.compile(r"\w+")
@@ -106,11 +110,11 @@ def closest(pattern: list[int], text: list[int]) -> tuple[int, int, int]:
 class Index:
     """The items of a block: their blocks of whole words, and the LSH keys of their embeddings."""
 
-    def __init__(self, items: list[tuple[int | None, str]], seed: int = 1) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], seed: int = 1, least_words: int = 1) -> None:
         self.ids, self.words, seen = [], [], set()
         for i, text in items:
             w = word_hashes(text)
-            if len(w) >= MIN_WORDS and (i, text) not in seen:
+            if len(w) >= least_words and (i, text) not in seen:
                 seen.add((i, text))
                 self.ids.append(i)
                 self.words.append(w)
@@ -118,7 +122,7 @@ class Index:
         self.salts = r.integers(1, 1 << 63, (WALKS,), np.uint64) | np.uint64(1)
         self.kind = [self._kind(len(w)) for w in self.words]
         self.places, keys, owners = {}, [], []
-        for kind in sorted(set(self.kind)):
+        for kind in sorted(set(self.kind) - {EXACT}):
             steps = 2 * self._floor(kind)
             self.places[kind] = r.integers(0, steps, (WALKS, TABLES, SAMPLES))
             own = [k for k, x in enumerate(self.kind) if x == kind]
@@ -148,7 +152,7 @@ class Index:
     @staticmethod
     def _kind(n: int) -> int:
         """Items of like lengths share the places that are sampled."""
-        return int(np.log(n / MIN_WORDS) / np.log(1.5) + 1e-9)
+        return EXACT if n < MIN_WORDS else int(np.log(n / MIN_WORDS) / np.log(1.5) + 1e-9)
 
     @staticmethod
     def _floor(kind: int) -> int:
@@ -184,6 +188,7 @@ class Index:
     def candidates(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], set[int]]:
         """(document, item) -> starts of windows. The documents are words[starts[i]:ends[i]]."""
         found: dict[int, list[np.ndarray]] = defaultdict(list)
+        out: dict[tuple[int, int], set[int]] = defaultdict(set)
         of_word = np.repeat(np.arange(len(starts)), ends - starts)
         for q, (h, place, hit) in self.blocks.items():
             g = _grams(words, q)
@@ -194,10 +199,13 @@ class Index:
             entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             p, k, o = np.repeat(p, n), place[entry] >> 32, place[entry] & 0xFFFFFFFF
             for x, item, s in zip(of_word[p].tolist(), k.tolist(), (p - o).tolist(), strict=True):
+                if self.kind[item] == EXACT:
+                    if (x, item) not in out:  # the first will do
+                        out[x, item].add(s)
+                    continue
                 t = edits(len(self.words[item]))
                 s = np.arange(max(s - t, int(starts[x])), min(s + t, int(ends[x]) - 1) + 1)
                 found[self.kind[item]].append(np.stack((s, np.full(len(s), x))))
-        out: dict[tuple[int, int], set[int]] = defaultdict(set)
         for kind, parts in found.items():
             s, x = np.unique(np.concatenate(parts, axis=1), axis=1)
             for at in range(0, len(s), 4096):
@@ -271,11 +279,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; no shuffle."""
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``least_words`` or more, with all their columns; no shuffle."""
     prepare(docs.sparkSession)
     for block in item_blocks(items, item_col, item_text_col):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block))
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, least_words=least_words))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -60,7 +60,7 @@ def brute(items, docs):
         w = m.word_hashes(t or "")
         for i, x in items:
             p = m.word_hashes(x or "")
-            if len(p) >= m.MIN_WORDS and w and (far := distance_to_nearest(p, w)) <= len(p) // 5:
+            if p and w and (far := distance_to_nearest(p, w)) <= len(p) // 5:
                 out.append((d, i, far))
     return sorted(out, key=str)
 
@@ -80,6 +80,15 @@ def test_documents_against_brute_force(spark):
     assert m.contaminated(frame(spark, docs), table.limit(0)).count() == 0
 
 
+def test_short_items_are_found_word_for_word(spark):
+    docs = [(1, "See the Golden Gate bridge"), (2, "golden gates"), (3, None), (4, "the golden, gate")]
+    items = spark.createDataFrame([(1, "golden gate"), (2, "bridge"), (3, "..."), (4, "a b c d e f")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r.n_words, r.start, r.end) for r in m.contaminated(frame(spark, docs), items).collect()}
+    assert got == {(1, 1, 0, 2, 8, 19), (1, 2, 0, 1, 20, 26), (4, 1, 0, 2, 4, 16)}
+    assert m.clean(frame(spark, docs), items).count() == 4
+    assert {r.doc_id for r in m.clean(frame(spark, docs), items, least_words=2).collect()} == {2, 3}
+
+
 def test_recall_at_the_most_edits():
     r = random.Random(3)
     items, _ = cases(r, 60)
