@@ -4,14 +4,15 @@ The model reads a text with A-Z lower-cased, as bytes and one 0 at the end, each
 decisions. For every decision (the bits of the byte so far) there is a tree of contexts, the 0 to DEPTH
 bytes before it (0 before the start). A context's own estimate is Krichevsky and Trofimov's; the tree mixes the
 estimates of all depths with the weights that the training data give each: half own estimate, half
-product of the longer contexts, all the way up. A context that training never saw has no
-estimate, and its share stays with the longest one seen. The score is the log10 probability of the text,
+product of the longer contexts, all the way up. A context that training never saw has counts of zero, and so
+predicts 1/2 at its own and every greater depth. The score is the log10 probability of the text,
 the code length per byte is -score / log10(2) / bytes.
 
-Training counts byte strings of DEPTH + 1 in all training texts: tasks send sorted counts by the two nearest context
-bytes, and each such subtree is weighted where it lands. The two upper levels (65,536 estimates) are broadcast, and the log10
-probabilities of the byte strings seen most often, at most MAX_NODES. All other strings of the documents go to
-their subtree, which scores them with all of its contexts: none is left out, whatever the size.
+Training counts byte strings of DEPTH + 1 in all training texts: tasks send sorted counts by the TOP nearest context
+bytes, and each such subtree, of 2^24 strings at most, is weighted where it lands. There are several times as many buckets of
+subtrees as partitions. What the upper levels need is summed by context; they are broadcast (2^24 estimates at most, some
+10^5 in text), and so are the log10 probabilities of the byte strings seen most often, at most MAX_NODES. All other strings of
+the documents go to their subtree, which scores them with all of its contexts: none is left out, whatever the size.
 
 The baseline needs every word's count. The HEAD_WORDS most frequent short words are broadcast; the others are
 joined, a row for each document and word.
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, documents, partitions, table, utf8
 
-DEPTH = 5
+DEPTH, TOP = 5, 3
 MAX_NODES = 3 << 20
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
 FOLDS, HELD_OUT = 7, 2
-BUCKETS = 64
+LEAST_BUCKETS = 64
 CHUNK = 1 << 21
 _CACHE_BITS = 21
 
@@ -83,9 +84,20 @@ def chunks(texts: list[bytes], depth: int = DEPTH, size: int = CHUNK) -> Iterato
         yield out()
 
 
-def _bucket(codes: np.ndarray) -> np.ndarray:
-    near = codes >> np.uint64(8) & np.uint64(0xFFFF)
-    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(BUCKETS - 1)).astype(np.uint8)
+def _buckets(spark) -> int:
+    """How many buckets share the subtrees."""
+    return min(max(LEAST_BUCKETS, 4 * partitions(spark)), 1 << 16)
+
+
+def _split(codes: np.ndarray, values: np.ndarray, buckets: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Buckets by the nearest TOP context bytes, and the codes and values of each, in their order."""
+    near = codes >> np.uint64(8) & np.uint64((1 << 8 * TOP) - 1)
+    bucket = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(0xFFFFFF)) % np.uint64(buckets)
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    codes, values = codes[order], values[order]
+    edges = np.concatenate(([0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets)))).tolist()
+    full = [k for k in range(buckets) if edges[k] < edges[k + 1]]
+    return full, *([x[edges[k] : edges[k + 1]].tobytes() for k in full] for x in (codes, values))
 
 
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,10 +158,10 @@ def _mask(depth: int) -> np.uint64:
     return np.uint64((1 << 8 * (depth + 1)) - 1)
 
 
-def subtrees(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, top: int = 2) -> tuple[dict[int, tuple[np.ndarray, ...]], tuple[np.ndarray, ...]]:
-    """Of sorted codes that hold all of some contexts of ``top`` bytes: {depth: (key, log odds of a one, weight, n)},
-    and (key, n0, n1, ln weighted probability of the longer contexts) at depth top - 1."""
-    nodes, below = {}, None
+def subtrees(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> tuple[dict[int, tuple[np.ndarray, ...]], tuple[np.ndarray, ...]]:
+    """Of sorted codes that hold all of some contexts of TOP bytes: {depth: (key, log odds of a one, weight, n)},
+    and (key, n0, n1, ln weighted probability of the longer contexts) at depth TOP - 1."""
+    nodes, below, top = {}, None, min(TOP, depth)
     for d in range(depth, top - 1, -1):
         c, n = _grouped(codes & _mask(d), counts) if d < depth else (codes, counts)
         key, n0, n1 = _decisions(c, n)
@@ -164,15 +176,15 @@ def subtrees(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, top: int
 class Model:
     """Predicts bytes from estimates by depth, each sorted by key."""
 
-    def __init__(self, upper: list[tuple[int, float, float, float]], nodes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int = DEPTH) -> None:
-        """upper: (key, n0, n1, ln weighted probability of longer contexts) at depth 1."""
+    def __init__(self, upper: tuple[np.ndarray, ...] | None, nodes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int = DEPTH) -> None:
+        """upper: (key, n0, n1, ln weighted probability of longer contexts) at depth TOP - 1, in any order."""
         self.depth, self.nodes = depth, dict(nodes)
-        if upper:
-            key, n0, n1, longer = (np.array(x, t) for x, t in zip(zip(*sorted(upper), strict=True), (np.uint64, float, float, float), strict=True))
-            for d in (1, 0):
+        if upper is not None and len(upper[0]):
+            key, n0, n1, longer = _grouped(upper[0], *(x.astype(float) for x in upper[1:]))
+            for d in range(min(TOP, depth) - 1, -1, -1):
                 weighted, w = _weights(_kt(n0, n1), longer)
                 self.nodes[d] = (key, np.log((n1 + 0.5) / (n0 + 0.5)).astype(np.float32), w.astype(np.float32))
-                key, longer, n0, n1 = _grouped(key & _mask(0), weighted, n0, n1)
+                key, longer, n0, n1 = _grouped(key & _mask(max(d - 1, 0)), weighted, n0, n1)
         self.nodes = {d: x for d, x in self.nodes.items() if len(x[0])}
         self.seen = None
 
@@ -183,7 +195,7 @@ class Model:
         for level in range(8):
             key = above | np.uint64(1 << level) | byte >> np.uint64(8 - level)
             one = (byte >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
-            mixed, rest, last = np.zeros(len(codes)), np.ones(len(codes)), np.full(len(codes), 0.5)
+            mixed, rest = np.zeros(len(codes)), np.ones(len(codes))
             live = np.arange(len(codes))
             for d in range(self.depth + 1):
                 if d not in self.nodes or not len(live):
@@ -198,8 +210,7 @@ class Model:
                 w = weight[at].astype(np.float64)
                 mixed[live] += rest[live] * w * p
                 rest[live] *= 1 - w
-                last[live] = p
-            total += np.log10(mixed + rest * last)
+            total += np.log10(mixed + rest / 2)  # what has not been seen predicts 1/2
         return total
 
     def score(self, codes: np.ndarray) -> np.ndarray:
@@ -254,15 +265,9 @@ def gathered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ends = size = 0
 
         def strings() -> pa.RecordBatch:
-            codes, counts = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            full, codes, counts = _split(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))), buckets)
             held.clear()
-            bucket = _bucket(codes)
-            order = np.argsort(bucket, kind="stable")
-            codes, counts = codes[order], counts[order]
-            edges = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=BUCKETS)))).tolist()
-            full = [k for k in range(BUCKETS) if edges[k] < edges[k + 1]]
-            part = lambda a: pa.array([a[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.binary()), pa.nulls(len(full), pa.int64()), pa.array(full, pa.int32()), part(codes), part(counts)], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.binary()), pa.nulls(len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(codes, pa.binary()), pa.array(counts, pa.binary())], names)
 
         def counted() -> pa.RecordBatch:
             w, c = list(words.keys()), list(words.values())
@@ -290,7 +295,7 @@ def gathered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held:
             yield strings()
 
-    names = ["word", "c", "bucket", "codes", "counts"]
+    names, buckets = ["word", "c", "bucket", "codes", "counts"], _buckets(docs.sparkSession)
     both = cut(docs.select("doc_id", "text").mapInArrow(run, "word binary, c long, bucket int, codes binary, counts binary"), "lm-counts")
     words = cut(both.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "lm-words")
     return words, both.where("bucket is not null").select("bucket", "codes", "counts")
@@ -322,7 +327,7 @@ def _lower(codes: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray,
 
 
 def trained(strings: DataFrame) -> tuple[DataFrame, dict[int, tuple[np.ndarray, ...]], dict[int, int]]:
-    """Of the counted strings (bucket, codes, counts): each bucket's in one row, the two upper levels of the model, and
+    """Of the counted strings (bucket, codes, counts): each bucket's in one row, the TOP upper levels of the model, and
     how many codes there are by the logarithm of their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,19 +338,24 @@ def trained(strings: DataFrame) -> tuple[DataFrame, dict[int, tuple[np.ndarray,
             row = (bucket, codes.tobytes(), counts.tobytes(), levels.tobytes(), *(x.tobytes() for x in top))
             yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], ["bucket", "codes", "counts", "levels", "a", "b", "c", "d"])
 
-    dealt = strings.repartition(min(BUCKETS, partitions(strings.sparkSession)), "bucket").sortWithinPartitions("bucket")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches, "a", "b", "c", "d"):
+            key, *sums = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, float, float, float), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *sums)], ["key", "n0", "n1", "longer"])
+
+    dealt = strings.repartition(partitions(strings.sparkSession), "bucket").sortWithinPartitions("bucket")
     made = cut(dealt.mapInArrow(run, "bucket int, codes binary, counts binary, levels binary, a binary, b binary, c binary, d binary"), "lm-strings")
-    upper: dict[int, np.ndarray] = {}
+    tops = made.select("a", "b", "c", "d").mapInArrow(unpack, "key long, n0 double, n1 double, longer double")
+    tops = tops.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "longer"))).toArrow()  # 2^24 rows at most
+    upper = tuple(tops.column(c).to_numpy() for c in ("key", "n0", "n1", "longer"))
     sizes: Counter = Counter()
-    for r in made.select("levels", "a", "b", "c", "d").toLocalIterator():
+    for r in made.select("levels").toLocalIterator():
         sizes.update(dict(enumerate(np.frombuffer(r.levels, np.int64).tolist())))
-        for k, *x in zip(*(np.frombuffer(v, t).tolist() for v, t in ((r.a, np.uint64), (r.b, float), (r.c, float), (r.d, float))), strict=True):
-            upper[k] = upper.get(k, 0) + np.array(x)
-    return made.select("bucket", "codes", "counts"), Model([(k, *x.tolist()) for k, x in upper.items()], {}).nodes, sizes
+    return made.select("bucket", "codes", "counts"), Model((upper[0].view(np.uint64), *upper[1:]), {}).nodes, sizes
 
 
 def _model(upper: dict[int, tuple[np.ndarray, ...]], codes: np.ndarray, counts: np.ndarray) -> Model:
-    return Model([], {**upper, **_lower(codes, counts)})
+    return Model(None, {**upper, **_lower(codes, counts)})
 
 
 def frequent(strings: DataFrame, upper, sizes: dict[int, int], most: int) -> Frequent:
@@ -386,7 +396,7 @@ def rare_scores(strings: DataFrame, rare: DataFrame, upper) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.bincount(back, model.score(codes), len(docs)))], ["doc_key", "score"])
 
     both = strings.select("bucket", F.lit(0).alias("kind"), "codes", F.col("counts").alias("more")).union(rare.select("bucket", F.lit(1), "codes", F.col("docs")))
-    dealt = both.repartition(min(BUCKETS, partitions(strings.sparkSession)), "bucket").sortWithinPartitions("bucket", "kind")
+    dealt = both.repartition(partitions(strings.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
     return dealt.mapInArrow(run, "doc_key long, score double")
 
 
@@ -425,15 +435,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
         size = 0
 
         def rest() -> pa.RecordBatch:
-            codes, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+            full, codes, docs = _split(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
             held.clear()
-            bucket = _bucket(codes)
-            order = np.argsort(bucket, kind="stable")
-            codes, docs = codes[order], docs[order]
-            edges = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=BUCKETS)))).tolist()
-            full = [k for k in range(BUCKETS) if edges[k] < edges[k + 1]]
-            part = lambda a: pa.array([a[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary())
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(full), t) for t in kinds), pa.array(full, pa.int32()), part(codes), part(docs)], names)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(full), t) for t in kinds), pa.array(full, pa.int32()), pa.array(codes, pa.binary()), pa.array(docs, pa.binary())], names)
 
         for b in batches:
             texts = [t.lower() for t in utf8(b)]
@@ -461,6 +465,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
         if size:
             yield rest()
 
+    buckets = _buckets(d.sparkSession)
     names = ["doc_id", "doc_key", "held_out", "n_bytes", "n_tokens", "hits", "logs", "tail", "score", "bucket", "codes", "docs"]
     tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), tail, pa.float64()]
