@@ -19,5 +19,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op6_suffix_dedup": suffix_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }

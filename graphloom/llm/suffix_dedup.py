@@ -233,3 +233,20 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return without_spans(docs, repeated_spans(docs), with_kept=False).drop("doc_key")
+
+
+#: Every window of every text, by its md5 sum; texts in hexadecimal, two digits a byte, in pieces of 1,000 windows.
+SQL = """
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+parts as (select doc_id, c * 1000 as base, substr(h, c * 2000 + 1, 2798) as part from docs, unnest(range(0, greatest((len(h) // 2 - 400) // 1000 + 1, 0))) as u(c)),
+windows as (select doc_id, base + i as s, md5(substr(part, 2 * i + 1, 800)) as w from parts, unnest(range(0, least(1000, len(part) // 2 - 399))) as u(i)),
+again as (select w from windows group by w having count(*) > 1),
+starts as (select doc_id, s, coalesce(s - lag(s) over (partition by doc_id order by s) > 400, true) as fresh from windows join again using (w)),
+numbered as (select doc_id, s, sum(fresh::int) over (partition by doc_id order by s) as k from starts),
+spans as (select doc_id, min(s) as a, max(s) + 400 as b from numbered group by doc_id, k),
+sums as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from spans group by doc_id),
+pieces as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as x, a as y from spans union all select doc_id, max(b), null from spans group by doc_id),
+kept as (select p.doc_id, string_agg(substr(h, 2 * x + 1, coalesce(2 * (y - x), len(h))), '' order by x) as k from pieces p join docs d on d.doc_id = p.doc_id group by p.doc_id)
+select d.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from docs d left join sums s on s.doc_id = d.doc_id left join kept p on p.doc_id = d.doc_id
+"""
