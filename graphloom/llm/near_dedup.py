@@ -1,10 +1,17 @@
-"""Near-duplicates by the similarity of their word shingles: MinHash bands find pairs, the texts decide.
+"""Near-duplicates of a similarity of 0.8 or more by SimHash, for the pipeline: five-word shingles, verified on the texts.
 
 Two documents are near-duplicates if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more (a text of
-fewer words is one shingle; texts without words are alike). Of ``BANDS`` bands of ``ROWS`` least hashes, a pair of similarity 0.8
-shares one with probability 0.998. Texts of equal sets are collapsed first. Where documents share a band, each is paired with the
-``CENTRES`` least of them; in the larger groups, those that are then not in the most frequent component are paired
-with all of other components, so that every pair that shares a band is either compared or connected already.
+fewer words is one shingle; texts without words are alike). Texts of equal sets are collapsed first.
+
+1. The ball hashing of simhash.py, on fingerprints of these shingles, links sets at 3 differing bits or fewer.
+2. At a similarity of 0.8 two fingerprints differ in about 10 bits of 64, where balls that meet would cost millions of variants
+   for each document. So pairs that are farther apart are found by ``BANDS`` bands of ``ROWS`` least shingle hashes, of which
+   a pair of similarity 0.8 shares one with probability 0.998.
+
+Every pair is verified on the texts before it links. Where sets share a band, each is paired with one centre
+of another component; for ``CENTRES`` rounds the centre is the least set, then any set outside the group's most frequent component.
+Sets that are still outside it are paired with all of other components, so that in the end every two sets that
+share a band are either compared or connected.
 """
 
 from __future__ import annotations
@@ -14,13 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, documents, utf8
+from graphloom.llm.common import cut, cut_counted, documents, utf8
 from graphloom.llm.components import components
+from graphloom.llm.simhash import links as ball_links
+from graphloom.llm.simhash import majority
 
-WORDS, BANDS, ROWS, CENTRES = 5, 20, 6, 16
+WORDS, BANDS, ROWS, CENTRES = 5, 20, 6, 3
 _R = np.random.default_rng(5)
 _FACTORS = _R.integers(1, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
 _SALTS = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -81,6 +90,53 @@ def _texts(d: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(d.select("doc_key", "text").join(needed, "doc_key").groupBy("key").agg(F.first("text").alias("text")), "texts")
 
 
+def _by_simhash(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs that connect all sets whose fingerprints are equal or in each other's ball."""
+    leads = cut(sets.groupBy("fp").agg(F.min("key").alias("lead")), "leads")
+    of = lambda name: leads.select(F.col("fp").alias(name), F.col("lead").alias(f"lead_{name}"))
+    near = ball_links(leads, leads.count()).join(of("a"), "a").join(of("b"), "b")
+    near = near.select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b"))
+    same = sets.select("fp", "key").join(leads, "fp").where("key > lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    return near.union(same).distinct()
+
+
+def _pairs(labelled: DataFrame, centres: DataFrame, tested: DataFrame) -> DataFrame:
+    """(a, b): members of bands with the centres of these bands that are of another component, but for tested ones."""
+    c = centres.select("band", F.col("key").alias("x"), F.col("component").alias("other"))
+    apart = labelled.alias("m").join(c.alias("c"), (F.col("m.band") == F.col("c.band")) & (F.col("component") != F.col("other")))
+    return apart.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def _outside(labelled: DataFrame) -> DataFrame:
+    """(band, key, component) of the sets that are not in their band's most frequent component."""
+    main = labelled.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    return labelled.join(main, "band").where("component <> main").select("band", "key", "component")
+
+
+def _joined(d: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of the sets that have near-duplicates."""
+    tested = cut(_by_simhash(sets), "pairs")
+    links = cut(_linked(tested, _texts(d, sets, tested)), "links")
+    found = components(links)
+    members = sets.select("key", F.explode("bands").alias("band"))
+    groups = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(members.join(groups, "band"), "band-members")
+    for r in range(CENTRES + 1):
+        own = members.where("size > 2") if r else members
+        labelled = cut(own.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component")), "labelled")
+        centres = _outside(labelled) if r else labelled
+        if r < CENTRES:
+            order = F.struct(F.xxhash64("key", F.lit(r)).alias("h"), "key", "component") if r else F.struct("key", "component")
+            centres = centres.groupBy("band").agg(F.min(order).alias("c")).select("band", "c.key", "c.component")
+        pairs, n = cut_counted(_pairs(labelled, centres, tested), "pairs")
+        if n:
+            tested = tested.union(pairs)
+            more = cut(_linked(pairs, _texts(d, sets, pairs)), "links")
+            links = links.union(more)
+            found = components(links)
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_key, component_id): component_id is the smallest doc_id of the documents reachable over near-duplicates."""
 
@@ -88,30 +144,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             sets = [shingles(t) for t in utf8(b)]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             found = [bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("doc_key"), pa.array(keys), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "doc_key", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("doc_key"), pa.array(keys), pa.array(fp), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "doc_key", "key", "fp", "bands"])
 
     least = -(1 << 63)
     d = documents(docs, id_col, text_col)
-    own = cut(d.mapInArrow(sign, "doc_id long, doc_key long, key long, bands array<long>"), "signatures")
+    own = cut(d.mapInArrow(sign, "doc_id long, doc_key long, key long, fp long, bands array<long>"), "signatures")
     own = own.withColumn("n", F.coalesce("doc_id", F.lit(least)))
-    sets = cut(own.groupBy("key").agg(F.min("n").alias("rep"), F.min("doc_key").alias("doc_key"), F.first("bands").alias("bands")), "sets")
-    members = sets.select("key", F.explode("bands").alias("band"))
-    groups = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(members.join(groups, "band"), "band-members")
-    rank = F.row_number().over(Window.partitionBy("band").orderBy("key"))
-    centres = members.select("band", F.col("key").alias("a"), rank.alias("rank")).where(F.col("rank") <= CENTRES).drop("rank")
-    pairs = cut(members.join(centres, "band").where("key > a").select("a", F.col("key").alias("b")).distinct(), "pairs")
-    links = cut(_linked(pairs, _texts(d, sets, pairs)), "links")
-    found = components(links)
-    large = members.where(F.col("size") > CENTRES + 1).join(found.withColumnRenamed("node", "key"), "key", "left")
-    large = cut(large.select("band", "key", F.coalesce("component", "key").alias("component")), "large-groups")
-    main = large.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    rest = large.join(main, "band").where("component <> main").select("band", F.col("key").alias("x"), F.col("component").alias("other"))
-    more = rest.join(large, "band").where("component <> other").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        found = components(links.union(_linked(more, _texts(d, sets, more))))
+    sets = cut(own.groupBy("key").agg(F.min("n").alias("rep"), F.min("doc_key").alias("doc_key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
+    found = _joined(d, sets)
     reps = sets.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     firsts = reps.groupBy("component").agg(F.min("rep").alias("c"))
     named = reps.join(firsts, "component").select("key", "c")

@@ -53,7 +53,12 @@ def fingerprint(text: bytes, words: int = 3) -> int:
         starts = [0, *(e + 1 for e in ends)]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :])]  # noqa: B905  starts is longer
-    h = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes set."""
+    h = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(h[:, i], minlength=256) @ _SET for i in range(8)])
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
@@ -120,6 +125,8 @@ def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> None:
             parent[max(x, y)] = min(x, y)
 
 
+#: Fingerprints whose balls a task emits, on average.
+EMITTED = 8_000
 #: Links held in a task before it passes on what they connect.
 FOREST_NODES = 500_000
 
@@ -163,7 +170,9 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
                 yield out()
         yield out()
 
-    balls = distinct.select("fp").mapInArrow(emit, "bucket int, packed binary")
+    # A fingerprint becomes some 561 variants of 8 bytes: as many tasks as give each a few MB of them.
+    spread = distinct.select("fp").repartition(max(partitions(distinct.sparkSession), -(-n // EMITTED)))
+    balls = spread.mapInArrow(emit, "bucket int, packed binary")
     dealt = balls.repartition(partitions(distinct.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(meet, "a long, b long")
 
@@ -183,18 +192,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return own.join(reps, "fp").select("doc_id", "doc_key", "fp", F.when(F.col("c") != least, F.col("c")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document of the smallest doc_id, with all its columns; of several rows of that id the
-    one of the least doc_key, once."""
-    found = near_duplicates(docs, words, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Two texts of one doc_id may lead different components: those of the fingerprint say which.
-    keepers = found.groupBy("component_id").agg(F.min("doc_key").alias("doc_key")).select("doc_key")
-    names = tuple(docs.columns)
-    own = documents(docs, id_col, text_col, names).select("doc_key", *(f"_{i}" for i in range(len(names))))
-    once = own.join(keepers.distinct(), "doc_key").groupBy("doc_key").agg(*(F.first(f"_{i}").alias(f"_{i}") for i in range(len(names))))
-    return once.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
