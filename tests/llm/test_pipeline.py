@@ -2,8 +2,10 @@ import re
 
 import numpy as np
 from fixtures import awkward, frame
+from pyspark.sql.functions import lit
 from test_decontamination import brute as leaks
-from test_simhash import brute_fingerprint, classes
+from test_near_dedup import alike, shingles
+from test_simhash import classes
 
 import corpus_pipeline as p
 from graphloom.llm import quality
@@ -21,8 +23,9 @@ def kept_lines(rows):
 
 
 def one_of_each(rows):
-    fp = {d: brute_fingerprint(t) for d, t in rows}
-    group = classes(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
+    """The first of each group of documents whose 5-word shingles have a similarity of 0.8 or more."""
+    sets = {d: shingles(t) for d, t in rows}
+    group = classes(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
     return [(d, t) for d, t in rows if group[d] == d]
 
 
@@ -65,6 +68,19 @@ def test_run_keeps_what_the_stages_keep(spark):
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in p.run(spark, SF).collect()) == want and want
 
 
+def test_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = ("keep", "p_quality", "p_toxic", "text_quality", "meta_toxic", "key", "_0", "band", "fp", "component", "lines", "stay", "words", "range", "h1", "n", "start")
+    for c in odd:
+        docs = docs.withColumn(c, lit("own"))
+    names = docs.columns
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == names
+    assert docs.where(" and ".join(f"{c} = 'own'" for c in odd)).count() == docs.count() > 0
+    assert p.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
 def test_awkward_and_empty(spark):
     for rows in (awkward(), []):
         docs = frame(spark, rows)
