@@ -2,7 +2,8 @@
 
 The text view sees which words, word beginnings and marks occur, and measures of the text (shares of kinds of bytes,
 lengths, repetition). The metadata view sees the columns beside the text alone: source, language, both together, and the
-size that the page was recorded with. For either target (quality, toxic) both views start from labelled documents. In
+size that the page was recorded with. Texts are read once for fitting: what the views see of each goes to a scratch table, of its
+words those that tell anything in the labelled documents. For either target (quality, toxic) both views start from labelled documents. In
 each round they judge all other documents, in one distributed pass; the surest of what one calls with confidence
 becomes pseudo-labels for the other. In the end each view is calibrated on labelled documents that neither was trained
 on, and the calibrated views are combined there by a logistic regression.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, prepare, table
+from graphloom.llm.common import cut, partitions, prepare, table
 
 LABELLED, POOL, ROUNDS, CONFIDENT = 8_000, 2_000, 3, 0.02
 TARGETS = ("quality", "toxic")
@@ -40,6 +41,8 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 BEGINNINGS = (4, 5, 6)
 #: Features of a view in the model: at least so many documents, so many standard errors in the text view, and at most so many.
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 5, 4.0, 4_000
+#: Standard errors that a word feature needs in the labelled documents to be looked at at all.
+SCREEN_Z = 2.0
 #: Stretches between white space that a worker remembers, and the longest of them.
 CACHED_CHUNKS, CACHED_LENGTH = 500_000, 40
 
@@ -78,12 +81,6 @@ class Chunks:
         return found
 
 
-def word_features(text: str, chunks: Chunks) -> np.ndarray:
-    """The distinct features of a text's tokens, sorted."""
-    found = chunks(text)
-    return np.sort(np.fromiter(found, np.uint32, len(found)))
-
-
 def _kinds() -> np.ndarray:
     """Which bytes are capitals, digits, ends of sentences, other marks, and white space."""
     kinds = [range(65, 91), range(48, 58), b".,;:?'\"-", [b for b in range(33, 127) if not chr(b).isalnum() and b not in b".,;:?'\"-"], [32, *range(9, 14)]]
@@ -128,11 +125,57 @@ class Rows(NamedTuple):
         return Rows(self.words + other.words, np.concatenate((self.dense, other.dense)), self.meta + other.meta)
 
 
-def rows_of(columns: dict[str, list]) -> Rows:
-    """Of columns text, source, lang and size."""
-    text, chunks = columns["text"], Chunks(token_features)
-    dense = np.stack([measures(t) for t in text]) if text else np.zeros((0, MEASURES))
-    return Rows([word_features(t, chunks) for t in text], dense, [meta_features(*x) for x in zip(columns["source"], columns["lang"], columns["size"], strict=True)])
+class Extractor:
+    """What the views see of documents: word features as their numbers in a vocabulary, or without one as hashes."""
+
+    def __init__(self, vocabulary: np.ndarray | None = None) -> None:
+        of = token_features
+        if vocabulary is not None:
+            numbers = {f: i for i, f in enumerate(vocabulary.tolist())}
+            of = lambda token: [numbers[f] for f in token_features(token) if f in numbers]
+        self.chunks, self.pages = Chunks(of), {}
+
+    def _page(self, source: str | None, lang: str | None, size: int | None) -> np.ndarray:
+        key = (source, lang, None if size is None else max(size, 0).bit_length())
+        if key not in self.pages:
+            if len(self.pages) >= CACHED_CHUNKS:
+                self.pages.clear()
+            self.pages[key] = meta_features(source, lang, size)
+        return self.pages[key]
+
+    def __call__(self, text: list[str], source: list[str | None], lang: list[str | None], size: list[int | None]) -> Rows:
+        words = [np.sort(np.fromiter(found, np.uint32, len(found))) for found in map(self.chunks, text)]
+        dense = np.stack([measures(t) for t in text]) if text else np.zeros((0, MEASURES))
+        return Rows(words, dense, [self._page(*x) for x in zip(source, lang, size, strict=True)])
+
+
+def _deviations(words: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct features: (feature, documents, standard errors from the share of ones), and each occurrence's feature."""
+    names, at = np.unique(np.concatenate([np.zeros(0, np.uint32), *words]), return_inverse=True)
+    row = np.repeat(np.arange(len(y)), [len(f) for f in words])
+    n, ones = np.bincount(at, minlength=len(names)), np.bincount(at, weights=y[row], minlength=len(names))
+    share = y.mean()
+    return names, n, np.abs(ones - n * share) / np.sqrt(n * share * (1 - share) + 1e-9), at
+
+
+def _least(documents: int) -> int:
+    return min(LEAST_DOCS, 1 + documents // 100)
+
+
+def vocabulary(words: list[np.ndarray], labels: list[np.ndarray]) -> np.ndarray:
+    """The features (hashes) that are frequent enough and tell anything of one of the targets; labels may be NaN."""
+    out = [np.zeros(0, np.uint32)]
+    for y in labels:
+        told = np.flatnonzero(~np.isnan(y))
+        if len(told):
+            names, n, z, _ = _deviations([words[i] for i in told], y[told])
+            out.append(names[(n >= _least(len(told))) & (z >= SCREEN_Z)])
+    return np.unique(np.concatenate(out))
+
+
+def numbered(rows: Rows, known: np.ndarray) -> Rows:
+    """Rows whose word features are hashes, as the vocabulary ``known`` numbers them."""
+    return rows._replace(words=[np.flatnonzero(np.isin(known, w, assume_unique=True)).astype(np.uint32) for w in rows.words])
 
 
 # The learners. Rows are documents; y is 0 or 1.
@@ -179,12 +222,9 @@ class View:
 
     def fit(self, rows: Rows, y: np.ndarray) -> View:
         features, dense = self._seen(rows)
-        names, at = np.unique(np.concatenate([np.zeros(0, np.uint32), *features]), return_inverse=True)
-        row = np.repeat(np.arange(len(y)), [len(f) for f in features])
-        n, ones = np.bincount(at, minlength=len(names)), np.bincount(at, weights=y[row], minlength=len(names))
-        share = y.mean()
-        z = np.abs(ones - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
-        chosen = np.flatnonzero((n >= min(LEAST_DOCS, 1 + len(y) // 100)) & (z >= (LEAST_Z if self.name == "text" else 0)))
+        names, n, z, at = _deviations(features, y)
+        row, share = np.repeat(np.arange(len(y)), [len(f) for f in features]), y.mean()
+        chosen = np.flatnonzero((n >= _least(len(y))) & (z >= (LEAST_Z if self.name == "text" else 0)))
         chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MOST_FEATURES]])
         self.names = names[chosen]
         place = np.full(len(names), -1)
@@ -207,13 +247,9 @@ class View:
             self.bias -= 0.3 * gb / np.sqrt(seen_bias)
         return self
 
-    def measured(self, dense: np.ndarray) -> np.ndarray:
-        """The part of the margin that does not come from features."""
-        return np.clip((dense - self.mean) / self.scale, -8, 8) @ self.v + self.bias
-
     def margin(self, rows: Rows) -> np.ndarray:
         features, dense = self._seen(rows)
-        out = self.measured(dense)
+        out = np.clip((dense - self.mean) / self.scale, -8, 8) @ self.v + self.bias
         if len(self.names):
             f = np.concatenate([np.zeros(0, np.uint32), *features])
             at = np.minimum(np.searchsorted(self.names, f), len(self.names) - 1)
@@ -279,49 +315,19 @@ class Target:
         return [*self.each(margins), _sigmoid(self._calibrated(margins) @ self.both)]
 
 
-class Scorer:
-    """Margins of documents for all targets."""
-
-    def __init__(self, views: dict[str, list[View]]) -> None:
-        """views: by target, those of targets that have any."""
-        self.views = views
-        names = [n for n in TARGETS if n in views]
-        self.place: list[dict[int, int]] = []
-        self.weights: list[np.ndarray] = []
-        for k in range(len(VIEWS)):
-            features = np.unique(np.concatenate([np.zeros(0, np.uint32), *(views[n][k].names for n in names)]))
-            w = np.zeros((len(features) + 1, len(names)))
-            for i, n in enumerate(names):
-                w[np.searchsorted(features, views[n][k].names), i] = views[n][k].w
-            self.place.append({f: i for i, f in enumerate(features.tolist())})
-            self.weights.append(w)
-        self.names, self.pages = names, {}
-        place = self.place[0]
-        self.chunks = Chunks(lambda token: [place[f] for f in token_features(token) if f in place])
-
-    def _words(self, text: str) -> np.ndarray:
-        found = self.chunks(text)
-        at = np.fromiter(found, np.int64, len(found))
-        at.sort()  # the same sum whatever the order of the tokens
-        return self.weights[0][at].sum(axis=0)
+class Targets(dict):
+    """Target by name, the vocabulary that their text views share, and the table of what the views see of all documents
+    that were there when they were fitted (None if there was nothing to learn)."""
 
-    def _page(self, source: str | None, lang: str | None, size: int | None) -> np.ndarray:
-        key = (source, lang, None if size is None else max(size, 0).bit_length())
-        if key not in self.pages:
-            if len(self.pages) >= CACHED_CHUNKS:
-                self.pages.clear()
-            at = [self.place[1][f] for f in meta_features(source, lang, size).tolist() if f in self.place[1]]
-            self.pages[key] = self.weights[1][at].sum(axis=0)
-        return self.pages[key]
+    known: np.ndarray = np.zeros(0, np.uint32)
+    table: DataFrame | None = None
 
-    def __call__(self, text: list[str], source: list[str | None], lang: list[str | None], size: list[int | None]) -> dict[str, list[np.ndarray]]:
-        """By target the margins of both views."""
-        if not self.names:
-            return {}
-        words = np.stack([self._words(t) for t in text])
-        pages = np.stack([self._page(*x) for x in zip(source, lang, size, strict=True)])
-        dense = np.stack([measures(t) for t in text])
-        return {n: [words[:, i] + self.views[n][0].measured(dense), pages[:, i] + self.views[n][1].measured(dense[:, :0])] for i, n in enumerate(self.names)}
+
+def scored(targets: dict[str, Target], rows: Rows) -> tuple[dict[str, list[np.ndarray]], np.ndarray]:
+    """Probabilities by target (by text, by metadata, by both), and which documents are kept."""
+    nothing = [np.zeros(len(rows.meta))] * 2
+    found = {n: t.judged(nothing if t.constant is not None else [v.margin(rows) for v in t.views]) for n, t in targets.items()}
+    return found, (found["quality"][2] >= 0.5) & (found["toxic"][2] < 0.5)
 
 
 # The tables.
@@ -339,26 +345,30 @@ def _lists(batch: pa.RecordBatch) -> list[list]:
     return [batch.column(c).to_pylist() for c in _SEEN]
 
 
-def _with_features(frame: DataFrame, *kept: str) -> pa.Table:
-    """The kept columns and the features (words, dense, meta) of few documents, on the driver."""
-    names = [*kept, "words", "dense", "meta"]
+_FEATURES = ("words", "dense", "meta")
+
+
+def extracted(frame: DataFrame, known: np.ndarray | None, *kept: str) -> DataFrame:
+    """The kept columns and what the views see (words, dense, meta) of documents with text, source, lang and size."""
+    model = frame.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extract = Extractor(model.value)
         for b in batches:
-            rows = rows_of(dict(zip(_SEEN, _lists(b), strict=True)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in rows)], names)
+            rows = extract(*_lists(b))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in rows)], [*kept, *_FEATURES])
 
     kinds = dict(frame.dtypes)
-    return frame.select(*kept, *_SEEN).mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in kept) + "words binary, dense binary, meta binary").toArrow()
+    return frame.select(*kept, *_SEEN).mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in kept) + "words binary, dense binary, meta binary")
 
 
-def _rows(found: pa.Table) -> Rows:
-    words, dense, meta = (found.column(c).to_pylist() for c in ("words", "dense", "meta"))
-    return Rows([np.frombuffer(x, np.uint32) for x in words], np.stack([np.frombuffer(x) for x in dense]) if dense else np.zeros((0, MEASURES)), [np.frombuffer(x, np.uint32) for x in meta])
+def _rows(found: pa.Table | pa.RecordBatch) -> Rows:
+    words, dense, meta = (found.column(c).to_pylist() for c in _FEATURES)
+    return Rows([np.frombuffer(x, np.uint32) for x in words], np.frombuffer(b"".join(dense)).reshape(-1, MEASURES), [np.frombuffer(x, np.uint32) for x in meta])
 
 
 def confident(others: DataFrame, targets: dict[str, Target], most: int) -> dict[str, list[dict[int, float]]]:
-    """Of all documents (key and what the views see), for each target and view the surest calls of either label, ``most`` of
+    """Of all documents (key, words, dense, meta), for each target and view the surest calls of either label, ``most`` of
     each at most, that the other view has not been given yet: {key: label}.
 
     A task keeps its surest calls only; what all tasks keep holds the surest of all."""
@@ -367,18 +377,17 @@ def confident(others: DataFrame, targets: dict[str, Target], most: int) -> dict[
     judge = Target.each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer({n: m[0] for n, m in model.value.items()})
         best: dict[tuple[str, int, int], dict[int, float]] = {}
         surest = lambda calls: dict(sorted(calls.items(), key=lambda x: (x[1], x[0]))[:most])
         for b in batches:
             if not b.num_rows:
                 continue
             keys = b.column("key").to_numpy()
-            margins = scorer(*_lists(b))
-            for n, (_, scales, given) in model.value.items():
+            rows = _rows(b)
+            for n, (views, scales, given) in model.value.items():
                 t = Target(0.0)
                 t.scales = scales
-                for k, p in enumerate(judge(t, margins[n])):
+                for k, p in enumerate(judge(t, [v.margin(rows) for v in views])):
                     for label, doubt in ((1, 1 - p), (0, p)):
                         own = best.setdefault((n, k, label), {})
                         for i in np.flatnonzero(doubt < CONFIDENT).tolist():
@@ -401,24 +410,31 @@ def confident(others: DataFrame, targets: dict[str, Target], most: int) -> dict[
     return out
 
 
-def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Target]:
+def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Targets:
     """The targets, learnt from a bounded sample; labels has doc_id, quality and toxic."""
     prepare(docs.sparkSession)
-    d = docs.select(*_columns(docs)).where("doc_id is not null").withColumn("key", F.xxhash64(*_SEEN))
+    d = docs.select(*_columns(docs)).withColumn("key", F.xxhash64(*_SEEN))
     each = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     own = cut(each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "quality-labels")
     one = d.join(F.broadcast(own), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min_by(F.struct(*_SEEN), "key").alias("d"))
-    found = _with_features(one.select("doc_id", "quality", "toxic", "d.*"), "doc_id", "quality", "toxic")  # bounded by labelled
-    rows = _rows(found)
-    known = list(zip(*(found.column(c).to_pylist() for c in ("doc_id", "quality", "toxic")), range(len(rows.words)), strict=True))
+    one = one.select("doc_id", "quality", "toxic", "d.*").repartition(partitions(docs.sparkSession))
+    found = extracted(one, None, "doc_id", "quality", "toxic").toArrow()  # bounded by labelled
+    known = list(zip(*(found.column(c).to_pylist() for c in ("doc_id", "quality", "toxic")), range(found.num_rows), strict=True))
     known.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    targets = {n: Target(default) for n, default in zip(TARGETS, (0.5, 0.0), strict=True)}
-    for i, n in enumerate(TARGETS, 1):
-        told = [r for r in known if r[i] is not None]
-        targets[n].start(rows.pick(np.array([r[3] for r in told], np.int64)), np.array([float(r[i] > 0) for r in told]))
+    rows = _rows(found).pick(np.array([r[3] for r in known], np.int64))
+    del found
+    labels_of = [np.array([np.nan if r[i] is None else float(r[i] > 0) for r in known]) for i in (1, 2)]
+    targets = Targets({n: Target(default) for n, default in zip(TARGETS, (0.5, 0.0), strict=True)})
+    targets.known = vocabulary(rows.words, labels_of)
+    rows = numbered(rows, targets.known)
+    for n, y in zip(TARGETS, labels_of, strict=True):
+        told = np.flatnonzero(~np.isnan(y))
+        targets[n].start(rows.pick(told), y[told])
     learning = {n: t for n, t in targets.items() if t.constant is None}
-    others = d.join(F.broadcast(own.select("doc_id")), "doc_id", "left_anti").select("key", *_SEEN)
-    exchange(others, learning, max(1, pool // 10) if pool else 0)
+    if learning:
+        targets.table = cut(extracted(d, targets.known, "doc_id", "key"), "quality-features")
+        others = targets.table.join(F.broadcast(own.select("doc_id")), "doc_id", "left_anti")
+        exchange(others, learning, max(1, pool // 10) if pool else 0)
     return targets
 
 
@@ -432,8 +448,7 @@ def exchange(others: DataFrame, targets: dict[str, Target], most: int, pick: Cal
         seen = {}
         if keys:
             wanted = others.sparkSession.createDataFrame([(k,) for k in keys], "key long")
-            texts = others.join(F.broadcast(wanted), "key").groupBy("key").agg(F.first(F.struct(*_SEEN)).alias("d")).select("key", "d.*")
-            found = _with_features(texts, "key")
+            found = others.join(F.broadcast(wanted), "key").groupBy("key").agg(F.first(F.struct(*_FEATURES)).alias("d")).select("key", "d.*").toArrow()
             rows = _rows(found)
             seen = {k: rows.pick(np.array([i])) for i, k in enumerate(found.column("key").to_pylist())}
         for n, t in targets.items():
@@ -443,56 +458,62 @@ def exchange(others: DataFrame, targets: dict[str, Target], most: int, pick: Cal
         t.combine()
 
 
-def _scored(targets: dict[str, Target], scorer: Scorer, columns: list[list]) -> tuple[dict[str, list[np.ndarray]], np.ndarray]:
-    """Probabilities by target, and which documents are kept."""
-    margins = scorer(*columns)
-    nothing = [np.zeros(len(columns[0]))] * 2
-    found = {n: t.judged(margins.get(n, nothing)) for n, t in targets.items()}
-    return found, (found["quality"][2] >= 0.5) & (found["toxic"][2] < 0.5)
+_NAMES = [f"{v}_{n}" for n in TARGETS for v in ("text", "meta", "p")]
 
 
-def _scorer(targets: dict[str, Target]) -> Scorer:
-    return Scorer({n: t.views for n, t in targets.items() if t.constant is None})
+def _results(targets: dict[str, Target], rows: Rows) -> list[pa.Array]:
+    found, keep = scored(targets, rows)
+    return [*(pa.array(x) for n in TARGETS for x in found[n]), pa.array(keep)]
 
 
-def judged(docs: DataFrame, targets: dict[str, Target], carried: tuple[str, ...] = ()) -> DataFrame:
+def judged(docs: DataFrame, targets: Targets, carried: tuple[str, ...] = ()) -> DataFrame:
     """Adds to every row, beside doc_id: p_quality and p_toxic (both views), text_* and meta_* (each view), and keep.
 
     ``carried`` names columns of ``docs`` that are passed on; one named like a result is passed on as carried_<name>."""
     prepare(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(targets)
+    model = docs.sparkSession.sparkContext.broadcast((dict(targets), targets.known))
     frame = docs.select(*_columns(docs), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carried)))
-    names = [f"{v}_{n}" for n in TARGETS for v in ("text", "meta", "p")]
     extra = [f"_{i}" for i in range(len(carried))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model.value)
+        targets, known = model.value
+        extract = Extractor(known)
         for b in batches:
             if b.num_rows:
-                found, keep = _scored(model.value, scorer, _lists(b))
-                p = [x for n in TARGETS for x in found[n]]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, p), pa.array(keep), *(b.column(c) for c in extra)], ["doc_id", *names, "keep", *extra])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_results(targets, extract(*_lists(b))), *(b.column(c) for c in extra)], ["doc_id", *_NAMES, "keep", *extra])
 
     kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
-    schema = "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", keep boolean" + "".join(f", {c} {kinds[c]}" for c in extra)
-    new = {e: f"carried_{c}" if c in (*names, "keep") else c for e, c in zip(extra, carried, strict=True) if c != "doc_id"}
+    schema = "doc_id long, " + ", ".join(f"{n} double" for n in _NAMES) + ", keep boolean" + "".join(f", {c} {kinds[c]}" for c in extra)
+    new = {e: f"carried_{c}" if c in (*_NAMES, "keep") else c for e, c in zip(extra, carried, strict=True) if c != "doc_id"}
     out = frame.mapInArrow(run, schema)
-    return out.select("doc_id", *names, "keep", *(F.col(e).alias(c) for e, c in new.items()))
+    return out.select("doc_id", *_NAMES, "keep", *(F.col(e).alias(c) for e, c in new.items()))
+
+
+def judged_here(targets: Targets) -> DataFrame:
+    """``judged`` for the rows that the targets were fitted on, from what was extracted then."""
+    model = targets.table.sparkSession.sparkContext.broadcast(dict(targets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_results(model.value, _rows(b))], ["doc_id", *_NAMES, "keep"])
+
+    return targets.table.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in _NAMES) + ", keep boolean")
 
 
-def kept(docs: DataFrame, targets: dict[str, Target]) -> DataFrame:
+def kept(docs: DataFrame, targets: Targets) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns, whatever their names."""
     prepare(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(targets)
-    seen = _columns(docs)
-    frame = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)), *seen)
+    model = docs.sparkSession.sparkContext.broadcast((dict(targets), targets.known))
+    frame = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)), *_columns(docs))
     extra = [f"_{i}" for i in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model.value)
+        targets, known = model.value
+        extract = Extractor(known)
         for b in batches:
             if b.num_rows:
-                yield b.select(extra).filter(pa.array(_scored(model.value, scorer, _lists(b))[1]))
+                yield b.select(extra).filter(pa.array(scored(targets, extract(*_lists(b)))[1]))
 
     out = frame.mapInArrow(run, frame.select(*extra).schema)
     return out.select(*(F.col(e).alias(c) for e, c in zip(extra, docs.columns, strict=True)))
@@ -500,4 +521,5 @@ def kept(docs: DataFrame, targets: dict[str, Target]) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return judged(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    targets = fitted(docs, table(spark, sf_dir, "labels"))
+    return judged(docs, targets) if targets.table is None else judged_here(targets)
