@@ -124,7 +124,11 @@ def _joined(d: DataFrame, sets: DataFrame) -> DataFrame:
     for r in range(CENTRES + 1):
         own = members.where("size > 2") if r else members
         labelled = cut(own.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component")), "labelled")
-        centres = _outside(labelled) if r else labelled
+        centres = labelled
+        if r:
+            centres, n = cut_counted(_outside(labelled), "outside")
+            if not n:
+                break
         if r < CENTRES:
             order = F.struct(F.xxhash64("key", F.lit(r)).alias("h"), "key", "component") if r else F.struct("key", "component")
             centres = centres.groupBy("band").agg(F.min(order).alias("c")).select("band", "c.key", "c.component")
