@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, utf8
 
-#: Units handled at once, but for a longer text; places in a chunk take 28 bits of a sort key.
+#: Units handled at once, but for a longer text, of which four times as many; places take 28 bits of a sort key.
 CHUNK = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -57,9 +57,27 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def segments(units: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Segments = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def segments(units: np.ndarray, starts: np.ndarray, length: int, k: int, most: int = 4 * CHUNK) -> Segments:
     """(document, anchor, first window, last window, hash) of the segments of documents that follow one another in
-    ``units``, from starts[i] to starts[i + 1]; places count from the document's start."""
+    ``units``, from starts[i] to starts[i + 1]; places count from the document's start.
+
+    A document of more than ``most`` units, which is alone in its chunk, is taken piece by piece."""
+    if len(starts) != 2 or len(units) <= most:
+        return _segments(units, starts, length, k)
+    found: list[Segments] = []
+    for at in range(0, len(units) - length + 1, most):  # windows of one piece and the units that they reach
+        piece = units[at : at + most + length - 1]
+        d, a, i, j, h = _segments(piece, np.array([0, len(piece)]), length, k)
+        found.append((d, a + at, i + at, j + at, h))
+    d, a, i, j, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))  # one that goes on in the next piece is one segment
+    return d[first], a[first], i[first], j[np.concatenate((first[1:], [len(a)])) - 1], h[first]
+
+
+def _segments(units: np.ndarray, starts: np.ndarray, length: int, k: int) -> Segments:
     docs = np.flatnonzero(np.diff(starts) >= length)
     if not len(docs):
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)

@@ -84,3 +84,19 @@ def test_equal_windows_have_equal_anchors():
     assert len(of) == 361 + 211
     for w in range(161):
         assert of[0, 100 + w] == of[1, w]
+
+
+def test_long_texts_are_taken_in_pieces():
+    r = np.random.default_rng(4)
+    units = np.concatenate((r.integers(0, 3, 700), np.zeros(300, np.int64), r.integers(0, 2, 500))).astype(np.uint64)
+    whole = anchors.segments(units, np.array([0, 1500]), 40, 12)
+    for most in (41, 100, 333, 1461):
+        assert all(np.array_equal(x, y) for x, y in zip(whole, anchors.segments(units, np.array([0, 1500]), 40, 12, most), strict=True))
+
+
+def test_against_sql(spark):
+    import duckdb
+
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in m.query(spark, SF).collect())
+    want = duckdb.sql(m.SQL.replace("from documents)", f"from '{SF}/documents.parquet')", 1)).fetchall()
+    assert got == sorted(want) and sum(x[2] for x in got) > 0
