@@ -8,10 +8,10 @@ fewer words is one shingle; texts without words are alike). Texts of equal sets
    for each document. So pairs that are farther apart are found by ``BANDS`` bands of ``ROWS`` least shingle hashes, of which
    a pair of similarity 0.8 shares one with probability 0.998.
 
-Every pair is verified on the texts before it links. Where sets share a band, each is paired with one centre
-of another component; for ``CENTRES`` rounds the centre is the least set, then any set outside the group's most frequent component.
-Sets that are still outside it are paired with all of other components, so that in the end every two sets that
-share a band are either compared or connected.
+Every pair is verified on the texts before it links. Where sets share a band, each is paired with the least of them. For
+``ROUNDS`` rounds, sets outside their band's most frequent component are paired with ``CENTRES`` sets inside it; those that
+are still outside are paired with all of other components, so that in the end every two sets that share a band are either
+compared or connected.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from graphloom.llm.components import components
 from graphloom.llm.simhash import links as ball_links
 from graphloom.llm.simhash import majority
 
-WORDS, BANDS, ROWS, CENTRES = 5, 20, 6, 3
+WORDS, BANDS, ROWS = 5, 20, 6
+CENTRES, ROUNDS = 12, 2
 _R = np.random.default_rng(5)
 _FACTORS = _R.integers(1, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
 _SALTS = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -101,7 +102,7 @@ def _by_simhash(sets: DataFrame) -> DataFrame:
 
 
 def _pairs(labelled: DataFrame, centres: DataFrame, tested: DataFrame) -> DataFrame:
-    """(a, b): members of bands with the centres of these bands that are of another component, but for tested ones."""
+    """(a, b): members of bands with those centres of these bands that are of another component, but for tested ones."""
     c = centres.select("band", F.col("key").alias("x"), F.col("component").alias("other"))
     apart = labelled.alias("m").join(c.alias("c"), (F.col("m.band") == F.col("c.band")) & (F.col("component") != F.col("other")))
     return apart.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
@@ -113,6 +114,14 @@ def _outside(labelled: DataFrame) -> DataFrame:
     return labelled.join(main, "band").where("component <> main").select("band", "key", "component")
 
 
+def _inside(labelled: DataFrame, outside: DataFrame, r: int) -> DataFrame:
+    """(band, key, component) of ``CENTRES`` sets, at random, of the most frequent component of each band that has others."""
+    inside = labelled.join(outside.select("band").distinct(), "band", "left_semi").join(outside.select("band", "key"), ["band", "key"], "left_anti")
+    any_set = [F.min(F.struct(F.xxhash64("key", F.lit(r * CENTRES + i)).alias("h"), "key", "component")) for i in range(CENTRES)]
+    chosen = inside.groupBy("band").agg(F.array(*any_set).alias("c")).select("band", F.explode("c").alias("c"))
+    return chosen.select("band", "c.key", "c.component").distinct()
+
+
 def _joined(d: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of the sets that have near-duplicates."""
     tested = cut(_by_simhash(sets), "pairs")
@@ -121,17 +130,17 @@ def _joined(d: DataFrame, sets: DataFrame) -> DataFrame:
     members = sets.select("key", F.explode("bands").alias("band"))
     groups = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(members.join(groups, "band"), "band-members")
-    for r in range(CENTRES + 1):
+    for r in range(ROUNDS + 2):
         own = members.where("size > 2") if r else members
         labelled = cut(own.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component")), "labelled")
-        centres = labelled
         if r:
-            centres, n = cut_counted(_outside(labelled), "outside")
+            outside, n = cut_counted(_outside(labelled), "outside")
             if not n:
                 break
-        if r < CENTRES:
-            order = F.struct(F.xxhash64("key", F.lit(r)).alias("h"), "key", "component") if r else F.struct("key", "component")
-            centres = centres.groupBy("band").agg(F.min(order).alias("c")).select("band", "c.key", "c.component")
+            centres = _inside(labelled, outside, r) if r <= ROUNDS else labelled
+            labelled = outside
+        else:
+            centres = labelled.groupBy("band").agg(F.min(F.struct("key", "component")).alias("c")).select("band", "c.key", "c.component")
         pairs, n = cut_counted(_pairs(labelled, centres, tested), "pairs")
         if n:
             tested = tested.union(pairs)
