@@ -8,15 +8,18 @@ fewer words is one shingle; texts without words are alike). Texts of equal sets
    for each document. So pairs that are farther apart are found by ``BANDS`` bands of ``ROWS`` least shingle hashes, of which
    a pair of similarity 0.8 shares one with probability 0.998.
 
-Every pair is verified on the texts before it links. Where sets share a band, each is paired with the least of them. For
-``ROUNDS`` rounds, sets outside their band's most frequent component are paired with ``CENTRES`` sets inside it; those that
-are still outside are paired with all of other components, so that in the end every two sets that share a band are either
-compared or connected.
+Every pair is verified on the texts before it links. Where sets share a band, each is paired with the least of them. What
+that leaves are bands with sets outside their most frequent component: clouds of texts of a similarity below 0.8 to each other,
+which share bands by chance. All sets of such bands are banded again, by ``FINE_BANDS`` bands of ``FINE_ROWS`` hashes: a pair of 0.8
+shares one with the same probability, 0.998, one of 0.6 with 0.10 instead of 0.62. They are paired with the least of these bands,
+and those that are then outside their band's most frequent component with all of other components. So every two sets that
+share a band, and a fine band if theirs is such a cloud, are either compared or connected, whatever the size of the band.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, cut_counted, documents, utf8
+from graphloom.llm.common import cut, cut_counted, documents, partitions, utf8
 from graphloom.llm.components import components
 from graphloom.llm.simhash import links as ball_links
 from graphloom.llm.simhash import majority
 
 WORDS, BANDS, ROWS = 5, 20, 6
-CENTRES, ROUNDS = 12, 2
-_R = np.random.default_rng(5)
-_FACTORS = _R.integers(1, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
-_SALTS = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-_CHUNK = 1 << 14
+FINE_BANDS, FINE_ROWS = 140, 14
+#: Hashes, by shingle and function, held at once.
+_HELD = 1 << 21
+#: Pairs a task compares: so many at least, and, where there are more tasks than partitions, at most.
+PAIRS, MOST_PAIRS = 1_000, 50_000
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -52,13 +55,22 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
+@cache
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and salts of n hash functions."""
+    r = np.random.default_rng(n)
+    return r.integers(1, 1 << 63, n, np.uint64) << np.uint64(1) | np.uint64(1), r.integers(0, 1 << 63, n, np.uint64)
+
+
+def bands(found: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """The keys of a set's bands."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), _CHUNK):
-        x = (found[None, at : at + _CHUNK] ^ _SALTS[:, None]) * _FACTORS[:, None]
+    factors, salts = _functions(count * rows)
+    least = np.full(count * rows, np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, _HELD // (count * rows))
+    for at in range(0, len(found), step):
+        x = (found[None, at : at + step] ^ salts[:, None]) * factors[:, None]
         least = np.minimum(least, x.min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(count, rows))], np.uint64).view(np.int64)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -67,8 +79,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are alike."""
+def _linked(pairs: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """Those of the n pairs (a, b) of sets that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -81,13 +93,21 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(alike(known[a], known[b]))
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
+    # A pair is 16 bytes and costs two texts: left alone, all of them would be one or two tasks.
+    tasks = min(-(-n // PAIRS), max(partitions(pairs.sparkSession), -(-n // MOST_PAIRS)))
+    dealt = pairs.repartition(max(1, tasks))
+    both = dealt.join(texts.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def _texts(d: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, text) of the sets in pairs."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key", "doc_key"), "key")
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(key): the sets in pairs."""
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+
+def _texts(d: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text) of these sets."""
+    needed = keys.join(sets.select("key", "doc_key"), "key")
     return cut(d.select("doc_key", "text").join(needed, "doc_key").groupBy("key").agg(F.first("text").alias("text")), "texts")
 
 
@@ -101,6 +121,14 @@ def _by_simhash(sets: DataFrame) -> DataFrame:
     return near.union(same).distinct()
 
 
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, key, component) of the sets in bands that hold several components."""
+    own = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
+    own = cut(own, "labelled")
+    several = own.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
+    return own.join(several, "band", "left_semi")
+
+
 def _pairs(labelled: DataFrame, centres: DataFrame, tested: DataFrame) -> DataFrame:
     """(a, b): members of bands with those centres of these bands that are of another component, but for tested ones."""
     c = centres.select("band", F.col("key").alias("x"), F.col("component").alias("other"))
@@ -108,45 +136,60 @@ def _pairs(labelled: DataFrame, centres: DataFrame, tested: DataFrame) -> DataFr
     return apart.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
 
+def _leasts(labelled: DataFrame) -> DataFrame:
+    """(band, key, component) of the least set of each band."""
+    return labelled.groupBy("band").agg(F.min(F.struct("key", "component")).alias("c")).select("band", "c.key", "c.component")
+
+
 def _outside(labelled: DataFrame) -> DataFrame:
     """(band, key, component) of the sets that are not in their band's most frequent component."""
     main = labelled.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     return labelled.join(main, "band").where("component <> main").select("band", "key", "component")
 
 
-def _inside(labelled: DataFrame, outside: DataFrame, r: int) -> DataFrame:
-    """(band, key, component) of ``CENTRES`` sets, at random, of the most frequent component of each band that has others."""
-    inside = labelled.join(outside.select("band").distinct(), "band", "left_semi").join(outside.select("band", "key"), ["band", "key"], "left_anti")
-    any_set = [F.min(F.struct(F.xxhash64("key", F.lit(r * CENTRES + i)).alias("h"), "key", "component")) for i in range(CENTRES)]
-    chosen = inside.groupBy("band").agg(F.array(*any_set).alias("c")).select("band", F.explode("c").alias("c"))
-    return chosen.select("band", "c.key", "c.component").distinct()
+def _several(members: DataFrame, least: int = 2) -> DataFrame:
+    """The members of bands that have so many."""
+    return members.join(members.groupBy("band").agg(F.count("*").alias("size")).where(f"size >= {least}").select("band"), "band", "left_semi")
+
+
+def _fine(d: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, band) of the fine bands of these sets."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [bands(shingles(t), FINE_BANDS, FINE_ROWS) for t in utf8(b)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.list_(pa.int64()))], ["key", "bands"])
+
+    signed = _texts(d, sets, keys).mapInArrow(sign, "key long, bands array<long>")
+    return cut(signed.select("key", F.explode("bands").alias("band")), "fine-bands")
 
 
 def _joined(d: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of the sets that have near-duplicates."""
-    tested = cut(_by_simhash(sets), "pairs")
-    links = cut(_linked(tested, _texts(d, sets, tested)), "links")
+    tested, n = cut_counted(_by_simhash(sets), "pairs")
+    links = cut(_linked(tested, n, _texts(d, sets, _ends(tested))), "links")
     found = components(links)
-    members = sets.select("key", F.explode("bands").alias("band"))
-    groups = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(members.join(groups, "band"), "band-members")
-    for r in range(ROUNDS + 2):
-        own = members.where("size > 2") if r else members
-        labelled = cut(own.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component")), "labelled")
-        if r:
-            outside, n = cut_counted(_outside(labelled), "outside")
-            if not n:
-                break
-            centres = _inside(labelled, outside, r) if r <= ROUNDS else labelled
-            labelled = outside
-        else:
-            centres = labelled.groupBy("band").agg(F.min(F.struct("key", "component")).alias("c")).select("band", "c.key", "c.component")
+
+    def compare(labelled: DataFrame, centres: DataFrame) -> None:
+        nonlocal tested, links, found
         pairs, n = cut_counted(_pairs(labelled, centres, tested), "pairs")
         if n:
             tested = tested.union(pairs)
-            more = cut(_linked(pairs, _texts(d, sets, pairs)), "links")
-            links = links.union(more)
+            links = links.union(cut(_linked(pairs, n, _texts(d, sets, _ends(pairs))), "links"))
             found = components(links)
+
+    members = cut(_several(sets.select("key", F.explode("bands").alias("band"))), "band-members")
+    labelled = _labelled(members, found)
+    compare(labelled, _leasts(labelled))
+    # Both sets of a band of two have now been compared.
+    clouds = _labelled(_several(members, 3), found)
+    keys, n = cut_counted(clouds.select("key").distinct(), "cloud")
+    if n:
+        members = _several(_fine(d, sets, keys))
+        labelled = _labelled(members, found)
+        compare(labelled, _leasts(labelled))
+        labelled = _labelled(members, found)
+        compare(_outside(labelled), labelled)
     return found
 
 
