@@ -122,46 +122,49 @@ def _by_simhash(sets: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, key, component) of the sets in bands that hold several components."""
-    own = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
+    """(band, key, size, component) of the sets in bands that hold several components."""
+    own = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "size", F.coalesce("component", "key").alias("component"))
     own = cut(own, "labelled")
     several = own.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
     return own.join(several, "band", "left_semi")
 
 
 def _pairs(labelled: DataFrame, centres: DataFrame, tested: DataFrame) -> DataFrame:
-    """(a, b): members of bands with those centres of these bands that are of another component, but for tested ones."""
-    c = centres.select("band", F.col("key").alias("x"), F.col("component").alias("other"))
-    apart = labelled.alias("m").join(c.alias("c"), (F.col("m.band") == F.col("c.band")) & (F.col("component") != F.col("other")))
+    """(a, b): members of bands with those centres of these bands that are of another component, but for tested ones and
+    those whose sizes rule out a similarity of 4/5."""
+    c = centres.select("band", F.col("key").alias("x"), F.col("size").alias("length"), F.col("component").alias("other"))
+    apart = (F.col("component") != F.col("other")) & (5 * F.col("size") >= 4 * F.col("length")) & (5 * F.col("length") >= 4 * F.col("size"))
+    apart = labelled.alias("m").join(c.alias("c"), (F.col("m.band") == F.col("c.band")) & apart)
     return apart.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def _leasts(labelled: DataFrame) -> DataFrame:
-    """(band, key, component) of the least set of each band."""
-    return labelled.groupBy("band").agg(F.min(F.struct("key", "component")).alias("c")).select("band", "c.key", "c.component")
+    """(band, key, size, component) of the least set of each band."""
+    return labelled.groupBy("band").agg(F.min(F.struct("key", "size", "component")).alias("c")).select("band", "c.*")
 
 
 def _outside(labelled: DataFrame) -> DataFrame:
-    """(band, key, component) of the sets that are not in their band's most frequent component."""
+    """(band, key, size, component) of the sets that are not in their band's most frequent component."""
     main = labelled.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    return labelled.join(main, "band").where("component <> main").select("band", "key", "component")
+    return labelled.join(main, "band").where("component <> main").select("band", "key", "size", "component")
 
 
 def _several(members: DataFrame, least: int = 2) -> DataFrame:
     """The members of bands that have so many."""
-    return members.join(members.groupBy("band").agg(F.count("*").alias("size")).where(f"size >= {least}").select("band"), "band", "left_semi")
+    return members.join(members.groupBy("band").agg(F.count("*").alias("n")).where(f"n >= {least}").select("band"), "band", "left_semi")
 
 
 def _fine(d: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, band) of the fine bands of these sets."""
+    """(key, size, band) of the fine bands of these sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [bands(shingles(t), FINE_BANDS, FINE_ROWS) for t in utf8(b)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.list_(pa.int64()))], ["key", "bands"])
+            found = [shingles(t) for t in utf8(b)]
+            sizes, fine = [len(s) for s in found], [bands(s, FINE_BANDS, FINE_ROWS) for s in found]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int64()), pa.array(fine, pa.list_(pa.int64()))], ["key", "size", "bands"])
 
-    signed = _texts(d, sets, keys).mapInArrow(sign, "key long, bands array<long>")
-    return cut(signed.select("key", F.explode("bands").alias("band")), "fine-bands")
+    signed = _texts(d, sets, keys).mapInArrow(sign, "key long, size long, bands array<long>")
+    return cut(signed.select("key", "size", F.explode("bands").alias("band")), "fine-bands")
 
 
 def _joined(d: DataFrame, sets: DataFrame) -> DataFrame:
@@ -178,7 +181,7 @@ def _joined(d: DataFrame, sets: DataFrame) -> DataFrame:
             links = links.union(cut(_linked(pairs, n, _texts(d, sets, _ends(pairs))), "links"))
             found = components(links)
 
-    members = cut(_several(sets.select("key", F.explode("bands").alias("band"))), "band-members")
+    members = cut(_several(sets.select("key", "size", F.explode("bands").alias("band"))), "band-members")
     labelled = _labelled(members, found)
     compare(labelled, _leasts(labelled))
     # Both sets of a band of two have now been compared.
@@ -202,13 +205,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             fp = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             found = [bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("doc_key"), pa.array(keys), pa.array(fp), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "doc_key", "key", "fp", "bands"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            columns = [b.column("doc_id"), b.column("doc_key"), pa.array(keys), sizes, pa.array(fp), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_key", "key", "size", "fp", "bands"])
 
     least = -(1 << 63)
     d = documents(docs, id_col, text_col)
-    own = cut(d.mapInArrow(sign, "doc_id long, doc_key long, key long, fp long, bands array<long>"), "signatures")
+    own = cut(d.mapInArrow(sign, "doc_id long, doc_key long, key long, size long, fp long, bands array<long>"), "signatures")
     own = own.withColumn("n", F.coalesce("doc_id", F.lit(least)))
-    sets = cut(own.groupBy("key").agg(F.min("n").alias("rep"), F.min("doc_key").alias("doc_key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
+    sets = cut(own.groupBy("key").agg(F.min("n").alias("rep"), F.min("doc_key").alias("doc_key"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
     found = _joined(d, sets)
     reps = sets.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     firsts = reps.groupBy("component").agg(F.min("rep").alias("c"))

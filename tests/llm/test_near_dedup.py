@@ -34,6 +34,12 @@ def corpus(r):
         rows += [own, changed(own, k, r), changed(own, k, r)]
     base = r.choices(vocabulary, k=150)
     rows += [changed(base, 2, r) for _ in range(60)] + [base]
+    # A cloud: alike to each other by two thirds at most, but for a copy of each third one.
+    base = r.choices(vocabulary, k=120)
+    for i in range(60):
+        rows.append(changed(base, 5, r))
+        if i % 3 == 0:
+            rows.append(changed(rows[-1], 1, r))
     return [(i, " ".join(w)) for i, w in enumerate(rows)]
 
 
