@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import cut, partitions, prepare, table
 
 LABELLED, POOL, ROUNDS, CONFIDENT = 8_000, 2_000, 3, 0.02
+#: Doubts that agree in so many digits are ties, which go by key.
+DOUBT_DIGITS = 9
 TARGETS = ("quality", "toxic")
 VIEWS = ("text", "meta")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -204,11 +206,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.
     return w
 
 
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of consecutive values, sizes[i] of them for row i."""
-    total = np.concatenate(([0.0], np.cumsum(values)))
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+def _sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the values of each row, added up in their order and apart from all other rows': a document's sum is the same
+    to the last bit whatever batch it comes in."""
+    return np.bincount(row, values, rows)
+
+
+def _dots(dense: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Row by row as well, which a matrix product does not promise."""
+    out = np.zeros(len(dense))
+    for k, w in enumerate(weights):
+        out += dense[:, k] * w
+    return out
 
 
 class View:
@@ -231,13 +240,12 @@ class View:
         place[chosen] = np.arange(len(chosen))
         keep = place[at] >= 0
         row, at = row[keep], place[at[keep]]
-        sizes = np.bincount(row, minlength=len(y))
         self.mean, self.scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
         d = np.clip((dense - self.mean) / self.scale, -8, 8)
         self.w, self.v, self.bias = np.zeros(len(chosen)), np.zeros(d.shape[1]), float(_logit(np.array([share]))[0])
         seen, seen_v, seen_bias, ridge = np.full(len(chosen), 1e-8), np.full(d.shape[1], 1e-8), 1e-8, 2e-4
         for _ in range(300):  # Adagrad on all rows at once
-            g = _sigmoid(_sums(self.w[at], sizes) + d @ self.v + self.bias) - y
+            g = _sigmoid(_sums(self.w[at], row, len(y)) + d @ self.v + self.bias) - y
             gw, gv, gb = np.bincount(at, g[row], len(chosen)) / len(y) + ridge * self.w, d.T @ g / len(y) + ridge * self.v, g.mean()
             seen += gw**2
             seen_v += gv**2
@@ -249,11 +257,12 @@ class View:
 
     def margin(self, rows: Rows) -> np.ndarray:
         features, dense = self._seen(rows)
-        out = np.clip((dense - self.mean) / self.scale, -8, 8) @ self.v + self.bias
+        out = _dots(np.clip((dense - self.mean) / self.scale, -8, 8), self.v) + self.bias
         if len(self.names):
             f = np.concatenate([np.zeros(0, np.uint32), *features])
             at = np.minimum(np.searchsorted(self.names, f), len(self.names) - 1)
-            out += _sums(np.where(self.names[at] == f, self.w[at], 0.0), np.array([len(x) for x in features], np.int64))
+            row = np.repeat(np.arange(len(features)), [len(x) for x in features])
+            out += _sums(np.where(self.names[at] == f, self.w[at], 0.0), row, len(features))
         return out
 
 
@@ -388,7 +397,7 @@ def confident(others: DataFrame, targets: dict[str, Target], most: int) -> dict[
                 t = Target(0.0)
                 t.scales = scales
                 for k, p in enumerate(judge(t, [v.margin(rows) for v in views])):
-                    for label, doubt in ((1, 1 - p), (0, p)):
+                    for label, doubt in ((1, np.round(1 - p, DOUBT_DIGITS)), (0, np.round(p, DOUBT_DIGITS))):
                         own = best.setdefault((n, k, label), {})
                         for i in np.flatnonzero(doubt < CONFIDENT).tolist():
                             if (key := int(keys[i])) not in given[1 - k]:

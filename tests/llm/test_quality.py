@@ -31,6 +31,20 @@ def test_fitting_is_deterministic(data):
     assert np.allclose(a.both, b.both)
 
 
+def test_fitting_does_not_depend_on_batches(spark, data):
+    docs, labels = data
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for rows, parts in ((500, 1), (97, 3), (13, 5)):
+            spark.conf.set(key, str(rows))
+            t = m.fitted(docs.repartition(parts), labels, 200, 100)
+            found.append([x.tobytes() for n in m.TARGETS for v in t[n].views for x in (v.w, v.names)] + [t[n].both.tobytes() for n in m.TARGETS])
+    finally:
+        spark.conf.set(key, old)
+    assert found[0] == found[1] == found[2]
+
+
 def test_awkward_rows(spark, data):
     docs, labels = data
     targets = m.fitted(docs, labels, 200, 100)
