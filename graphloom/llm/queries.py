@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, line_dedup, lm_scoring, media_ts, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts
+from graphloom.llm import decontamination, fill_in_middle, line_dedup, lm_scoring, media_ts, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_best_fit_packing": packing.query,
     "op9_line_dedup": line_dedup.query,
     "op10_simhash": simhash.query,
+    "op11_fill_in_middle": fill_in_middle.query,
 }
 
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op6_suffix_dedup": suffix_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
 }
