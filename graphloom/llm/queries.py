@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import collocations, decontamination, fill_in_middle, line_dedup, lm_scoring, media_ts, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts
+from graphloom.llm import collocations, decontamination, embedding_dedup, fill_in_middle, line_dedup, lm_scoring, media_ts, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_simhash": simhash.query,
     "op11_fill_in_middle": fill_in_middle.query,
+    "op12_embedding_dedup": embedding_dedup.query,
     "op13_collocations": collocations.query,
 }
 
