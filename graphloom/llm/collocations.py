@@ -3,8 +3,8 @@
 All n-grams of 1 to ``max_words`` words are exploded into rows, one length after the other, and counted per language. Before its rows
 are aggregated, a length leaves out those whose first or last n - 1 words were too rare, which no candidate and no part of one can be: parts
 of a phrase are at least as frequent as the phrase. What was frequent is told by ``SLOTS`` hash slots, a broadcast whose size does
-not grow with the data: a rare phrase in the slot of a frequent one is only counted in vain. So rows that are shuffled are those
-that may be frequent, and only counts of ``least`` or more are kept.
+not grow with the data: a rare phrase in the slot of a frequent one is only counted in vain. What is left is counted by codes of 32 bits
+first, and then, where a code is frequent, by phrase; only counts of ``least`` or more are kept.
 
 Counts of both sides of every cut are joined to the candidates, scores are exact (decimals of 38 digits, integral division: an
 error is raised beyond them, none is rounded), and candidates that a phrase of one more word stands for are anti-joined. One word more is
@@ -17,7 +17,7 @@ read. An empty table, or one without frequent phrases, gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ascii_lower, cut, discard, table
@@ -45,10 +45,6 @@ def pieces(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text",
     return d.select("lang", words.alias("words"), own.cast("int").alias("own"))
 
 
-def _slot(*words: Column) -> Column:
-    return F.pmod(F.xxhash64("lang", *words), F.lit(SLOTS))
-
-
 def _phrases(found: DataFrame, n: int) -> DataFrame:
     """(lang, w1, ..., wn): each phrase of n words, a row for each time it occurs."""
     here = F.least(F.col("own"), F.size("words") - n + 1)
@@ -57,16 +53,29 @@ def _phrases(found: DataFrame, n: int) -> DataFrame:
     return rows.toDF("lang", *(f"w{k}" for k in range(1, n + 1)))
 
 
+def _among(rows: DataFrame, name: str, of: DataFrame, salt: int) -> DataFrame:
+    """The rows whose column may be one of a column of ``of``: told by its hash slot, at most SLOTS of them whatever the data."""
+    slot = lambda c: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(SLOTS))
+    slots = F.broadcast(cut(of.select(slot(F.col(of.columns[0])).alias("slot")).distinct(), "slots"))
+    return rows.withColumn("slot", slot(F.col(name))).join(slots, "slot", "left_semi").drop("slot")
+
+
 def frequent(found: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS) -> list[DataFrame]:
-    """(lang, phrase, f) of the phrases of 1, 2, ... words that occur ``least`` times or more in ``pieces``."""
+    """(lang, phrase, f) of the phrases of 1, 2, ... words that occur ``least`` times or more in ``pieces``.
+
+    Codes of 32 bits are counted first, which are few bytes to shuffle; phrases themselves only where their code is frequent."""
     out: list[DataFrame] = []
     for n in range(1, max_words + 1):
         rows, names = _phrases(found, n), [F.col(f"w{k}") for k in range(1, n + 1)]
         if n > 1:
             parts = F.split("phrase", " ")
-            # At most SLOTS rows, whatever the data.
-            slots = F.broadcast(cut(out[-1].select(_slot(*(parts[k] for k in range(n - 1))).alias("slot")).distinct(), "slots"))
-            rows = rows.withColumn("slot", _slot(*names[:-1])).join(slots, "slot", "left_semi").withColumn("slot", _slot(*names[1:])).join(slots, "slot", "left_semi")
+            known = out[-1].select(F.xxhash64("lang", *(parts[k] for k in range(n - 1))))
+            for k, part in enumerate((names[:-1], names[1:])):
+                rows = _among(rows.withColumn(f"part{k}", F.xxhash64("lang", *part)), f"part{k}", known, 0)
+        rows = rows.select("lang", *(f"w{k}" for k in range(1, n + 1)), F.pmod(F.xxhash64("lang", *names), F.lit(1 << 32)).alias("code"))
+        codes = cut(rows.groupBy("code").agg(F.count("*").alias("f")).where(F.col("f") >= least).select("code"), "codes")
+        for salt in (1, 2):
+            rows = _among(rows, "code", codes, salt)
         counts = rows.select("lang", F.concat_ws(" ", *names).alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
         out.append(cut(counts.where(F.col("f") >= least), f"phrases-{n}"))
     return out
