@@ -9,6 +9,7 @@ from graphloom.functions.tags import next_color
 from graphloom.operators.graph import alike, among
 from graphloom.operators.pivot import pivots
 from graphloom.operators.reach import reach_both
+from graphloom.plans.rounds import Record
 from graphloom.plans.scratch import cut, cut_counted
 
 
@@ -28,15 +29,15 @@ def color_update(state: DataFrame, found: DataFrame, chosen: DataFrame, *keys: s
     return s.select("id", *rest, next_color(F.col("pivot"), F.col("fwd"), F.col("bwd")).alias("color"), done.alias("finished"), F.when(done, F.col("pivot")).alias("component"))
 
 
-def split(state: DataFrame, edges: DataFrame, scores: DataFrame, *keys: str) -> tuple[DataFrame, int]:
+def split(state: DataFrame, edges: DataFrame, scores: DataFrame, *keys: str, record: Record | None = None) -> tuple[DataFrame, int]:
     """``color_update`` of one pivot's search in every group of ``state`` (id, keys), or in all of it."""
     chosen = cut(pivots(state, scores, *keys), "pivots")
     inside = alike(edges, state, *keys) if keys else among(edges, state)
-    found, rounds = reach_both(chosen.select(F.col("pivot").alias("id")), inside)
+    found, rounds = reach_both(chosen.select(F.col("pivot").alias("id")), inside, record)
     return cut(color_update(state, found, chosen, *keys), "split"), rounds
 
 
-def fw_bw(state: DataFrame, edges: DataFrame, scores: DataFrame, *keys: str) -> tuple[DataFrame, list[int]]:
+def fw_bw(state: DataFrame, edges: DataFrame, scores: DataFrame, *keys: str, record: Record | None = None) -> tuple[DataFrame, list[int]]:
     """((id, component), rounds of each search): splits ``state`` (id, keys) until all of it is finished.
 
     keys: color, or part and color, within which components are sought. The component is the pivot's id."""
@@ -44,7 +45,7 @@ def fw_bw(state: DataFrame, edges: DataFrame, scores: DataFrame, *keys: str) ->
     state, n = cut_counted(state.select("id", *keys), "state")
     while n:
         edges = cut(alike(edges, state, *keys), "active-edges")
-        after, r = split(state, edges, scores, *keys)
+        after, r = split(state, edges, scores, *keys, record=record)
         rounds.append(r)
         done.append(after.where("finished").select("id", "component"))
         state, n = cut_counted(after.where("not finished").select("id", *keys), "state")

@@ -1,6 +1,11 @@
 """Reachability, by levels: each round extends a frontier over the edges and drops what was visited before.
 
-The levels of a search are the subfolders of one table, so all visited vertices are a single scan.
+Edges and visited vertices are tables in buckets of the same hash: a level's frontier finds its edges, and what it reaches finds what was
+visited, where they are. Only what a level reaches is exchanged. Levels are partitions of the table of the visited, so the frontier is one of
+them, and nothing is written twice.
+
+Where only reachability is asked for, long paths do not take a level for each vertex: after some levels, vertices with
+one edge in are contracted into the end of their chain, and take its answer.
 """
 
 from __future__ import annotations
@@ -8,8 +13,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.chains import chain_ends
 from graphloom.operators.graph import transpose
-from graphloom.plans.scratch import cut, cut_counted, new_path
+from graphloom.plans.rounds import Record
+from graphloom.plans.scratch import bucketed, cut, cut_counted
+
+#: Edges for each bucket, at most as many buckets as partitions.
+BUCKET_EDGES = 100_000
+#: Levels before chains are contracted; twice as many before they are again.
+PATIENCE = 8
 
 
 def level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
@@ -17,43 +29,69 @@ def level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
 
 
-def search(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    """((keys, id, level), rounds) of all that ``seeds`` (keys, id) reach over edges (keys, src, dst), seeds included.
-
-    Without keys on the edges every seed key spreads over all edges."""
+def _levels(seeds: DataFrame, edges: DataFrame, keys: list[str], patience: int | None, record: Record | None = None) -> tuple[DataFrame, DataFrame, int, int]:
+    """(visited (keys, id, level), frontier (keys, id), rows of the frontier, rounds); with ``patience``, it may stop before the frontier is empty."""
     spark, columns = seeds.sparkSession, [*keys, "id"]
-    own = [k for k in keys if k in edges.columns]
-    path = new_path(spark, "search")
-    frontier, n = cut_counted(seeds.select(*columns).distinct(), path=f"{path}/level=0")
-    schema = f"{', '.join(f'{c} {t}' for c, t in frontier.dtypes)}, level int"
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flat, n_edges = cut_counted(edges.select(*keys, "src", "dst"), "search-edges")
+    buckets = max(1, min(most, n_edges // BUCKET_EDGES + 1))
+    ways, _ = bucketed(flat, "edges", buckets, [*keys, "src"])
+    name, n = bucketed(seeds.select(*columns).distinct().withColumn("level", F.lit(0)), "visited", buckets, columns, by="level")
     rounds = 0
-    while n:
+    near = spark.table(ways).withColumnRenamed("src", "id")
+    while n and (patience is None or rounds < patience):
         rounds += 1
-        visited = spark.read.schema(schema).parquet(path).select(*columns)
-        step = frontier.withColumnRenamed("id", "src").join(edges, [*own, "src"]).select(*keys, F.col("dst").alias("id")).distinct()
-        frontier, n = cut_counted(step.join(visited, columns, "left_anti").select(*columns), path=f"{path}/level={rounds}")
-    return spark.read.schema(schema).parquet(path).withColumn("level", F.col("level").cast("long")), rounds
+        visited = spark.table(name)
+        frontier = visited.where(F.col("level") == rounds - 1).select(*columns)
+        step = near.join(frontier, columns).select(*keys, F.col("dst").alias("id")).repartition(buckets, *columns).distinct()
+        fresh = step.join(visited.select(*columns), columns, "left_anti").select(*columns, F.lit(rounds).alias("level"))
+        _, n = bucketed(fresh, "visited", buckets, columns, name=name, by="level")
+        if record is not None:
+            record.add(round=rounds, changed=n)
+    visited = spark.table(name).select(*columns, F.col("level").cast("long").alias("level"))
+    return visited, visited.where(F.col("level") == rounds).select(*columns), n, rounds
+
+
+def search(seeds: DataFrame, edges: DataFrame, keys: list[str], record: Record | None = None) -> tuple[DataFrame, int]:
+    """((keys, id, level), rounds) of all that ``seeds`` (keys, id) reach over edges (keys, src, dst), seeds included."""
+    found, _, _, rounds = _levels(seeds, edges, keys, None, record)
+    return found, rounds
+
+
+def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str], patience: int = PATIENCE, record: Record | None = None) -> tuple[DataFrame, int]:
+    """((keys, id), rounds): as ``search``, without levels, in rounds that grow with the logarithm of a chain."""
+    columns = [*keys, "id"]
+    found, frontier, n, rounds = _levels(seeds, edges, keys, patience, record)
+    found = found.select(*columns)
+    if not n:
+        return found, rounds
+    # What is not visited can be reached from the frontier only.
+    here = [F.col("dst").alias("id") if c == "id" else F.col(c) for c in columns]
+    rest = cut(edges.withColumn("id", F.col("dst")).join(found, columns, "left_anti").select(*keys, "src", "dst").distinct(), "search-rest")
+    single = rest.groupBy(*here).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("up")).where("n = 1").select(*columns, "up")
+    ends, more = chain_ends(cut(single, "single"), *keys)
+    to = ends.select(*keys, F.col("id").alias("src"), F.col("up").alias("end"))
+    kept = rest.withColumn("id", F.col("dst")).join(single, columns, "left_anti").join(to, [*keys, "src"], "left")
+    kept = cut(kept.select(*keys, F.coalesce("end", "src").alias("src"), "dst").distinct(), "contracted")
+    further, again = reachable(frontier, kept, keys, 2 * patience, record)
+    further = cut(further, "further")
+    hanging = ends.join(further.withColumnRenamed("id", "up"), [*keys, "up"], "left_semi").select(*columns)
+    return found.union(further.join(frontier, columns, "left_anti").select(*columns)).union(hanging), rounds + more + again
+
+
+def reach(seeds: DataFrame, edges: DataFrame, backward: bool = False, record: Record | None = None) -> tuple[DataFrame, int]:
+    """((id, level), rounds) of what is reached from ``seeds`` (id), or reaches them."""
+    return search(seeds.select("id"), transpose(edges) if backward else edges, [], record)
 
 
-def reach(seeds: DataFrame, edges: DataFrame, backward: bool = False) -> tuple[DataFrame, int]:
-    """((id, level), rounds) of what is reached from ``seeds`` (id), or reaches them."""
-    return search(seeds.select("id"), transpose(edges) if backward else edges, [])
+def reach_all(seeds: DataFrame, edges: DataFrame, backward: bool = False) -> DataFrame:
+    """(id) of what is reached from ``seeds`` (id), or reaches them."""
+    return reachable(seeds.select("id"), transpose(edges) if backward else edges, [])[0]
 
 
-def reach_both(seeds: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+def reach_both(seeds: DataFrame, edges: DataFrame, record: Record | None = None) -> tuple[DataFrame, int]:
     """((id, fwd, bwd), rounds): both searches at once, one job for a level of each."""
     ways = edges.select(F.lit("f").alias("way"), "src", "dst").union(transpose(edges).select(F.lit("b"), "src", "dst"))
     starts = seeds.select("id", F.explode(F.array(F.lit("f"), F.lit("b"))).alias("way"))
-    found, rounds = search(starts, cut(ways, "ways"), ["way"])
+    found, rounds = reachable(starts, cut(ways, "ways"), ["way"], record=record)
     return found.groupBy("id").agg(F.max(F.col("way") == "f").alias("fwd"), F.max(F.col("way") == "b").alias("bwd")), rounds
-
-
-def reach_pairs(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(s, d): every vertex d that seed s (id) reaches, itself included. Quadratic by nature: for small parts only."""
-    found, _ = search(seeds.select(F.col("id").alias("s"), "id"), edges.distinct(), ["s"])
-    return found.select("s", F.col("id").alias("d"))
-
-
-def reach_intersection(pairs: DataFrame) -> DataFrame:
-    """(s, d) that reach each other."""
-    return pairs.intersect(pairs.select(F.col("d").alias("s"), F.col("s").alias("d")))

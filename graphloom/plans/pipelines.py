@@ -13,12 +13,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.finish import MOST_EDGES, small_components
 from graphloom.operators.fwbw import canonical, fw_bw, split
 from graphloom.operators.graph import Graph, alike, among, degrees
 from graphloom.operators.label import color_components, max_color, min_reachable_label
 from graphloom.operators.merge import local_components, merged_components
 from graphloom.operators.trim import trim1, trim1_survivors, trim2
+from graphloom.plans.rounds import Record
 from graphloom.plans.scratch import cut, discard
 
 log = logging.getLogger(__name__)
@@ -28,18 +28,25 @@ log = logging.getLogger(__name__)
 class Result:
     components: DataFrame
     phases: list[dict] = field(default_factory=list)  # name, seconds, rounds
+    record: Record = field(default_factory=Record)
+
+    def rounds(self) -> DataFrame:
+        """(step, phase, round, changed, left): what each round of trimming, searching and labelling did."""
+        return self.record.table(self.components.sparkSession)
 
     def summary(self) -> DataFrame:
-        """One row: n_scc, n_trim1, n_trim2, n_pivot."""
-        of = lambda k: F.count_distinct(F.when(F.col("kind") == k, F.col("component"))).alias(f"n_{k}")
-        return self.components.agg(F.count_distinct("component").alias("n_scc"), of("trim1"), of("trim2"), of("pivot"))
+        """One row: n_scc, n_trim1, n_trim2, n_pivot. A component is counted at the vertex that it is named after, so that no rows are
+        shuffled but the counts."""
+        named = F.col("id") == F.col("component")
+        of = lambda k: F.count_if(named & (F.col("kind") == k)).alias(f"n_{k}")
+        return self.components.agg(F.count_if(named).alias("n_scc"), of("trim1"), of("trim2"), of("pivot"))
 
 
 class _Run:
     """The active vertices (id, color) and edges of a run, and what is done."""
 
     def __init__(self, graph: Graph) -> None:
-        self.vertices, self.phases = graph.vertices.select("id"), []
+        self.vertices, self.phases, self.record = graph.vertices.select("id"), [], Record()
         self.edges = cut(graph.edges.select("src", "dst"), "edges")
         self.scores = cut(degrees(graph), "degrees")
         self.state = cut(self.vertices.withColumn("color", F.lit(0).cast("long")), "state")
@@ -47,6 +54,7 @@ class _Run:
 
     def phase(self, name: str, work: Callable[[], int | None]) -> None:
         start = time.time()
+        self.record.begin(len(self.phases) + 1, name)
         rounds = work()
         self.phases.append({"phase": name, "seconds": time.time() - start, "rounds": rounds or 1})
         log.info("%s: %.2f s, %s rounds", name, self.phases[-1]["seconds"], rounds or 1)
@@ -62,7 +70,7 @@ class _Run:
 
     def trim1(self, once: bool = False) -> int:
         inside = alike(self.edges, self.state, "color")
-        edges, rounds = (inside, 1) if once else trim1(inside)
+        edges, rounds = (inside, 1) if once else trim1(inside, record=self.record)
         gone = self.state.join(trim1_survivors(edges), "id", "left_anti")
         self.finish(gone.select("id", F.col("id").alias("component")), "trim1")
         return rounds
@@ -72,16 +80,16 @@ class _Run:
         self.finish(pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("id"), F.col("a").alias("component")), "trim2")
 
     def first_pivot(self) -> int:
-        after, rounds = split(self.state.select("id"), self.edges, self.scores)
+        after, rounds = split(self.state.select("id"), self.edges, self.scores, record=self.record)
         self.state = after.select("id", "color")
         self.finish(after.where("finished").select("id", "component"), "pivot")
         return rounds
 
     def labels(self) -> None:
-        self.state = cut(min_reachable_label(self.state, self.edges).withColumnRenamed("label", "color"), "state")
+        self.state = cut(min_reachable_label(self.state, self.edges, self.record).withColumnRenamed("label", "color"), "state")
 
     def split_colors(self) -> int:
-        found, rounds = fw_bw(self.state, self.edges, self.scores, "color")
+        found, rounds = fw_bw(self.state, self.edges, self.scores, "color", record=self.record)
         self.finish(found, "pivot")
         return sum(rounds)
 
@@ -99,34 +107,18 @@ class _Run:
             if not self.state.head(1):
                 return rounds
 
-    def small(self, most: int) -> bool:
-        """Whether the rest had at most ``most`` edges; then one task has finished it."""
-        if not most or self.edges.limit(most + 1).count() > most:
-            return False
-
-        def work() -> None:
-            found = cut(small_components(self.edges, most), "small")
-            alone = self.state.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
-            self.finish(found.union(alone), "pivot")
-
-        self.phase("finish", work)
-        return True
-
     def result(self) -> Result:
         out = self.done[0]
         for d in self.done[1:]:
             out = out.union(d)
         out = cut(out, "result")
         named = canonical(out.select("id", "component"))
-        return Result(cut(named.join(out.select("id", "kind"), "id"), "components"), self.phases)
+        return Result(cut(named.join(out.select("id", "kind"), "id"), "components"), self.phases, self.record)
 
 
-def hong(graph: Graph, use_trim1: bool = True, use_trim2: bool = True, finish_edges: int = 0) -> Result:
+def hong(graph: Graph, use_trim1: bool = True, use_trim2: bool = True) -> Result:
     """Trim, take out the component of the vertex of the largest degree product, trim, decompose by reachable labels,
-    and split the rest by forward-backward search of all labels at once.
-
-    Any pipeline hands what is left after its trimming phases to one task if it has at most ``finish_edges`` edges; the
-    components found by each phase are the same as without."""
+    and split the rest by forward-backward search of all labels at once."""
     run = _Run(graph)
     if use_trim1:
         run.phase("trim1", run.trim1)
@@ -137,26 +129,22 @@ def hong(graph: Graph, use_trim1: bool = True, use_trim2: bool = True, finish_ed
         run.phase("trim2", run.trim2)
         if use_trim1:
             run.phase("trim1", run.trim1)
-    if run.small(finish_edges):
-        return run.result()
     run.phase("labels", run.labels)
     run.phase("split", run.split_colors)
     return run.result()
 
 
-def slota(graph: Graph, use_trim1: bool = True, finish_edges: int = 0) -> Result:
+def slota(graph: Graph, use_trim1: bool = True) -> Result:
     """One pass of trimming, the component of the first pivot, and coloring for the rest."""
     run = _Run(graph)
     if use_trim1:
         run.phase("trim1", lambda: run.trim1(once=True))
     run.phase("first pivot", run.first_pivot)
-    if run.small(finish_edges):
-        return run.result()
     run.phase("coloring", run.coloring)
     return run.result()
 
 
-def partitioned(graph: Graph, use_trim1: bool = True, use_trim2: bool = True, finish_edges: int = 0) -> Result:
+def partitioned(graph: Graph, use_trim1: bool = True, use_trim2: bool = True) -> Result:
     """Trim, find components inside each part, and merge parts pair by pair."""
     if graph.parts is None:
         raise ValueError("the partitioned pipeline needs parts")
@@ -167,8 +155,6 @@ def partitioned(graph: Graph, use_trim1: bool = True, use_trim2: bool = True, fi
         run.phase("trim2", run.trim2)
         if use_trim1:
             run.phase("trim1", run.trim1)
-    if run.small(finish_edges):
-        return run.result()
     parts = cut(graph.parts.join(run.state.select("id"), "id", "left_semi").select("id", "part"), "parts")
     rest = Graph(run.state.select("id"), run.edges, parts)
     local: list[DataFrame] = []
@@ -191,27 +177,17 @@ PIPELINES = {"g": hong, "x": hong, "h": slota, "y": slota, "d": partitioned}
 WARPS = (1, 2, 4, 8, 16, 32)
 
 
-def strong_components(graph: Graph, algorithm: str = "g", use_trim1: bool = True, use_trim2: bool = True, warp_size: int = 1, finish_edges: int = MOST_EDGES) -> Result:
-    """Runs a pipeline by name; ``warp_size`` must be one of WARPS and changes nothing. With ``finish_edges`` 0 no rest is
-    small enough for one task."""
+def strong_components(graph: Graph, algorithm: str = "g", use_trim1: bool = True, use_trim2: bool = True, warp_size: int = 1) -> Result:
+    """Runs a pipeline by name; ``warp_size`` must be one of WARPS and changes nothing."""
     if algorithm not in PIPELINES:
         raise ValueError(f"algorithm must be one of {', '.join(PIPELINES)}")
     if warp_size not in WARPS:
         raise ValueError(f"warp size must be one of {WARPS}")
     run = PIPELINES[algorithm]
-    return run(graph, use_trim1, finish_edges=finish_edges) if run is slota else run(graph, use_trim1, use_trim2, finish_edges)
+    return run(graph, use_trim1) if run is slota else run(graph, use_trim1, use_trim2)
 
 
 def component_histogram(components: DataFrame) -> DataFrame:
     """(size, n): how many components have so many vertices."""
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
     return sizes.groupBy("size").agg(F.count("*").alias("n"))
-
-
-def condensation_edges(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst): distinct edges between components, by their names."""
-    a = components.select(F.col("id").alias("src"), F.col("component").alias("a"))
-    b = components.select(F.col("id").alias("dst"), F.col("component").alias("b"))
-    found = edges.join(a, "src").join(b, "dst").where("a <> b")
-    return found.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from graphloom.cli import report
 from graphloom.functions.tags import packed_tag
+from graphloom.operators import closure as pairs
 from graphloom.operators import fwbw, label, merge, pivot, reach, trim
 from graphloom.operators import graph as g
 from graphloom.operators.graph import Graph
 from graphloom.plans import pipelines
+from graphloom.plans.rounds import Record
 from graphloom.plans.scratch import cut, new_path
 from graphloom.sources import text_graphs
 from graphloom.sources.views import block_colors, view
@@ -202,12 +204,12 @@ def bwd_level(graph):
 
 @query("b", "select distinct d as id from r where s in (select pv from bp)", BLOCK_PIVOTS, closure("m"))
 def fwd_reach(graph):
-    return reach.reach(_block_pivots(graph).select(F.col("pivot").alias("id")), graph.edges)[0].select("id")
+    return reach.reach_all(_block_pivots(graph).select(F.col("pivot").alias("id")), graph.edges)
 
 
 @query("b", "select distinct s as id from r where d in (select pv from bp)", BLOCK_PIVOTS, closure("m"))
 def bwd_reach(graph):
-    return reach.reach(_block_pivots(graph).select(F.col("pivot").alias("id")), graph.edges, backward=True)[0].select("id")
+    return reach.reach_all(_block_pivots(graph).select(F.col("pivot").alias("id")), graph.edges, backward=True)
 
 
 @query("a", "select x.d as id from r x join r y on x.s = y.d and x.d = y.s where x.s = (select id from f1)", FIRST, closure("m"))
@@ -231,22 +233,22 @@ def color_update(graph):
 
 @query("a", "select distinct d as id from r where s in (select pv from pp)", INSIDE, PART_PIVOTS, closure("inner_e"))
 def fwd_reach_local(graph):
-    return reach.reach(_part_pivots(graph), cut(g.inside_parts(graph)))[0].select("id")
+    return reach.reach_all(_part_pivots(graph), cut(g.inside_parts(graph)))
 
 
 @query("a", "select distinct s as id from r where d in (select pv from pp)", INSIDE, PART_PIVOTS, closure("inner_e"))
 def bwd_reach_local(graph):
-    return reach.reach(_part_pivots(graph), cut(g.inside_parts(graph)), backward=True)[0].select("id")
+    return reach.reach_all(_part_pivots(graph), cut(g.inside_parts(graph)), backward=True)
 
 
 @query("a", "select s, d from r", INSIDE, closure("inner_e"))
 def reach_pairs_local(graph):
-    return reach.reach_pairs(graph.vertices, cut(g.inside_parts(graph)))
+    return pairs.reach_pairs(graph.vertices, cut(g.inside_parts(graph)))
 
 
 @query("b", "select s, d from r intersect select d, s from r", closure("m"))
 def reach_intersection(graph):
-    return reach.reach_intersection(cut(reach.reach_pairs(graph.vertices, graph.edges)))
+    return pairs.reach_intersection(cut(pairs.reach_pairs(graph.vertices, graph.edges)))
 
 
 # Labels and colors.
@@ -401,8 +403,8 @@ def scc_partitioned(graph):
 
 @query("a", SCC, closure("m"))
 def scc_small_rest(graph):
-    """As scc_hong, but a rest that is small goes to one task."""
-    return pipelines.strong_components(graph).components.select("id", "component")
+    """As scc_hong, by the pipeline's other name; a rest stays distributed however small."""
+    return pipelines.strong_components(graph, "x").components.select("id", "component")
 
 
 @query("b", f"select count(distinct component)::bigint as n_scc, count(distinct component)::bigint as n_by_kind from ({SCC})", closure("m"))
@@ -417,7 +419,7 @@ def component_histogram(graph):
 
 @query("b", "select distinct x.component as src, y.component as dst from m join c x on x.id = m.src join c y on y.id = m.dst where x.component <> y.component", closure("m"), f"c as ({SCC})")
 def condensation_edges(graph):
-    return pipelines.condensation_edges(cut(merge.components_of(graph.vertices, graph.edges)), graph.edges)
+    return merge.condensation_edges(cut(merge.components_of(graph.vertices, graph.edges)), graph.edges)
 
 
 #: Counts by phase of scc_hong: what trimming leaves (core), the first pivot's component (ps), pairs (tw) and their vertices (tv).
@@ -444,7 +446,7 @@ PHASES = (
 
 @query("a", "select n_scc, n_trim1, n_trim2, n_scc - n_trim1 - n_trim2 as n_pivot from counts", *PHASES)
 def scc_counts(graph):
-    """What each phase finds, a small rest in one task."""
+    """What each phase finds."""
     return pipelines.strong_components(graph).summary()
 
 
@@ -455,15 +457,83 @@ def cli_report(graph):
     return graph.vertices.sparkSession.createDataFrame(list(enumerate(lines, 1)), "row long, line string")
 
 
+# Rounds, as the jobs of the rounds themselves counted them.
+
+#: The round that trims a vertex is the length of the longest way into it, or out of it, over vertices off and not between cycles.
+TRIM_ROUNDS = (
+    core("m"),
+    "after_cycle as (select id from cyc union select d from core_r where s in (select id from cyc))",
+    "before_cycle as (select id from cyc union select s from core_r where d in (select id from cyc))",
+    "ways_in(id, n) as (select id, 1 from v where id not in (select dst from m) union select e.dst, n + 1 from ways_in join m e on e.src = ways_in.id where e.dst not in (select id from after_cycle))",
+    "ways_out(id, n) as (select id, 1 from v where id not in (select src from m) union select e.src, n + 1 from ways_out join m e on e.dst = ways_out.id where e.src not in (select id from before_cycle))",
+    "ends as (select src as id from m union select dst from m)",
+    "gone as (select id, min(n) as n from (select id, max(n) as n from ways_in group by 1 union all select id, max(n) from ways_out group by 1) where id in (select id from ends) group by 1)",
+)
+
+
+@query(
+    "a",
+    """select k::bigint as round, (select count(*) from gone where n = k)::bigint as changed, ((select count(*) from ends) - (select count(*) from gone where n <= k))::bigint as left_over
+    from (select unnest(range(1, 2 + (select max(n) from gone))) as k)""",
+    *TRIM_ROUNDS,
+)
+def trim1_rounds(graph):
+    """How many vertices each round of trimming removes, one round after the other; the last finds none."""
+    record = Record()
+    trim.trim1(graph.edges, chains=False, record=record)
+    return record.table(graph.vertices.sparkSession).select("round", "changed", F.col("left").alias("left_over"))
+
+
+@query(
+    "b",
+    """select k::bigint as round, (select count(*) from levels where n = k)::bigint as changed from (select unnest(range(1, 2 + (select max(n) from levels))) as k)""",
+    BLOCK_PIVOTS,
+    "steps(id, n) as (select pv, 0 from bp union select e.dst, n + 1 from steps join (select distinct src, dst from m) e on e.src = steps.id where n < 12)",
+    "levels as (select id, min(n) as n from steps group by 1)",
+)
+def search_rounds(graph):
+    """How many vertices each level of a search reaches first; components of view b have ten vertices, so levels end before 12."""
+    record = Record()
+    reach.reach(_block_pivots(graph).select(F.col("pivot").alias("id")), graph.edges, record=record)
+    return record.table(graph.vertices.sparkSession).select("round", "changed")
+
+
+def _label_rounds(most: int) -> tuple[str, ...]:
+    """Rounds of least labels with jumps, written out one by one: l1, l2, ... and how many labels each changed."""
+    first = "l0 as materialized (select id, id as label from v)", "l1 as materialized (select id, least(id, coalesce(min(dst), id)) as label from v left join m on src = id group by id)"
+    near = "(select src as id, min(label) as near from m join l{0} on l{0}.id = dst group by 1)"
+    more = [f"l{k + 1} as materialized (select x.id, least(x.label, y.label, coalesce(near, x.label)) as label from l{k} x join l{k} y on y.id = x.label left join {near.format(k)} n on n.id = x.id)" for k in range(1, most)]
+    counts = " union all ".join(f"select {k} as round, (select count(*) from l{k} x join l{k - 1} y using (id) where x.label <> y.label) as changed" for k in range(1, most + 1))
+    return *first, *more, f"counts as materialized ({counts})"
+
+
+@query("a", "select round::bigint as round, changed::bigint as changed from counts where round <= (select min(round) from counts where changed = 0)", *_label_rounds(60))
+def label_rounds(graph):
+    """How many labels each round changes; the last changes none."""
+    record = Record()
+    label.min_reachable_label(graph.vertices, graph.edges, record)
+    return record.table(graph.vertices.sparkSession).select("round", "changed")
+
+
 HONG_PHASES = ("trim1", "first pivot", "trim1", "trim2", "trim1", "labels", "split")
+#: Vertices on the edges that trimming is given first, and what it leaves.
+FIRST_TRIM = "(select count(*) from (select src from m union select dst from m)) - (select count(*) from core where id in (select src from m union select dst from m))"
 
 
-@query("b", f"select * from (values {', '.join(f"({i}::bigint, '{p}', true)" for i, p in enumerate(HONG_PHASES, 1))}) as t(step, phase, counted)")
+@query(
+    "b",
+    f"""select t.step, t.phase, t.step <> 4 as counted, case when t.step = 1 then ({FIRST_TRIM})::bigint end as removed
+    from (values {", ".join(f"({i}::bigint, '{p}')" for i, p in enumerate(HONG_PHASES, 1))}) as t(step, phase)""",
+    core("m"),
+)
 def scc_phases(graph):
-    """The phases of a run in order, and whether each has its rounds and seconds."""
-    phases = pipelines.hong(graph).phases
-    rows = [(i, p["phase"], p["rounds"] >= 1 and p["seconds"] > 0) for i, p in enumerate(phases, 1)]
-    return graph.vertices.sparkSession.createDataFrame(rows, "step long, phase string, counted boolean")
+    """The phases of a run in order, whether its rounds are in the table of rounds (pairs take none), and what the first one removed."""
+    spark = graph.vertices.sparkSession
+    result = pipelines.hong(graph)
+    phases = spark.createDataFrame([(i, p["phase"]) for i, p in enumerate(result.phases, 1)], "step long, phase string")
+    sums = result.rounds().groupBy("step").agg(F.sum("changed").alias("removed"))
+    joined = phases.join(sums, "step", "left")
+    return joined.select("step", "phase", F.col("removed").isNotNull().alias("counted"), F.when(F.col("step") == 1, F.col("removed")).alias("removed"))
 
 
 # Text formats: files made of a view's graph, in the scratch folder, and what the readers make of them.

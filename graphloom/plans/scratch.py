@@ -56,6 +56,18 @@ def _table(df: DataFrame, path: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, buckets: int, columns: list[str], name: str | None = None, by: str | None = None) -> tuple[str, int]:
+    """(name, rows): writes ``df`` to a table of the session's catalog, in the scratch folder, in ``buckets`` by the hash of the columns; with a
+    ``name`` adds it to that table. Joins of such tables by those columns need no exchange."""
+    seen, fresh = Observation(), name is None
+    name = name or f"graphloom_{label}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *columns) if fresh else df
+    w = dealt.observe(seen, F.count(F.lit(1)).alias("n")).write.format("parquet").option("compression", "zstd").option("path", f"{scratch_dir(df.sparkSession)}/{name}")
+    w = w.bucketBy(buckets, *columns) if by is None else w.partitionBy(by).bucketBy(buckets, *columns)
+    w.mode("errorifexists" if fresh else "append").saveAsTable(name)
+    return name, seen.get["n"]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``cut`` made and that a later one, already written, takes the place of."""
     for t in tables:

@@ -4,9 +4,8 @@ import pytest
 from reference_model import random_graph, reachable, strong
 
 from graphloom.functions.tags import TAG_BITS, has_tag, packed_tag
-from graphloom.operators import label, merge, reach, trim
+from graphloom.operators import closure, label, merge, reach, trim
 from graphloom.operators import graph as g
-from graphloom.operators.finish import small_components, strong_of
 from graphloom.operators.graph import Graph
 from graphloom.operators.pivot import pivots
 from graphloom.plans import pipelines
@@ -81,7 +80,7 @@ def everything():
 @pytest.mark.parametrize("trims", [(True, True), (False, False)])
 def test_pipelines_agree_with_the_model(spark, algorithm, trims):
     n, edges, parts = everything()[trims[0]]
-    result = pipelines.strong_components(made(spark, n, edges, parts), algorithm, *trims, finish_edges=0)
+    result = pipelines.strong_components(made(spark, n, edges, parts), algorithm, *trims)
     assert pairs(result.components, "id", "component") == sorted(strong(n, edges).items())
     s = result.summary().first()
     assert s.n_scc == s.n_trim1 + s.n_trim2 + s.n_pivot
@@ -89,23 +88,14 @@ def test_pipelines_agree_with_the_model(spark, algorithm, trims):
     assert all(p["rounds"] >= 1 and p["seconds"] >= 0 for p in result.phases)
 
 
-@pytest.mark.parametrize("algorithm", ["x", "y", "d"])
-def test_small_rest(spark, algorithm):
-    n, edges, parts = everything()[1]
-    result = pipelines.strong_components(made(spark, n, edges, parts), algorithm, warp_size=32)
-    assert pairs(result.components, "id", "component") == sorted(strong(n, edges).items())
-    before = {"x": ["trim1", "first pivot", "trim1", "trim2", "trim1"], "y": ["trim1", "first pivot"], "d": ["trim1", "trim2", "trim1"]}
-    assert [p["phase"] for p in result.phases] == [*before[algorithm], "finish"]
-    with pytest.raises(ValueError, match="more than 3"):
-        small_components(made(spark, n, edges).edges, 3)
-
-
 def test_counts_by_phase_of_a_small_graph(spark):
     """A tail trimmed first, a pivot of degree product 4, a pair, and a vertex that only trimming after the pair finds."""
     edges = [(9, 1), (1, 2), (2, 3), (3, 1), (1, 3), (3, 2), (3, 4), (4, 5), (5, 4), (5, 6), (6, 7), (7, 8), (8, 10), (10, 7)]
-    for finish in (0, 1000):
-        s = pipelines.strong_components(made(spark, 10, edges), "g", finish_edges=finish).summary().first()
-        assert (s.n_scc, s.n_trim1, s.n_trim2, s.n_pivot) == (5, 2, 1, 2)
+    result = pipelines.strong_components(made(spark, 10, edges), "x", warp_size=32)
+    s = result.summary().first()
+    assert (s.n_scc, s.n_trim1, s.n_trim2, s.n_pivot) == (5, 2, 1, 2)
+    rounds = result.rounds().collect()
+    assert {r.step for r in rounds} <= set(range(1, 8)) and [r.changed for r in rounds if r.step == 1] == [1, 0]
 
 
 def test_scratch_must_be_shared_off_one_machine(spark, monkeypatch):
@@ -119,15 +109,6 @@ def test_scratch_must_be_shared_off_one_machine(spark, monkeypatch):
         scratch.scratch_dir(Elsewhere())
 
 
-def test_one_task_against_the_model():
-    r = random.Random(5)
-    for _ in range(300):
-        n = r.randint(1, 12)
-        edges = random_graph(r, n, r.randint(0, 25))
-        want = strong(n, edges)
-        assert strong_of(edges) == {v: want[v] for e in edges for v in e}
-
-
 def test_empty_graph_and_options(spark):
     empty = Graph(spark.range(0), spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([], "id long, part long"))
     for a in "gd":
@@ -151,7 +132,7 @@ def test_searches(spark):
     assert {x.id for x in reach.reach(seeds, graph.edges, backward=True)[0].collect()} == bwd
     both = reach.reach_both(seeds, graph.edges)[0].collect()
     assert {x.id for x in both if x.fwd} == fwd and {x.id for x in both if x.bwd} == bwd
-    assert pairs(reach.reach_pairs(graph.vertices, graph.edges), "s", "d") == sorted((s, d) for s in range(1, n + 1) for d in reachable(n, edges, s))
+    assert pairs(closure.reach_pairs(graph.vertices, graph.edges), "s", "d") == sorted((s, d) for s in range(1, n + 1) for d in reachable(n, edges, s))
     levels = {x.id: x.level for x in reach.reach(seeds.where("id = 1"), spark.createDataFrame([(1, 3), (3, 4), (1, 4)], "src long, dst long"))[0].collect()}
     assert levels == {1: 0, 3: 1, 4: 1}
 

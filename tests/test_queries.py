@@ -6,7 +6,7 @@ from graphloom.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 #: Those of many rounds; test_graphs.py covers what they do on small graphs.
-LONG = {"merge_scc", "merge_levels", "scc_slota", "scc_partitioned", "scc_summary", "component_histogram", "scc_phases"}
+LONG = {"merge_scc", "merge_levels", "scc_slota", "scc_partitioned", "scc_summary", "component_histogram", "scc_phases", "scc_small_rest"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - LONG))
