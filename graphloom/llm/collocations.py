@@ -25,6 +25,8 @@ from graphloom.llm.common import ascii_lower, cut, discard, table
 LEAST, MAX_WORDS, SHARE, TOP = 100, 5, 100, 2_000
 #: Hash slots that tell what was frequent: at most so many longs are broadcast.
 SLOTS = 1 << 20
+#: Phrases of so many words are counted by code first; of longer ones, few pass the filter by their parts.
+CODED = 3
 #: Slices of a language that are ranked by themselves.
 SLICES = 64
 #: Words that a row of exploded pieces holds at most, beside those that its last phrases need.
@@ -63,7 +65,8 @@ def _among(rows: DataFrame, name: str, of: DataFrame, salt: int) -> DataFrame:
 def frequent(found: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS) -> list[DataFrame]:
     """(lang, phrase, f) of the phrases of 1, 2, ... words that occur ``least`` times or more in ``pieces``.
 
-    Codes of 32 bits are counted first, which are few bytes to shuffle; phrases themselves only where their code is frequent."""
+    Codes of 32 bits are counted first, which are few bytes to shuffle; phrases themselves only where their code is frequent. Of
+    more than CODED words phrases are counted at once."""
     out: list[DataFrame] = []
     for n in range(1, max_words + 1):
         rows, names = _phrases(found, n), [F.col(f"w{k}") for k in range(1, n + 1)]
@@ -72,10 +75,11 @@ def frequent(found: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS) -
             known = out[-1].select(F.xxhash64("lang", *(parts[k] for k in range(n - 1))))
             for k, part in enumerate((names[:-1], names[1:])):
                 rows = _among(rows.withColumn(f"part{k}", F.xxhash64("lang", *part)), f"part{k}", known, 0)
-        rows = rows.select("lang", *(f"w{k}" for k in range(1, n + 1)), F.pmod(F.xxhash64("lang", *names), F.lit(1 << 32)).alias("code"))
-        codes = cut(rows.groupBy("code").agg(F.count("*").alias("f")).where(F.col("f") >= least).select("code"), "codes")
-        for salt in (1, 2):
-            rows = _among(rows, "code", codes, salt)
+        if n <= CODED:
+            rows = rows.select("lang", *(f"w{k}" for k in range(1, n + 1)), F.pmod(F.xxhash64("lang", *names), F.lit(1 << 32)).alias("code"))
+            codes = cut(rows.groupBy("code").agg(F.count("*").alias("f")).where(F.col("f") >= least).select("code"), "codes")
+            for salt in (1, 2):
+                rows = _among(rows, "code", codes, salt)
         counts = rows.select("lang", F.concat_ws(" ", *names).alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
         out.append(cut(counts.where(F.col("f") >= least), f"phrases-{n}"))
     return out
