@@ -8,17 +8,19 @@ from __future__ import annotations
 import argparse
 import logging
 import time
+from collections.abc import Iterator
 
-from pyspark.sql import Row
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 
 from graphloom.operators.graph import Graph
 from graphloom.plans.pipelines import PIPELINES, WARPS, strong_components
-from graphloom.plans.session import local_session
+from graphloom.plans.session import local_session, ship
 from graphloom.sources.text_graphs import read_gtgraph, read_partition, read_plain
 
 
-def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+def parser(kind: type[argparse.ArgumentParser] = argparse.ArgumentParser) -> argparse.ArgumentParser:
+    p = kind(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("-a", choices=list(PIPELINES), required=True, help="g, x: forward-backward search; h, y: coloring; d: by parts")
     p.add_argument("-p", type=int, choices=(0, 1), default=1, help="trim single vertices")
     p.add_argument("-q", type=int, choices=(0, 1), default=1, help="trim pairs (not for h and y)")
@@ -30,15 +32,51 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+class _Message(Exception):
+    pass
+
+
+class _Checking(argparse.ArgumentParser):
+    def error(self, message: str) -> None:
+        raise _Message(message)
+
+
+def checked(args: argparse.Namespace, p: argparse.ArgumentParser) -> argparse.Namespace:
+    if args.a == "d" and not args.partition:
+        p.error("-a d needs --partition")
+    return args
+
+
+def outcome(line: str) -> tuple[str | None, int | None, int | None, int | None, str]:
+    """(algorithm, trim1, trim2, warp, message) of a line of arguments; the message is ``ok``, or what is wrong, without the choices."""
+    p = parser(_Checking)
+    try:
+        args = checked(p.parse_args(line.split()), p)
+    except _Message as m:
+        return None, None, None, None, ":".join(str(m).split(":")[:2])
+    return args.a, args.p, args.q, args.w, "ok"
+
+
+def outcomes(lines: DataFrame) -> DataFrame:
+    """(line, algorithm, trim1, trim2, warp, message) of each of ``lines`` (line): the arguments of many runs, checked before any begins."""
+    ship(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        for b in batches:
+            rows = [outcome(x) for x in b.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("line"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["line", "algorithm", "trim1", "trim2", "warp", "message"])
+
+    return lines.select("line").mapInArrow(run, "line string, algorithm string, trim1 int, trim2 int, warp int, message string")
+
+
 def report(row: Row, trimmed: bool) -> list[str]:
     """The lines for a run's summary, but for the time."""
     return [f"numberOf1Sccs: {row.n_trim1}"] * trimmed + [f"Number Of Sccs : {row.n_scc}"]
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
-    if args.a == "d" and not args.partition:
-        parser().error("-a d needs --partition")
+    args = checked(parser().parse_args(argv), parser())
     logging.basicConfig(level=logging.INFO if args.verbose else logging.WARNING)
     logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = local_session("*", 8)

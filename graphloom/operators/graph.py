@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.scratch import cut
+
 
 @dataclass
 class Graph:
@@ -45,6 +47,30 @@ def adjacency(graph: Graph, edges: DataFrame | None = None) -> DataFrame:
     return graph.vertices.join(lists, "id", "left").select("id", F.coalesce("neighbours", empty).alias("neighbours"))
 
 
+#: Neighbours in a row of ``adjacency_chunks`` at most.
+CHUNK = 1 << 16
+
+
+def adjacency_chunks(vertices: DataFrame, links: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(id, chunk, neighbours, last): the neighbours of every vertex over links (id, way, nbr), sorted by way and neighbour, in rows of ``size`` at
+    most, numbered from 0; ``last`` marks a vertex's last row. One without links has one empty row.
+
+    Links are sorted by ranges, and their places in the whole order, not a vertex, say which go into a row: a hub is spread over as many
+    tasks as its links need."""
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["id", "way", "nbr"]
+    ordered = cut(links.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "nbr", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "links")
+    parts_of = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts_of.select("part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset"))  # a row for each partition
+    placed = ordered.join(F.broadcast(offsets), "part").select("id", "nbr", (F.col("at") + F.col("offset")).alias("at"))
+    rows = placed.groupBy("id", F.expr(f"at div {size}").alias("piece")).agg(F.sort_array(F.collect_list(F.struct("at", "nbr"))).alias("n"))
+    of_vertex = Window.partitionBy("id").orderBy("piece")
+    rows = rows.select("id", (F.row_number().over(of_vertex) - 1).alias("chunk"), F.col("n.nbr").alias("neighbours"), F.lead("piece").over(of_vertex).isNull().alias("last"))
+    none = F.array().cast("array<bigint>")
+    return vertices.select("id").join(rows, "id", "left").select("id", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("neighbours", none).alias("neighbours"), F.coalesce("last", F.lit(True)).alias("last"))
+
+
 def degrees(graph: Graph) -> DataFrame:
     """(id, out_degree, in_degree, score) of every vertex; repeats count, score is the product."""
     ends = graph.edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(graph.edges.select("dst", F.lit(0), F.lit(1)))

@@ -27,8 +27,9 @@ def trim1_survivors(edges: DataFrame) -> DataFrame:
     return sources(edges).join(targets(edges), "id", "left_semi")
 
 
-#: A round that removes less than one in so many vertices is thin: from the fourth round on, chains are then followed to their ends.
-THIN, PATIENCE = 32, 4
+#: A round that removes less than one in so many vertices is thin: from the fourth round on, chains are then followed to their ends. Where that does
+#: not remove so many times what the round itself does, the next try is put off for twice as long.
+THIN, PATIENCE, WORTH = 32, 4, 8
 
 
 def _counts(edges: DataFrame) -> DataFrame:
@@ -68,13 +69,14 @@ def peel(edges: DataFrame, within: bool = True, without: bool = True, label: str
         goes = goes | (F.col(n) == 0) if asked else goes
     measures = F.count(F.lit(1)).alias("left"), F.count_if(goes).alias("gone")
     state, seen = cut_observed(_counts(edges.distinct()), "degrees", *measures)
-    rounds, lost, next_try, all_ = 0, 0, PATIENCE, seen["left"]
+    rounds, lost, next_try, wait, all_ = 0, 0, PATIENCE, PATIENCE, seen["left"]
     while seen["gone"]:
         rounds += 1
         gone, removed = state.where(goes).select("id"), seen["gone"]
         if chains and rounds >= next_try and seen["gone"] * THIN < seen["left"]:
             gone, removed = cut_counted(gone.union(_hanging(state, gone, within, without)).distinct(), "hanging")
-            next_try = rounds + PATIENCE
+            wait = PATIENCE if removed > WORTH * seen["gone"] else 2 * wait
+            next_try = rounds + wait
         if record is not None:
             record.add(round=rounds, changed=removed, left=seen["left"] - removed)
         if removed == seen["left"]:

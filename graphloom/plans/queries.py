@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.cli import report
+from graphloom.cli import outcomes, report
 from graphloom.functions.tags import packed_tag
 from graphloom.operators import closure as pairs
 from graphloom.operators import fwbw, label, merge, pivot, reach, trim
@@ -19,7 +19,7 @@ from graphloom.operators.graph import Graph
 from graphloom.plans import pipelines
 from graphloom.plans.rounds import Record
 from graphloom.plans.scratch import cut, new_path
-from graphloom.sources import text_graphs
+from graphloom.sources import datasource, text_graphs
 from graphloom.sources.views import block_colors, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,18 @@ def degree_product(graph):
     return g.degrees(graph).select("id", F.col("score").cast("long").alias("score"))
 
 
+@query(
+    "b",
+    """select id, chunk, string_agg(dst::varchar, ',' order by place) as neighbours, chunk = max(chunk) over (partition by id) as last from
+        (select src as id, dst, place, (dense_rank() over (partition by src order by place // 3) - 1)::int as chunk from (select *, row_number() over (order by src, dst) - 1 as place from m)) group by id, chunk
+    union all select id, 0, '', true from v where id not in (select src from m)""",
+)
+def adjacency_chunks(graph):
+    """The neighbours of a vertex in rows of three at most."""
+    links = graph.edges.select(F.col("src").alias("id"), F.lit(0).alias("way"), F.col("dst").alias("nbr"))
+    return g.adjacency_chunks(graph.vertices, links, 3).select("id", "chunk", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"), "last")
+
+
 # Trimming.
 
 
@@ -597,3 +609,71 @@ def metis_scan(graph):
 def metis_round_trip(graph):
     """The converter's lines read back are the edges either way."""
     return _read_metis(graph).select(F.col("id").alias("src"), F.col("nbr").alias("dst")).distinct()
+
+
+# The same formats as data sources, read in small splits.
+
+
+def _loaded(graph: Graph, kind: str, path: str, **options) -> DataFrame:
+    spark = graph.vertices.sparkSession
+    datasource.register(spark)
+    reader = spark.read.format(kind)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.load(path)
+
+
+@query("a", f"select src, dst, ({WEIGHT})::bigint as weight from m")
+def gtgraph_source(graph):
+    head = [*(f"c comment {i}" for i in range(7)), f"p sp {graph.vertices.count()} {graph.edges.count()}"]
+    return _loaded(graph, "gtgraph", _file(graph, _edge_lines(graph), *head), splitBytes=1 << 16)
+
+
+@query("b", "select (select count(*) from v)::bigint as vertices, (select count(*) from m)::bigint as edges")
+def metis_source_sizes(graph):
+    """The header that the writer's commit adds."""
+    return _loaded(graph, "metis", _written(graph), table="sizes")
+
+
+def _written(graph: Graph) -> str:
+    path = new_path(graph.vertices.sparkSession, "metis")
+    text_graphs.write_metis(graph, path, 4)
+    return path
+
+
+@query("b", "select k as id, (row_number() over (partition by k order by way, n) - 1)::int as pos, n as nbr from (select src as k, 0 as way, dst as n from m union all select dst, 1, src from m)")
+def metis_source(graph):
+    """Written in chunks of four, read in splits by an index made for them."""
+    path, step = _written(graph), 1 << 12
+    return _loaded(graph, "metis", path, splitBytes=step, index=datasource.line_index(graph.vertices.sparkSession, path, step))
+
+
+@query("a", "select id, part from p")
+def vertex_parts_source(graph):
+    path, step = _file(graph, graph.parts.orderBy("id").select(F.col("part").cast("string").alias("line"))), 1 << 10
+    return _loaded(graph, "vertex_parts", path, splitBytes=step, index=datasource.line_index(graph.vertices.sparkSession, path, step))
+
+
+# The command line.
+
+
+@query(
+    "a",
+    """select line, case when message = 'ok' then a end as algorithm, case when message = 'ok' then p::int end as trim1, case when message = 'ok' then coalesce(q, 1)::int end as trim2,
+        case when message = 'ok' then coalesce(w, 1)::int end as warp, message
+    from (select *, case when a not in ('g', 'x', 'h', 'y', 'd') then 'argument -a: invalid choice' when p = 'yes' then 'argument -p: invalid int value' when p not in ('0', '1') then 'argument -p: invalid choice'
+        when q not in (0, 1) then 'argument -q: invalid choice' when w not in (1, 2, 4, 8, 16, 32) then 'argument -w: invalid choice' when not f then 'the following arguments are required: -f'
+        when a = 'd' and not parts then '-a d needs --partition' else 'ok' end as message,
+        '-a ' || a || ' -p ' || p || coalesce(' -q ' || q, '') || coalesce(' -w ' || w, '') || case when f then ' -f graph.gr' else '' end || case when parts then ' --partition graph.parts' else '' end as line
+        from (select substring('gxhydz', (id % 6)::int + 1, 1) as a, case id % 7 when 5 then 'yes' when 6 then '2' else (id % 2)::varchar end as p, case when id % 5 < 4 then id % 5 // 2 + id % 5 % 2 end as q,
+            case when id % 11 > 0 then id % 11 end as w, id % 13 > 0 as f, id % 3 > 0 as parts from v))""",
+)
+def cli_outcomes(graph):
+    """A line of arguments for each vertex, made of its id, and what the parser says to it."""
+    v = graph.vertices
+    a = F.substring(F.lit("gxhydz"), (F.col("id") % 6).cast("int") + 1, F.lit(1))
+    p = F.when(F.col("id") % 7 == 5, "yes").when(F.col("id") % 7 == 6, "2").otherwise((F.col("id") % 2).cast("string"))
+    q = F.expr("if(id % 5 < 4, concat(' -q ', id % 5 div 2 + id % 5 % 2), '')")
+    w = F.expr("if(id % 11 > 0, concat(' -w ', id % 11), '')")
+    f = F.expr("concat(if(id % 13 > 0, ' -f graph.gr', ''), if(id % 3 > 0, ' --partition graph.parts', ''))")
+    return outcomes(v.select(F.concat(F.lit("-a "), a, F.lit(" -p "), p, q, w, f).alias("line")))

@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import Graph
+from graphloom.operators.graph import CHUNK, Graph, adjacency_chunks
 from graphloom.plans.scratch import cut
+from graphloom.sources.datasource import register
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -90,8 +91,11 @@ def metis_lines(graph: Graph) -> DataFrame:
     return sizes.select(F.lit(0).cast("long").alias("id"), F.concat_ws(" ", "v", "e").alias("line")).union(body)
 
 
-def write_metis(graph: Graph, path: str) -> None:
-    """Text files whose names sort as their lines do."""
-    metis_lines(graph).orderBy("id").select("line").write.text(path)
+def write_metis(graph: Graph, path: str, chunk: int = CHUNK) -> None:
+    """Text files whose names sort as their lines do, with an index of their lines; a line of any length is put together from chunks."""
+    register(graph.edges.sparkSession)
+    links = graph.edges.select(F.col("src").alias("id"), F.lit(0).alias("way"), F.col("dst").alias("nbr")).union(graph.edges.select("dst", F.lit(1), "src"))
+    chunks = adjacency_chunks(graph.vertices, links, chunk)
+    chunks.select("id", "chunk", "neighbours", "last").repartitionByRange("id").sortWithinPartitions("id", "chunk").write.format("metis").mode("append").save(path)
 
 

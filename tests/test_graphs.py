@@ -6,9 +6,11 @@ from reference_model import random_graph, reachable, strong
 from graphloom.functions.tags import TAG_BITS, has_tag, packed_tag
 from graphloom.operators import closure, label, merge, reach, trim
 from graphloom.operators import graph as g
+from graphloom.operators.chains import chain_ends
 from graphloom.operators.graph import Graph
 from graphloom.operators.pivot import pivots
 from graphloom.plans import pipelines
+from graphloom.plans.rounds import Record
 
 
 def cycle(*ids):
@@ -98,6 +100,90 @@ def test_counts_by_phase_of_a_small_graph(spark):
     assert {r.step for r in rounds} <= set(range(1, 8)) and [r.changed for r in rounds if r.step == 1] == [1, 0]
 
 
+def peeled(edges, within, without):
+    left = set(edges)
+    while True:
+        into, out = {b for _, b in left}, {a for a, _ in left}
+        rest = {(a, b) for a, b in left if (not within or a in into) and (not without or b in out)}
+        if rest == left:
+            return left
+        left = rest
+
+
+@pytest.mark.parametrize(("within", "without", "chains"), [(True, True, True), (False, True, False)])
+def test_peeling_against_the_model(spark, within, without, chains):
+    """Random edges, loops, doubled edges, tails into and out of cycles, a ladder whose rounds are many and thin."""
+    r = random.Random(8)
+    edges = [(r.randrange(40), r.randrange(40)) for _ in range(52)] + cycle(100, 101) * 2 + cycle(110, 111, 112) + [(120, 120), (120, 121), (121, 122), (130, 131), (131, 100), (112, 140), (140, 141)]
+    edges += [(200 + i, 200 + i + k) for i in range(5) for k in (1, 2)] + [(1000 + i, 1001 + i) for i in range(400)]
+    used = edges if chains else edges[:-396]
+    kept, rounds = trim.peel(spark.createDataFrame(used, "src long, dst long"), within, without, chains=chains)
+    assert pairs(kept, "src", "dst") == sorted(e for e in used if e in peeled(used, within, without))
+    assert rounds < 30
+
+
+def test_rounds_of_a_long_path_grow_with_its_logarithm(spark):
+    n = 5_000
+    path = spark.range(1, n).selectExpr("id as src", "id + 1 as dst")
+    kept, rounds = trim.trim1(path)
+    assert kept.count() == 0 and rounds <= trim.PATIENCE
+    ends, rounds = chain_ends(path.selectExpr("dst as id", "src as up"))
+    assert rounds <= 13 and {r.up for r in ends.select("up").distinct().collect()} == {1} and ends.count() == n - 1
+    some = spark.createDataFrame([(5, 6), (6, 5), (7, 5), (8, 7)], "id long, up long")  # a circle, and what hangs on it
+    assert chain_ends(some)[0].count() == 0
+    tail = path.union(spark.createDataFrame([(n, 9_001), (9_001, 9_002), (9_002, 9_001), (8_000, 8_001), (8_001, 8_000), (300, 700)], "src long, dst long"))
+    found, rounds = reach.reachable(spark.createDataFrame([(40,)], "id long"), tail, [])
+    assert rounds <= 60 and {r.id for r in found.collect()} == {*range(40, n + 1), 9_001, 9_002}
+
+
+def test_a_level_exchanges_only_what_it_reaches(spark):
+    r = random.Random(3)
+    edges = spark.createDataFrame([(r.randrange(90), r.randrange(90)) for _ in range(120)], "src long, dst long")
+    seen = []
+    old = reach.bucketed
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        reach.bucketed = lambda df, label, *a, **k: (seen.append(df._jdf.queryExecution().executedPlan().toString()) if k.get("name") else None, old(df, label, *a, **k))[1]
+        reach.search(spark.createDataFrame([(1,)], "id long"), edges, [])
+    finally:
+        reach.bucketed = old
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert seen and all(p.count("Exchange") <= 1 for p in seen)  # one bucket needs none
+
+
+def test_contraction_halves_edges(spark):
+    r = random.Random(6)
+    edges = [(r.randrange(3_000), r.randrange(3_000)) for _ in range(2_500)] + [(5_000 + i, 5_001 + i) for i in range(500)]
+    record = Record()
+    found, rounds = label.contracted(spark.range(6_000), spark.createDataFrame(edges, "src long, dst long"), record)
+    least = list(range(6_000))
+
+    def root(x):
+        while least[x] != x:
+            least[x] = least[least[x]]
+            x = least[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        least[y] = x
+    assert {x.id: x.component for x in found.collect()} == {v: root(v) for v in range(6_000)}
+    left = [x[4] for x in record.rows]
+    assert rounds <= 14 and left[3] <= len(edges) / 8
+
+
+def test_closure_of_a_part_with_a_large_component(spark):
+    edges = cycle(*range(100, 300)) + [(1, 100), (100, 2), (2, 3), (-5, 1), (3, -70)]
+    nodes, quotient = spark.createDataFrame([(i,) for i in (-70, -5, 1, 2, 3, 100)], "id long"), spark.createDataFrame([(1, 100), (100, 2), (2, 3), (-5, 1), (3, -70)], "src long, dst long")
+    assert closure.closure(nodes, quotient).count() <= 15  # rows of the condensation, not of 203 times 200 pairs
+    got = closure.reach_pairs(spark.createDataFrame([(-5,), (150,), (3,), (77,)], "id long"), spark.createDataFrame(edges, "src long, dst long"))
+    after = [2, 3, -70]
+    want = [(-5, x) for x in (-5, 1, *range(100, 300), *after)] + [(150, x) for x in (*range(100, 300), *after)] + [(3, 3), (3, -70), (77, 77)]
+    assert pairs(got, "s", "d") == sorted(want)
+
+
 def test_scratch_must_be_shared_off_one_machine(spark, monkeypatch):
     from graphloom.plans import scratch
 

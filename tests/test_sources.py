@@ -2,11 +2,14 @@ import glob
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from reference_model import random_graph, strong
 
 from graphloom import cli
+from graphloom.operators import graph as g
 from graphloom.operators.graph import Graph
 from graphloom.operators.merge import components_of
+from graphloom.sources import datasource
 from graphloom.sources import text_graphs as t
 
 
@@ -72,6 +75,51 @@ def test_metis_equals_what_the_writer_makes(spark, made):
     assert lines[0] == f"{n} {len(e)}" and len(lines) == n + 1
 
 
+def test_sources_read_in_splits_of_any_size(spark, made):
+    path, n, e, parts, out = made
+    datasource.register(spark)
+    lists = [(i, pos, x) for i, row in enumerate(out, 1) for pos, x in enumerate(row)]
+    for step in (1, 13, 1 << 20):
+        read = lambda kind, name, **more: spark.read.format(kind).options(splitBytes=step, **more).load(str(path / name))  # noqa: B023, E731
+        assert sorted((r.src, r.dst) for r in read("gtgraph", "g.gr").collect()) == sorted(e)
+        index = datasource.line_index(spark, str(path / "metis"), step)
+        assert sorted(map(tuple, read("metis", "metis", index=index).collect())) == lists
+        index = datasource.line_index(spark, str(path / "parts"), step)
+        assert sorted(map(tuple, read("vertex_parts", "parts", index=index).collect())) == list(enumerate(parts, 1))
+        for kind, name in (("gtgraph", "g.gr"), ("gtgraph", "plain"), ("metis", "metis")):
+            assert [tuple(r) for r in read(kind, name, table="sizes").collect()] == [(n, len(e))]
+    assert sorted(map(tuple, spark.read.format("metis").load(str(path / "metis")).collect())) == lists  # no index: one task reads all
+    (path / "short").write_text("a 1 2\n")
+    with pytest.raises(Exception, match="needs two vertices"):
+        spark.read.format("gtgraph").load(str(path / "short")).collect()
+
+
+def test_a_hub_is_written_from_chunks(spark, tmp_path):
+    hub = spark.range(20_000).selectExpr("3L as src", "id % 4999 + 1 as dst").union(spark.range(50).selectExpr("id + 1", "id + 2"))
+    graph = Graph(spark.range(1, 5_003), hub)
+    links = hub.selectExpr("src as id", "0 as way", "dst as nbr")
+    rows = g.adjacency_chunks(graph.vertices, links, 1_000).select("id", "chunk", F.size("neighbours").alias("n"), "last").collect()
+    of_hub = sorted((r.chunk, r.n, r.last) for r in rows if r.id == 3)
+    assert max(r.n for r in rows) <= 1_000 and [x[0] for x in of_hub] == list(range(len(of_hub))) and sum(x[1] for x in of_hub) == 20_001
+    assert [x[2] for x in of_hub] == [False] * (len(of_hub) - 1) + [True] and len({r.id for r in rows}) == 5_002
+    t.write_metis(graph, str(tmp_path / "out"), 1_000)
+    text = "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/out/part-*")))
+    assert text == "".join(r.line + "\n" for r in t.metis_lines(graph).orderBy("id").collect())
+    datasource.register(spark)
+    again = spark.read.format("metis").load(str(tmp_path / "out"))  # by the writer's own index
+    assert again.count() == 2 * hub.count() and spark.read.format("metis").options(splitBytes=777, index=datasource.line_index(spark, str(tmp_path / "out"), 777)).load(str(tmp_path / "out")).exceptAll(again).count() == 0
+    with pytest.raises(Exception, match="not empty"):
+        t.write_metis(graph, str(tmp_path / "out"))
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    datasource.register(spark)
+    bad = spark.range(40).select("id", F.lit(0).alias("chunk"), F.when(F.col("id") < 33, F.array("id")).alias("neighbours"), F.lit(True).alias("last"))
+    with pytest.raises(Exception, match="not iterable"):
+        bad.write.format("metis").mode("append").save(str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+
+
 def test_broken_files(spark, tmp_path):
     (tmp_path / "a").write_text("c x\np sp 2 2\na 1 2 1\n")
     with pytest.raises(ValueError, match="announced"):
@@ -98,6 +146,7 @@ def test_command_line(spark, made, capsys):
         assert cli.main([*more, "-p", "1", "-q", "1", "-f", str(path / "g.gr")]) == 0
         out = capsys.readouterr().out
         assert f"Number Of Sccs : {len(set(strong(n, e).values()))}\n" in out and "numberOf1Sccs: " in out and "Time : " in out
+    assert cli.outcome("-a g -f x") == ("g", 1, 1, 1, "ok") and cli.outcome("-a z -f x")[-1] == "argument -a: invalid choice"
     with pytest.raises(SystemExit):
         cli.main(["-a", "d", "-f", "x"])
     with pytest.raises(SystemExit):
