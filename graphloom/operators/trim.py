@@ -27,9 +27,9 @@ def trim1_survivors(edges: DataFrame) -> DataFrame:
     return sources(edges).join(targets(edges), "id", "left_semi")
 
 
-#: A round that removes less than one in so many vertices is thin: from the fourth round on, chains are then followed to their ends. Where that does
+#: A round that removes less than one in so many vertices is thin: from round PATIENCE on, chains are then followed to their ends. Where that does
 #: not remove so many times what the round itself does, the next try is put off for twice as long.
-THIN, PATIENCE, WORTH = 32, 4, 8
+THIN, PATIENCE, WORTH = 32, 16, 8
 
 
 def _counts(edges: DataFrame) -> DataFrame:
@@ -72,9 +72,10 @@ def peel(edges: DataFrame, within: bool = True, without: bool = True, label: str
     rounds, lost, next_try, wait, all_ = 0, 0, PATIENCE, PATIENCE, seen["left"]
     while seen["gone"]:
         rounds += 1
-        gone, removed = state.where(goes).select("id"), seen["gone"]
+        gone, removed, rest = state.where(goes).select("id"), seen["gone"], state.where(~goes)
         if chains and rounds >= next_try and seen["gone"] * THIN < seen["left"]:
             gone, removed = cut_counted(gone.union(_hanging(state, gone, within, without)).distinct(), "hanging")
+            rest = state.join(gone, "id", "left_anti")
             wait = PATIENCE if removed > WORTH * seen["gone"] else 2 * wait
             next_try = rounds + wait
         if record is not None:
@@ -84,7 +85,7 @@ def peel(edges: DataFrame, within: bool = True, without: bool = True, label: str
         less = losses.join(gone, "id").groupBy(F.col("other").alias("id")).agg(
             *(f.alias(f"d_{n}") for w, end in (("i", "in"), ("o", "out")) for n, f in ((f"n_{end}", F.count_if(F.col("way") == w)), (f"x_{end}", F.bit_xor(F.when(F.col("way") == w, F.col("id")).otherwise(F.lit(0).cast("long"))))))
         )
-        rest = state.join(gone, "id", "left_anti").join(less, "id", "left")
+        rest = rest.join(less, "id", "left")
         zero = F.lit(0).cast("long")
         new = [f(F.col(c), F.coalesce(F.col(f"d_{c}"), zero)).alias(c) for c, f in (("n_in", _minus), ("x_in", _xor), ("n_out", _minus), ("x_out", _xor))]
         old = state
