@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import documents, table, utf8
@@ -208,10 +209,12 @@ UNITS = "array<struct<pid:int, stream_type:int, pts:long, dts:long, random_acces
 def access_units(media: DataFrame, media_col: str = "media") -> DataFrame:
     """Adds what the stored streams hold: packets, discontinuities, errors, units and the payload itself.
 
-    One row in, one row out. ``payload`` joins the data of the elementary streams in table order.
+    One row in, one row out. ``payload`` joins the data of the elementary streams in table order. Columns that are named like one of these
+    are passed on as carried_<name>.
     """
     more = ["packets", "discontinuities", "errors", "units", "payload"]
-    kept = media.select(*(c for c in media.columns if c not in more))
+    kept = media.select(*(F.col(c).alias(f"carried_{c}" if c in more else c) for c in media.columns))
+    media_col = f"carried_{media_col}" if media_col in more else media_col
     unit = pa.struct([("pid", pa.int32()), ("stream_type", pa.int32()), ("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_()), ("offset", pa.int64()), ("length", pa.int64())])
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(unit), pa.binary()]
 

@@ -44,3 +44,11 @@ def test_query_columns(spark):
         want.append((d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m.mux(p)), hashlib.sha256(m.mux(p)).hexdigest()))
     assert sorted([tuple(r)[:7] for r in got], key=str) == sorted(want, key=str)
     assert m.digests(m.access_units(m.encode_payloads(frame(spark, [])))).count() == 0
+
+
+def test_columns_named_like_results_are_passed_on(spark):
+    media = m.encode_payloads(frame(spark, [(1, "some text"), (2, None)])).withColumn("units", m.F.lit("own")).withColumnRenamed("media", "payload")
+    got = m.access_units(media, "payload")
+    assert {"carried_units", "carried_payload", "units", "payload"} <= set(got.columns)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[1].carried_units == "own" and bytes(rows[1].payload).rstrip(bytes(1)) == b"some text" and len(rows[2].payload) == 64
