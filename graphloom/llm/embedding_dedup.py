@@ -408,3 +408,16 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, recall: float = REC
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+with recursive typed as (select vec_id, label, embedding::double[] as e from embeddings),
+    sizes as (select *, case when len(e) > 0 and list_count(e) = len(e) then list_dot_product(e, e) end as size from typed),
+    good as (select * from sizes where vec_id is not null and label is not null and isfinite(size) and size > 0),
+    links as materialized (select a.vec_id as x, b.vec_id as y from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+        where list_dot_product(a.e, b.e) / sqrt(a.size * b.size) >= 0.93),
+    reached(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from reached r join links l on l.x = r.y),
+    least as (select x as vec_id, min(y) as component_id from reached group by 1),
+    counts as (select x as vec_id, count(*) as n from links group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings left join counts using (vec_id) left join least using (vec_id)
+"""

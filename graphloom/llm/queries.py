@@ -25,5 +25,6 @@ SQL: dict[str, str] = {
     "op6_suffix_dedup": suffix_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op11_fill_in_middle": fill_in_middle.SQL,
+    "op12_embedding_dedup": embedding_dedup.SQL,
     "op13_collocations": collocations.SQL,
 }

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from compare import compare
 
 from graphloom.llm import embedding_dedup as m
 
@@ -94,6 +95,10 @@ def test_recall_of_the_graph_alone():
     assert len(true) >= 790 and sum(t in found for t in true) / len(true) > 0.98
 
 
+def test_against_sql(spark):
+    assert compare(spark, "/root/testdata/sf0.001", m.query, m.SQL) > 50
+
+
 def test_given_embeddings(spark):
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     assert got(m.query(spark, "/root/testdata/sf0.01")) == brute(rows)
