@@ -16,7 +16,7 @@ def chain_ends(pointers: DataFrame, *keys: str) -> tuple[DataFrame, int]:
     """((keys, id, up), rounds): for each of ``pointers`` (keys, id, up), the first vertex on its way up that has no pointer itself.
 
     A vertex has one pointer at most for the same keys. Those whose way leads into a circle have no end and are left out. After k rounds
-    all within 2^k of an end have theirs, and a round that ends no way is the last: what is open then is circles and their trees."""
+    all within 3^k of an end have theirs, and a round that ends no way is the last: what is open then is circles and their trees."""
     columns = [*keys, "id", "up"]
     own = pointers.select(*columns)
     has = own.select(*keys, F.col("id").alias("up"), F.lit(True).alias("open"))
@@ -24,7 +24,9 @@ def chain_ends(pointers: DataFrame, *keys: str) -> tuple[DataFrame, int]:
     rounds, left = 0, seen["n"]
     while left:
         up = table.select(*keys, F.col("id").alias("up"), F.col("up").alias("far"), F.col("open").alias("still"))
-        moved = table.where("open").join(up, [*keys, "up"]).select(*keys, "id", F.col("far").alias("up"), F.col("still").alias("open"))
+        moved = table.where("open")
+        for _ in range(2):  # two jumps of the same length in one job; what has got to an end finds no pointer there
+            moved = moved.join(up, [*keys, "up"], "left").select(*keys, "id", F.coalesce("far", "up").alias("up"), F.coalesce("still", F.lit(False)).alias("open"))
         old, before = table, left
         table, seen = cut_observed(table.where("not open").union(moved.select(*table.columns)), "chains", F.count_if("open").alias("n"))
         discard(old)
