@@ -54,8 +54,12 @@ def extreme_reachable(vertices: DataFrame, edges: DataFrame, largest: bool = Fal
             break
         fresh = labels.where("changed").select(F.col("id").alias("dst"), F.col("label").alias("near"))
         near = edges.join(fresh, "dst").groupBy(F.col("src").alias("id")).agg(best("near").alias("near"))
+        # A label's own label is news only to a vertex whose label has just changed, or if it has changed itself.
         ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("ahead"))
-        new = labels.join(ahead, "label").join(near, "id", "left").select("id", "label", both("ahead", "near").alias("new"))
+        moved = labels.where("changed").select("id", "label").join(ahead, "label").select("id", "label", "ahead")
+        told = fresh.select(F.col("dst").alias("label"), F.col("near").alias("ahead"))
+        still = labels.where("not changed").select("id", "label").join(told, "label", "left").select("id", "label", F.coalesce("ahead", "label").alias("ahead"))
+        new = moved.union(still).join(near, "id", "left").select("id", "label", both("ahead", "near").alias("new"))
         new = new.select("id", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed"))
         old = labels
         labels, seen = cut_observed(new, "label", F.count_if("changed").alias("n"))
