@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.fwbw import canonical, fw_bw, split
 from graphloom.operators.graph import Graph, alike, among, degrees
 from graphloom.operators.label import color_components, max_color, min_reachable_label
-from graphloom.operators.merge import local_components, merged_components
+from graphloom.operators.merge import condensation_edges, local_components, merged_components  # noqa: F401  (condensation_edges: callers know it by this module)
 from graphloom.operators.trim import trim1, trim1_survivors, trim2
 from graphloom.plans.rounds import Record
 from graphloom.plans.scratch import cut, discard
