@@ -10,10 +10,11 @@ fewer words is one shingle; texts without words are alike). Texts of equal sets
 
 Every pair is verified on the texts before it links. Where sets share a band, each is paired with the least of them. What
 that leaves are bands with sets outside their most frequent component: clouds of texts of a similarity below 0.8 to each other,
-which share bands by chance. All sets of such bands are banded again, by ``FINE_BANDS`` bands of ``FINE_ROWS`` hashes: a pair of 0.8
-shares one with the same probability, 0.998, one of 0.6 with 0.10 instead of 0.62. They are paired with the least of these bands,
-and those that are then outside their band's most frequent component with all of other components. So every two sets that
-share a band, and a fine band if theirs is such a cloud, are either compared or connected, whatever the size of the band.
+which share bands by chance. The sets of such bands meet again over their rare shingles: in one order for all sets, by how many
+of these sets hold a shingle, two sets of 0.8 share one of the first fifth (and one more) of each, and where the first that they share
+stands says how many they can share at most. This loses no pair, and of a cloud whose texts each have over a ninth of their own it
+leaves none. The sets are paired with the least that holds such a shingle, and those that are then outside its most
+frequent component with all of other components. So every two sets that share a band are compared, connected, or ruled out.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, cut_counted, documents, partitions, utf8
@@ -33,7 +34,6 @@ from graphloom.llm.simhash import links as ball_links
 from graphloom.llm.simhash import majority
 
 WORDS, BANDS, ROWS = 5, 20, 6
-FINE_BANDS, FINE_ROWS = 140, 14
 #: Hashes, by shingle and function, held at once.
 _HELD = 1 << 21
 #: Pairs a task compares: so many at least, and, where there are more tasks than partitions, at most.
@@ -62,15 +62,16 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(1, 1 << 63, n, np.uint64) << np.uint64(1) | np.uint64(1), r.integers(0, 1 << 63, n, np.uint64)
 
 
-def bands(found: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def bands(found: np.ndarray) -> np.ndarray:
     """The keys of a set's bands."""
-    factors, salts = _functions(count * rows)
-    least = np.full(count * rows, np.iinfo(np.uint64).max, np.uint64)
-    step = max(1, _HELD // (count * rows))
+    n = BANDS * ROWS
+    factors, salts = _functions(n)
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, _HELD // n)
     for at in range(0, len(found), step):
         x = (found[None, at : at + step] ^ salts[:, None]) * factors[:, None]
         least = np.minimum(least, x.min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(count, rows))], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -122,8 +123,8 @@ def _by_simhash(sets: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, key, size, component) of the sets in bands that hold several components."""
-    own = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "size", F.coalesce("component", "key").alias("component"))
+    """(band, key, size, at, component) of the sets in bands that hold several components."""
+    own = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "size", "at", F.coalesce("component", "key").alias("component"))
     own = cut(own, "labelled")
     several = own.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
     return own.join(several, "band", "left_semi")
@@ -131,22 +132,23 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def _pairs(labelled: DataFrame, centres: DataFrame, tested: DataFrame) -> DataFrame:
     """(a, b): members of bands with those centres of these bands that are of another component, but for tested ones and
-    those whose sizes rule out a similarity of 4/5."""
-    c = centres.select("band", F.col("key").alias("x"), F.col("size").alias("length"), F.col("component").alias("other"))
-    apart = (F.col("component") != F.col("other")) & (5 * F.col("size") >= 4 * F.col("length")) & (5 * F.col("length") >= 4 * F.col("size"))
+    those that cannot share 4/9 of their shingles together: before the places ``at`` in both they share none."""
+    c = centres.select("band", F.col("key").alias("x"), F.col("size").alias("length"), F.col("at").alias("place"), F.col("component").alias("other"))
+    shared = 1 + F.least(F.col("size") - F.col("at"), F.col("length") - F.col("place"))
+    apart = (F.col("component") != F.col("other")) & (9 * shared >= 4 * (F.col("size") + F.col("length")))
     apart = labelled.alias("m").join(c.alias("c"), (F.col("m.band") == F.col("c.band")) & apart)
     return apart.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def _leasts(labelled: DataFrame) -> DataFrame:
-    """(band, key, size, component) of the least set of each band."""
-    return labelled.groupBy("band").agg(F.min(F.struct("key", "size", "component")).alias("c")).select("band", "c.*")
+    """(band, key, size, at, component) of the least set of each band."""
+    return labelled.groupBy("band").agg(F.min(F.struct("key", "size", "at", "component")).alias("c")).select("band", "c.*")
 
 
 def _outside(labelled: DataFrame) -> DataFrame:
-    """(band, key, size, component) of the sets that are not in their band's most frequent component."""
+    """(band, key, size, at, component) of the sets that are not in their band's most frequent component."""
     main = labelled.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    return labelled.join(main, "band").where("component <> main").select("band", "key", "size", "component")
+    return labelled.join(main, "band").where("component <> main").select("band", "key", "size", "at", "component")
 
 
 def _several(members: DataFrame, least: int = 2) -> DataFrame:
@@ -154,17 +156,22 @@ def _several(members: DataFrame, least: int = 2) -> DataFrame:
     return members.join(members.groupBy("band").agg(F.count("*").alias("n")).where(f"n >= {least}").select("band"), "band", "left_semi")
 
 
-def _fine(d: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, size, band) of the fine bands of these sets."""
+def _rare(d: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, size, band, at) of these sets: the first fifth of a set's shingles, and one more, rarest first, but for those that no
+    other of them holds. ``band`` is the shingle, ``at`` its place in the order of the whole set."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t) for t in utf8(b)]
-            sizes, fine = [len(s) for s in found], [bands(s, FINE_BANDS, FINE_ROWS) for s in found]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int64()), pa.array(fine, pa.list_(pa.int64()))], ["key", "size", "bands"])
+            own = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([len(s) for s in found], pa.int64()), own], ["key", "size", "own"])
 
-    signed = _texts(d, sets, keys).mapInArrow(sign, "key long, size long, bands array<long>")
-    return cut(signed.select("key", "size", F.explode("bands").alias("band")), "fine-bands")
+    own = _texts(d, sets, keys).mapInArrow(split, "key long, size long, own array<long>")
+    own = cut(own.select("key", "size", F.explode("own").alias("band")), "shingles")
+    shared = own.join(own.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
+    one = Window.partitionBy("key")
+    at = F.col("size") - F.count("*").over(one) + F.row_number().over(one.orderBy("n", "band"))
+    return cut(shared.select("key", "size", "band", at.alias("at")).where("5 * (at - 1) <= size"), "rare")
 
 
 def _joined(d: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,14 +188,14 @@ def _joined(d: DataFrame, sets: DataFrame) -> DataFrame:
             links = links.union(cut(_linked(pairs, n, _texts(d, sets, _ends(pairs))), "links"))
             found = components(links)
 
-    members = cut(_several(sets.select("key", "size", F.explode("bands").alias("band"))), "band-members")
+    members = cut(_several(sets.select("key", "size", F.lit(1).alias("at"), F.explode("bands").alias("band"))), "band-members")
     labelled = _labelled(members, found)
     compare(labelled, _leasts(labelled))
     # Both sets of a band of two have now been compared.
     clouds = _labelled(_several(members, 3), found)
     keys, n = cut_counted(clouds.select("key").distinct(), "cloud")
     if n:
-        members = _several(_fine(d, sets, keys))
+        members = _several(_rare(d, sets, keys))
         labelled = _labelled(members, found)
         compare(labelled, _leasts(labelled))
         labelled = _labelled(members, found)

@@ -2,6 +2,7 @@ import random
 import re
 
 from fixtures import awkward, frame
+from pyspark.sql import functions as F
 from test_simhash import classes
 
 import corpus_pipeline
@@ -60,6 +61,22 @@ def test_components_against_brute_force_similarity(spark):
     assert m.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_rare_shingles_lose_no_pair_and_leave_none_of_a_cloud(spark):
+    """Rows near 0.8 on either side, and a cloud of 0.6: every text has 24 of its 116 shingles to itself, over a ninth."""
+    r = random.Random(5)
+    rows = corpus(r)
+    base = [f"c{i}" for i in range(120)]
+    rows += [(len(rows) + i, " ".join(changed(base, 5, r))) for i in range(200)]
+    d = m.documents(frame(spark, rows))
+    sets = d.select(F.col("doc_id").alias("key"), "doc_key")
+    rare = m._rare(d, sets, sets.select("key")).withColumn("component", F.col("key"))
+    got = {(x.a, x.b) for x in m._pairs(rare, rare, spark.createDataFrame([], "a long, b long")).collect()}
+    own = [shingles(t) for _, t in rows]
+    near = {(i, j) for j in range(len(rows)) for i in range(j) if alike(own[i], own[j])}
+    apart = {i for i in range(len(rows) - 200, len(rows)) if sum(all(x not in own[j] for j in range(len(rows)) if j != i) for x in own[i]) > len(own[i]) / 9}
+    assert near <= got and len(apart) > 150 and not any(i in apart and j in apart for i, j in got)
+
+
 def test_pipeline_stage_drops_what_is_alike(spark):
     rows = corpus(random.Random(8))
     got = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()}
