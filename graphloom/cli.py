@@ -9,6 +9,7 @@ import argparse
 import logging
 import time
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
@@ -47,9 +48,9 @@ def checked(args: argparse.Namespace, p: argparse.ArgumentParser) -> argparse.Na
     return args
 
 
-def outcome(line: str) -> tuple[str | None, int | None, int | None, int | None, str]:
+def outcome(line: str, p: argparse.ArgumentParser | None = None) -> tuple[str | None, int | None, int | None, int | None, str]:
     """(algorithm, trim1, trim2, warp, message) of a line of arguments; the message is ``ok``, or what is wrong, without the choices."""
-    p = parser(_Checking)
+    p = p or parser(_Checking)
     try:
         args = checked(p.parse_args(line.split()), p)
     except _Message as m:
@@ -57,17 +58,27 @@ def outcome(line: str) -> tuple[str | None, int | None, int | None, int | None,
     return args.a, args.p, args.q, args.w, "ok"
 
 
-def outcomes(lines: DataFrame) -> DataFrame:
-    """(line, algorithm, trim1, trim2, warp, message) of each of ``lines`` (line): the arguments of many runs, checked before any begins."""
-    ship(lines.sparkSession)
+#: Lines whose outcome a task keeps, for their repeats.
+KEPT_LINES = 1 << 16
+
+
+def _outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    p = parser(_Checking)  # making one takes longer than a line does
+    of = lru_cache(KEPT_LINES)(lambda line: outcome(line, p))
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    for b in batches:
+        rows = [of(x) for x in b.column("line").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("line"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["line", "algorithm", "trim1", "trim2", "warp", "message"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-        for b in batches:
-            rows = [outcome(x) for x in b.column("line").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("line"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["line", "algorithm", "trim1", "trim2", "warp", "message"])
 
-    return lines.select("line").mapInArrow(run, "line string, algorithm string, trim1 int, trim2 int, warp int, message string")
+def outcomes(lines: DataFrame) -> DataFrame:
+    """(line, algorithm, trim1, trim2, warp, message) of each of ``lines`` (line): the arguments of many runs, checked before any begins.
+
+    Lines are dealt out first: a table in one file would be one task's."""
+    spark = lines.sparkSession
+    ship(spark)
+    dealt = lines.select("line").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(_outcomes, "line string, algorithm string, trim1 int, trim2 int, warp int, message string")
 
 
 def report(row: Row, trimmed: bool) -> list[str]:

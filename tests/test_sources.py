@@ -1,6 +1,7 @@
 import glob
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from reference_model import random_graph, strong
@@ -151,3 +152,17 @@ def test_command_line(spark, made, capsys):
         cli.main(["-a", "d", "-f", "x"])
     with pytest.raises(SystemExit):
         cli.main(["-a", "g", "-f", "x", "-w", "5"])
+
+
+def test_argument_lines_are_dealt_out_and_parsed_by_one_parser_a_task(spark, monkeypatch):
+    lines = ["-a g -f x", "-a q -f x", "-a g -f x", "-a d -f x"] * 50
+    made, first = [], cli.parser
+    monkeypatch.setattr(cli, "parser", lambda *a: made.append(1) or first(*a))
+    batches = (pa.RecordBatch.from_pydict({"line": lines[i : i + 40]}) for i in range(0, len(lines), 40))
+    got = [r for b in cli._outcomes(batches) for r in b.to_pylist()]
+    assert len(made) == 1 and [r["line"] for r in got] == lines
+    assert [r["message"] for r in got[:4]] == ["ok", "argument -a: invalid choice", "ok", "-a d needs --partition"]
+    monkeypatch.undo()
+    one = spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)
+    dealt = cli.outcomes(one)
+    assert dealt.rdd.getNumPartitions() > 1 and sorted(map(str, dealt.collect())) == sorted(str(r) for r in spark.createDataFrame([tuple(g.values()) for g in got], dealt.schema).collect())
