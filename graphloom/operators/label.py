@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.graph import alike
 from graphloom.operators.reach import reachable
 from graphloom.plans.rounds import Record
-from graphloom.plans.scratch import cut, cut_counted, cut_observed, discard
+from graphloom.plans.scratch import cut, cut_counted, cut_observed, discard, met
 
 
 def unique_labels(vertices: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def extreme_reachable(vertices: DataFrame, edges: DataFrame, largest: bool = Fal
     both, best = (F.greatest, F.max) if largest else (F.least, F.min)
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct(), "label-edges")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    labels = propagate(unique_labels(ends), edges, largest)  # vertices without edges keep their own id
+    near = edges.groupBy(F.col("src").alias("id")).agg(best("dst").alias("near"))
+    labels = ends.join(met(near), "id", "left").select("id", both("id", "near").alias("label"))  # vertices without edges keep their own id
     labels, seen = cut_observed(labels.withColumn("changed", F.col("label") != F.col("id")), "label", F.count_if("changed").alias("n"))
     rounds = 1
     while True:
@@ -52,14 +53,11 @@ def extreme_reachable(vertices: DataFrame, edges: DataFrame, largest: bool = Fal
             record.add(round=rounds, changed=seen["n"])
         if not seen["n"]:
             break
-        fresh = labels.where("changed").select(F.col("id").alias("dst"), F.col("label").alias("near"))
-        near = edges.join(fresh, "dst").groupBy(F.col("src").alias("id")).agg(best("near").alias("near"))
+        fresh, n = labels.where("changed").select("id", "label"), seen["n"]
         # A label's own label is news only to a vertex whose label has just changed, or if it has changed itself.
-        ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("ahead"))
-        moved = labels.where("changed").select("id", "label").join(ahead, "label").select("id", "label", "ahead")
-        told = fresh.select(F.col("dst").alias("label"), F.col("near").alias("ahead"))
-        still = labels.where("not changed").select("id", "label").join(told, "label", "left").select("id", "label", F.coalesce("ahead", "label").alias("ahead"))
-        new = moved.union(still).join(near, "id", "left").select("id", "label", both("ahead", "near").alias("new"))
+        news = edges.join(met(fresh.select(F.col("id").alias("dst"), F.col("label").alias("new")), n), "dst").select(F.col("src").alias("id"), "new")
+        news = news.union(_ahead(labels, fresh, n)).groupBy("id").agg(best("new").alias("new"))
+        new = labels.select("id", "label").join(met(news), "id", "left").select("id", "label", both("label", "new").alias("new"))
         new = new.select("id", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed"))
         old = labels
         labels, seen = cut_observed(new, "label", F.count_if("changed").alias("n"))
@@ -70,6 +68,17 @@ def extreme_reachable(vertices: DataFrame, edges: DataFrame, largest: bool = Fal
     return out, rounds
 
 
+def _ahead(labels: DataFrame, fresh: DataFrame, n: int) -> DataFrame:
+    """(id, new): labels of labels that are news: those of the ``n`` vertices of ``fresh`` (id, label), and those that are among ``fresh``
+    themselves. The label that most vertices have is looked up once, and is news only where it has another."""
+    asked = fresh.select(F.col("label").alias("id")).distinct()
+    other = labels.select("id", "label").join(met(asked, n), "id", "left_semi").where("label <> id").select(F.col("id").alias("label"), F.col("label").alias("new"))
+    moved = fresh.join(met(other, n), "label").select("id", "new")
+    told = fresh.select(F.col("id").alias("label"), F.col("label").alias("new"))
+    still = labels.where("not changed").select("id", "label").join(met(told, n), "label").select("id", "new")
+    return moved.union(still)
+
+
 def min_reachable_label(vertices: DataFrame, edges: DataFrame, record: Record | None = None) -> DataFrame:
     """(id, label): the least id reachable. Vertices of one strong component agree, but so may others."""
     return extreme_reachable(vertices, edges, record=record)[0]

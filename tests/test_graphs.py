@@ -9,7 +9,7 @@ from graphloom.operators import graph as g
 from graphloom.operators.chains import chain_ends
 from graphloom.operators.graph import Graph
 from graphloom.operators.pivot import pivots
-from graphloom.plans import pipelines
+from graphloom.plans import pipelines, scratch
 from graphloom.plans.rounds import Record
 
 
@@ -260,3 +260,21 @@ def test_pivots_degrees_tags_and_checks(spark):
 def test_shifted_colors_are_apart(spark):
     state = spark.createDataFrame([(1, 0, 5), (2, 1, 0), (3, 1, 5), (4, 3, 2)], "id long, part long, color long")
     assert pairs(merge.shift_colors(state), "id", "color") == [(1, 5), (2, 6), (3, 11), (4, 3)]
+
+
+def joins_of(monkeypatch, module, work):
+    """The joins of the plans that ``module`` writes with ``cut_observed``, as they are before any has run."""
+    found, write = [], module.cut_observed
+    monkeypatch.setattr(module, "cut_observed", lambda df, *a, **b: found.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a, **b))
+    work()
+    return " ".join(found)
+
+
+def test_rounds_of_labels_broadcast_only_what_is_known_to_be_small(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "FEW", 0)
+    graph = made(spark, 6, cycle(1, 2, 3, 4) + [(5, 1), (4, 6)])
+    for largest, want in ((False, [1, 1, 1, 1, 1, 6]), (True, [6, 6, 6, 6, 6, 6])):
+        out = []
+        plans = joins_of(monkeypatch, label, lambda: out.append(label.extreme_reachable(graph.vertices, graph.edges, largest)[0]))
+        assert "SortMergeJoin" in plans and "BroadcastHashJoin" not in plans
+        assert [x for _, x in pairs(out[0], "id", "label")] == want
