@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.scratch import cut_observed, discard
+from graphloom.plans.scratch import cut_observed, discard, met
 
 
 def chain_ends(pointers: DataFrame, *keys: str) -> tuple[DataFrame, int]:
@@ -20,13 +20,13 @@ def chain_ends(pointers: DataFrame, *keys: str) -> tuple[DataFrame, int]:
     columns = [*keys, "id", "up"]
     own = pointers.select(*columns)
     has = own.select(*keys, F.col("id").alias("up"), F.lit(True).alias("open"))
-    table, seen = cut_observed(own.join(has, [*keys, "up"], "left").select(*columns, F.coalesce("open", F.lit(False)).alias("open")), "chains", F.count_if("open").alias("n"))
+    table, seen = cut_observed(own.join(met(has), [*keys, "up"], "left").select(*columns, F.coalesce("open", F.lit(False)).alias("open")), "chains", F.count_if("open").alias("n"))
     rounds, left = 0, seen["n"]
     while left:
         up = table.select(*keys, F.col("id").alias("up"), F.col("up").alias("far"), F.col("open").alias("still"))
         moved = table.where("open")
         for _ in range(2):  # two jumps of the same length in one job; what has got to an end finds no pointer there
-            moved = moved.join(up, [*keys, "up"], "left").select(*keys, "id", F.coalesce("far", "up").alias("up"), F.coalesce("still", F.lit(False)).alias("open"))
+            moved = moved.join(met(up), [*keys, "up"], "left").select(*keys, "id", F.coalesce("far", "up").alias("up"), F.coalesce("still", F.lit(False)).alias("open"))
         old, before = table, left
         table, seen = cut_observed(table.where("not open").union(moved.select(*table.columns)), "chains", F.count_if("open").alias("n"))
         discard(old)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.chains import chain_ends
 from graphloom.operators.graph import transpose
 from graphloom.plans.rounds import Record
-from graphloom.plans.scratch import bucketed, cut, cut_counted
+from graphloom.plans.scratch import bucketed, cut, cut_counted, met
 
 #: Edges for each bucket, at most as many buckets as partitions.
 BUCKET_EDGES = 100_000
@@ -43,8 +43,8 @@ def _levels(seeds: DataFrame, edges: DataFrame, keys: list[str], patience: int |
         rounds += 1
         visited = spark.table(name)
         frontier = visited.where(F.col("level") == rounds - 1).select(*columns)
-        step = near.join(frontier, columns).select(*keys, F.col("dst").alias("id")).repartition(buckets, *columns).distinct()
-        fresh = step.join(visited.select(*columns), columns, "left_anti").select(*columns, F.lit(rounds).alias("level"))
+        step = near.join(met(frontier, n), columns).select(*keys, F.col("dst").alias("id")).repartition(buckets, *columns).distinct()
+        fresh = step.join(met(visited.select(*columns)), columns, "left_anti").select(*columns, F.lit(rounds).alias("level"))
         _, n = bucketed(fresh, "visited", buckets, columns, name=name, by="level")
         if record is not None:
             record.add(round=rounds, changed=n)

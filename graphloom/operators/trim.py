@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.chains import chain_ends
 from graphloom.plans.rounds import Record
-from graphloom.plans.scratch import cut, cut_counted, cut_observed, discard
+from graphloom.plans.scratch import cut, cut_counted, cut_observed, discard, met
 
 
 def sources(edges: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def _hanging(state: DataFrame, gone: DataFrame, within: bool, without: bool) ->
     of = lambda way, n, x: state.where(F.col(n) == 1).select(F.lit(way).alias("way"), "id", F.col(x).alias("up"))
     i, o = of("i", "n_in", "x_in"), of("o", "n_out", "x_out")
     ends, _ = chain_ends(i.union(o) if within and without else i if within else o, "way")
-    return ends.join(gone.select(F.col("id").alias("up")), "up", "left_semi").select("id")
+    return ends.join(met(gone.select(F.col("id").alias("up"))), "up", "left_semi").select("id")
 
 
 def peel(edges: DataFrame, within: bool = True, without: bool = True, label: str = "peel", chains: bool = True, record: Record | None = None) -> tuple[DataFrame, int]:
@@ -75,17 +75,17 @@ def peel(edges: DataFrame, within: bool = True, without: bool = True, label: str
         gone, removed, rest = state.where(goes).select("id"), seen["gone"], state.where(~goes)
         if chains and rounds >= next_try and seen["gone"] * THIN < seen["left"]:
             gone, removed = cut_counted(gone.union(_hanging(state, gone, within, without)).distinct(), "hanging")
-            rest = state.join(gone, "id", "left_anti")
+            rest = state.join(met(gone, removed), "id", "left_anti")
             wait = PATIENCE if removed > WORTH * seen["gone"] else 2 * wait
             next_try = rounds + wait
         if record is not None:
             record.add(round=rounds, changed=removed, left=seen["left"] - removed)
         if removed == seen["left"]:
             return edges.limit(0), rounds
-        less = losses.join(gone, "id").groupBy(F.col("other").alias("id")).agg(
+        less = losses.join(met(gone, removed), "id").groupBy(F.col("other").alias("id")).agg(
             *(f.alias(f"d_{n}") for w, end in (("i", "in"), ("o", "out")) for n, f in ((f"n_{end}", F.count_if(F.col("way") == w)), (f"x_{end}", F.bit_xor(F.when(F.col("way") == w, F.col("id")).otherwise(F.lit(0).cast("long"))))))
         )
-        rest = rest.join(less, "id", "left")
+        rest = rest.join(met(less), "id", "left")
         zero = F.lit(0).cast("long")
         new = [f(F.col(c), F.coalesce(F.col(f"d_{c}"), zero)).alias(c) for c, f in (("n_in", _minus), ("x_in", _xor), ("n_out", _minus), ("x_out", _xor))]
         old = state
@@ -94,7 +94,7 @@ def peel(edges: DataFrame, within: bool = True, without: bool = True, label: str
         lost += seen["lost"] or 0
         if seen["gone"] and 2 * lost > n_losses:
             old = losses
-            losses, n_losses = cut_counted(losses.join(state.select("id"), "id", "left_semi").join(state.select(F.col("id").alias("other")), "other", "left_semi").select("id", "way", "other"), "losses")
+            losses, n_losses = cut_counted(losses.join(met(state.select("id")), "id", "left_semi").join(met(state.select(F.col("id").alias("other"))), "other", "left_semi").select("id", "way", "other"), "losses")
             discard(old)
             lost = 0
     if record is not None:

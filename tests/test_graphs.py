@@ -278,3 +278,14 @@ def test_rounds_of_labels_broadcast_only_what_is_known_to_be_small(spark, monkey
         plans = joins_of(monkeypatch, label, lambda: out.append(label.extreme_reachable(graph.vertices, graph.edges, largest)[0]))
         assert "SortMergeJoin" in plans and "BroadcastHashJoin" not in plans
         assert [x for _, x in pairs(out[0], "id", "label")] == want
+
+
+def test_rounds_of_trimming_broadcast_only_what_is_known_to_be_small(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "FEW", 0)
+    monkeypatch.setattr(trim, "PATIENCE", 1)
+    monkeypatch.setattr(trim, "THIN", 1)
+    graph = made(spark, 9, cycle(1, 2, 3) + [(i, i + 1) for i in range(3, 9)])
+    out = []
+    plans = joins_of(monkeypatch, trim, lambda: out.append(trim.trim1(graph.edges)[0]))
+    assert "SortMergeJoin" in plans and "BroadcastHashJoin" not in plans
+    assert pairs(out[0], "src", "dst") == sorted(cycle(1, 2, 3))
