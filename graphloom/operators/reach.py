@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from graphloom.operators.chains import chain_ends
 from graphloom.operators.graph import transpose
 from graphloom.plans.rounds import Record
-from graphloom.plans.scratch import bucketed, cut, cut_counted, met
+from graphloom.plans.scratch import bucketed, cut, cut_counted, discard, plain
 
 #: Edges for each bucket, at most as many buckets as partitions.
 BUCKET_EDGES = 100_000
+#: Rows for each bucket up to which a level's joins build hash tables of a bucket instead of sorting both sides.
+HASHED = 200_000
 #: Levels before chains are contracted; twice as many before they are again.
 PATIENCE = 8
 
@@ -29,39 +31,46 @@ def level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
 
 
-def _levels(seeds: DataFrame, edges: DataFrame, keys: list[str], patience: int | None, record: Record | None = None) -> tuple[DataFrame, DataFrame, int, int]:
-    """(visited (keys, id, level), frontier (keys, id), rows of the frontier, rounds); with ``patience``, it may stop before the frontier is empty."""
+def _levels(seeds: DataFrame, edges: DataFrame, keys: list[str], patience: int | None, record: Record | None = None, n_edges: int | None = None) -> tuple[DataFrame, DataFrame, int, int, DataFrame]:
+    """(visited (keys, id, level), frontier (keys, id), rows of the frontier, rounds, edges as written); with ``patience``, it may stop before the
+    frontier is empty. ``n_edges`` says how many edges there are, if that is known; else they are written once more to count them."""
     spark, columns = seeds.sparkSession, [*keys, "id"]
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flat, n_edges = cut_counted(edges.select(*keys, "src", "dst"), "search-edges")
+    flat = edges = edges.select(*keys, "src", "dst")
+    if n_edges is None:
+        flat, n_edges = cut_counted(edges, "search-edges")
     buckets = max(1, min(most, n_edges // BUCKET_EDGES + 1))
     ways, _ = bucketed(flat, "edges", buckets, [*keys, "src"])
+    discard(flat)
     name, n = bucketed(seeds.select(*columns).distinct().withColumn("level", F.lit(0)), "visited", buckets, columns, by="level")
-    rounds = 0
+    rounds, seen = 0, n
     near = spark.table(ways).withColumnRenamed("src", "id")
+    side = lambda table, rows: table.hint("shuffle_hash" if rows <= buckets * HASHED else "merge")  # noqa: E731  neither side is exchanged
     while n and (patience is None or rounds < patience):
         rounds += 1
         visited = spark.table(name)
         frontier = visited.where(F.col("level") == rounds - 1).select(*columns)
-        step = near.join(met(frontier, n), columns).select(*keys, F.col("dst").alias("id")).repartition(buckets, *columns).distinct()
-        fresh = step.join(met(visited.select(*columns)), columns, "left_anti").select(*columns, F.lit(rounds).alias("level"))
-        _, n = bucketed(fresh, "visited", buckets, columns, name=name, by="level")
+        step = near.join(side(frontier, n), columns).select(*keys, F.col("dst").alias("id")).repartition(buckets, *columns).distinct()
+        fresh = step.join(side(visited.select(*columns), seen), columns, "left_anti").select(*columns, F.lit(rounds).alias("level"))
+        with plain(spark):
+            _, n = bucketed(fresh, "visited", buckets, columns, name=name, by="level")
+        seen += n
         if record is not None:
             record.add(round=rounds, changed=n)
     visited = spark.table(name).select(*columns, F.col("level").cast("long").alias("level"))
-    return visited, visited.where(F.col("level") == rounds).select(*columns), n, rounds
+    return visited, visited.where(F.col("level") == rounds).select(*columns), n, rounds, near.withColumnRenamed("id", "src")
 
 
 def search(seeds: DataFrame, edges: DataFrame, keys: list[str], record: Record | None = None) -> tuple[DataFrame, int]:
     """((keys, id, level), rounds) of all that ``seeds`` (keys, id) reach over edges (keys, src, dst), seeds included."""
-    found, _, _, rounds = _levels(seeds, edges, keys, None, record)
+    found, _, _, rounds, _ = _levels(seeds, edges, keys, None, record)
     return found, rounds
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str], patience: int = PATIENCE, record: Record | None = None) -> tuple[DataFrame, int]:
-    """((keys, id), rounds): as ``search``, without levels, in rounds that grow with the logarithm of a chain."""
+def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str], patience: int = PATIENCE, record: Record | None = None, n_edges: int | None = None) -> tuple[DataFrame, int]:
+    """((keys, id), rounds): as ``search``, without levels, in rounds that grow with the logarithm of a chain. ``n_edges``: see ``_levels``."""
     columns = [*keys, "id"]
-    found, frontier, n, rounds = _levels(seeds, edges, keys, patience, record)
+    found, frontier, n, rounds, edges = _levels(seeds, edges, keys, patience, record, n_edges)
     found = found.select(*columns)
     if not n:
         return found, rounds
@@ -72,8 +81,8 @@ def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str], patience: int
     ends, more = chain_ends(cut(single, "single"), *keys)
     to = ends.select(*keys, F.col("id").alias("src"), F.col("up").alias("end"))
     kept = rest.withColumn("id", F.col("dst")).join(single, columns, "left_anti").join(to, [*keys, "src"], "left")
-    kept = cut(kept.select(*keys, F.coalesce("end", "src").alias("src"), "dst").distinct(), "contracted")
-    further, again = reachable(frontier, kept, keys, 2 * patience, record)
+    kept, n_kept = cut_counted(kept.select(*keys, F.coalesce("end", "src").alias("src"), "dst").distinct(), "contracted")
+    further, again = reachable(frontier, kept, keys, 2 * patience, record, n_kept)
     further = cut(further, "further")
     hanging = ends.join(further.withColumnRenamed("id", "up"), [*keys, "up"], "left_semi").select(*columns)
     return found.union(further.join(frontier, columns, "left_anti").select(*columns)).union(hanging), rounds + more + again
@@ -89,9 +98,10 @@ def reach_all(seeds: DataFrame, edges: DataFrame, backward: bool = False) -> Dat
     return reachable(seeds.select("id"), transpose(edges) if backward else edges, [])[0]
 
 
-def reach_both(seeds: DataFrame, edges: DataFrame, record: Record | None = None) -> tuple[DataFrame, int]:
-    """((id, fwd, bwd), rounds): both searches at once, one job for a level of each."""
-    ways = edges.select(F.lit("f").alias("way"), "src", "dst").union(transpose(edges).select(F.lit("b"), "src", "dst"))
+def reach_both(seeds: DataFrame, edges: DataFrame, record: Record | None = None, n_edges: int | None = None) -> tuple[DataFrame, int]:
+    """((id, fwd, bwd), rounds): both searches at once, one job for a level of each. ``n_edges`` says how many edges there are, if that is known."""
+    ends = F.array(F.struct(F.lit("f").alias("way"), "src", "dst"), F.struct(F.lit("b").alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ways = edges.select(F.explode(ends).alias("e")).select("e.*")
     starts = seeds.select("id", F.explode(F.array(F.lit("f"), F.lit("b"))).alias("way"))
-    found, rounds = reachable(starts, cut(ways, "ways"), ["way"], record=record)
+    found, rounds = reachable(starts, ways, ["way"], record=record, n_edges=None if n_edges is None else 2 * n_edges)
     return found.groupBy("id").agg(F.max(F.col("way") == "f").alias("fwd"), F.max(F.col("way") == "b").alias("bwd")), rounds

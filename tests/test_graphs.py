@@ -270,6 +270,21 @@ def joins_of(monkeypatch, module, work):
     return " ".join(found)
 
 
+def test_a_level_is_one_job_and_sorts_only_what_does_not_fit(spark, monkeypatch):
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 2), (6, 1)], "src long, dst long")
+    plans, write = [], reach.bucketed
+    monkeypatch.setattr(reach, "bucketed", lambda df, *a, **b: b.get("name") and plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a, **b))
+    for hashed, join in ((reach.HASHED, "ShuffledHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(reach, "HASHED", hashed)
+        plans.clear()
+        found, rounds = reach.search(spark.createDataFrame([(1,)], "id long"), edges, [])
+        assert pairs(found, "id", "level") == [(1, 0), (2, 1), (3, 2), (4, 3)] and rounds == len(plans) == 4
+        for p in plans:
+            assert p.count(f"{join} ") == 2 and p.count("Exchange") == 1 and "AdaptiveSparkPlan" not in p and "BroadcastHashJoin" not in p
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_rounds_of_labels_broadcast_only_what_is_known_to_be_small(spark, monkeypatch):
     monkeypatch.setattr(scratch, "FEW", 0)
     graph = made(spark, 6, cycle(1, 2, 3, 4) + [(5, 1), (4, 6)])
