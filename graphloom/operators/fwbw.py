@@ -10,7 +10,7 @@ from graphloom.operators.graph import alike, among
 from graphloom.operators.pivot import pivots
 from graphloom.operators.reach import reach_both
 from graphloom.plans.rounds import Record
-from graphloom.plans.scratch import cut, cut_counted
+from graphloom.plans.scratch import cut, cut_counted, cut_observed, discard
 
 
 def color_update(state: DataFrame, found: DataFrame, chosen: DataFrame, *keys: str) -> DataFrame:
@@ -31,10 +31,15 @@ def color_update(state: DataFrame, found: DataFrame, chosen: DataFrame, *keys: s
 
 def split(state: DataFrame, edges: DataFrame, scores: DataFrame, *keys: str, record: Record | None = None) -> tuple[DataFrame, int]:
     """``color_update`` of one pivot's search in every group of ``state`` (id, keys), or in all of it."""
+    return split_inside(state, alike(edges, state, *keys) if keys else among(edges, state), scores, *keys, record=record)[:2]
+
+
+def split_inside(state: DataFrame, inside: DataFrame, scores: DataFrame, *keys: str, record: Record | None = None, n_edges: int | None = None) -> tuple[DataFrame, int, int]:
+    """(rows of ``split``, rounds, unfinished vertices), with the edges that are inside groups, and their number, if known."""
     chosen = cut(pivots(state, scores, *keys), "pivots")
-    inside = alike(edges, state, *keys) if keys else among(edges, state)
-    found, rounds = reach_both(chosen.select(F.col("pivot").alias("id")), inside, record)
-    return cut(color_update(state, found, chosen, *keys), "split"), rounds
+    found, rounds = reach_both(chosen.select(F.col("pivot").alias("id")), inside, record, n_edges)
+    after, seen = cut_observed(color_update(state, found, chosen, *keys), "split", F.count_if(~F.col("finished")).alias("left"))
+    return after, rounds, seen["left"]
 
 
 def fw_bw(state: DataFrame, edges: DataFrame, scores: DataFrame, *keys: str, record: Record | None = None) -> tuple[DataFrame, list[int]]:
@@ -44,11 +49,14 @@ def fw_bw(state: DataFrame, edges: DataFrame, scores: DataFrame, *keys: str, rec
     done, rounds = [], []
     state, n = cut_counted(state.select("id", *keys), "state")
     while n:
-        edges = cut(alike(edges, state, *keys), "active-edges")
-        after, r = split(state, edges, scores, *keys, record=record)
+        old = edges
+        edges, n_edges = cut_counted(alike(edges, state, *keys), "active-edges")
+        if rounds:  # the first are the caller's
+            discard(old)
+        after, r, n = split_inside(state, edges, scores, *keys, record=record, n_edges=n_edges)
         rounds.append(r)
         done.append(after.where("finished").select("id", "component"))
-        state, n = cut_counted(after.where("not finished").select("id", *keys), "state")
+        state = after.where("not finished").select("id", *keys)
     out = state.select("id", F.lit(0).cast("long").alias("component"))  # empty
     for d in done:
         out = out.union(d)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.fwbw import canonical, fw_bw, split
+from graphloom.operators.fwbw import canonical, fw_bw, split_inside
 from graphloom.operators.graph import Graph, alike, among, degrees
 from graphloom.operators.label import color_components, max_color, min_reachable_label
 from graphloom.operators.merge import condensation_edges, local_components, merged_components  # noqa: F401  (condensation_edges: callers know it by this module)
@@ -80,7 +80,7 @@ class _Run:
         self.finish(pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("id"), F.col("a").alias("component")), "trim2")
 
     def first_pivot(self) -> int:
-        after, rounds = split(self.state.select("id"), self.edges, self.scores, record=self.record)
+        after, rounds, _ = split_inside(self.state.select("id"), self.edges, self.scores, record=self.record)
         self.state = after.select("id", "color")
         self.finish(after.where("finished").select("id", "component"), "pivot")
         return rounds

@@ -4,7 +4,7 @@ import pytest
 from reference_model import random_graph, reachable, strong
 
 from graphloom.functions.tags import TAG_BITS, has_tag, packed_tag
-from graphloom.operators import closure, label, merge, reach, trim
+from graphloom.operators import closure, fwbw, label, merge, reach, trim
 from graphloom.operators import graph as g
 from graphloom.operators.chains import chain_ends
 from graphloom.operators.graph import Graph
@@ -285,6 +285,16 @@ def test_a_level_is_one_job_and_sorts_only_what_does_not_fit(spark, monkeypatch)
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
 
 
+def test_a_split_finds_its_edges_once(spark, monkeypatch):
+    found, find = [], fwbw.alike
+    monkeypatch.setattr(fwbw, "alike", lambda *a: found.append(a) or find(*a))
+    graph = made(spark, 7, cycle(1, 2, 3) + cycle(4, 5) + [(3, 4), (5, 6)])
+    state = graph.vertices.selectExpr("id", "0L as color")
+    done, rounds = fwbw.fw_bw(state, graph.edges, g.degrees(graph), "color")
+    assert len(found) == len(rounds) > 1
+    assert pairs(fwbw.canonical(done), "id", "component") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7)]
+
+
 def test_rounds_of_labels_broadcast_only_what_is_known_to_be_small(spark, monkeypatch):
     monkeypatch.setattr(scratch, "FEW", 0)
     graph = made(spark, 6, cycle(1, 2, 3, 4) + [(5, 1), (4, 6)])
