@@ -97,7 +97,7 @@ def color_roots(colors: DataFrame) -> DataFrame:
 def color_components(colors: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): what each root reaches inside its color, which is its strong component."""
     inside = alike(edges, colors.withColumnRenamed("label", "color"), "color")
-    found, _ = reachable(color_roots(colors), cut(inside, "inside"), [])
+    found, _ = reachable(color_roots(colors), inside, [])
     return found.select("id").join(colors, "id").select("id", F.col("label").alias("component"))
 
 

@@ -245,12 +245,12 @@ def color_update(graph):
 
 @query("a", "select distinct d as id from r where s in (select pv from pp)", INSIDE, PART_PIVOTS, closure("inner_e"))
 def fwd_reach_local(graph):
-    return reach.reach_all(_part_pivots(graph), cut(g.inside_parts(graph)))
+    return reach.reach_all(_part_pivots(graph), g.inside_parts(graph))
 
 
 @query("a", "select distinct s as id from r where d in (select pv from pp)", INSIDE, PART_PIVOTS, closure("inner_e"))
 def bwd_reach_local(graph):
-    return reach.reach_all(_part_pivots(graph), cut(g.inside_parts(graph)), backward=True)
+    return reach.reach_all(_part_pivots(graph), g.inside_parts(graph), backward=True)
 
 
 @query("a", "select s, d from r", INSIDE, closure("inner_e"))
