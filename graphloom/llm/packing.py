@@ -12,7 +12,6 @@ Null and empty texts are documents of the end id alone. Every row is packed, rep
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,6 +21,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,57 +30,100 @@ from graphloom.llm.common import cut, documents, table
 CAPACITY, END_ID = 4096, 1
 #: Pieces a partition holds on average; its packing is done in one task.
 PART_PIECES = 100_000
-#: What a worker remembers at most; then it forgets all of the kind.
-CACHED_CHUNKS, CACHED_WORDS, CACHED_LENGTH = 600_000, 600_000, 64
+#: Bytes of texts that are encoded at once, rows of them whose ids are put together at once.
+TEXT_BYTES, ROWS = 16 << 20, 500
+#: Words that a worker remembers at most, each of so many bytes at most.
+CACHED_WORDS, CACHED_LENGTH = 1_000_000, 64
+
+
+def taken(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sequences that lie in ``flat`` one after the other, those of ``index``, and their lengths."""
+    n = lengths[index]
+    starts, before = (np.cumsum(lengths) - lengths)[index], np.cumsum(n) - n
+    return flat[np.repeat(starts - before, n) + np.arange(int(n.sum()))], n
 
 
 class Encoder:
     """Little-endian uint32 ids of texts.
 
     The tokenizer drops white space and looks at nothing across it, so the ids of the chunks between spaces and
-    line ends, remembered, make up those of a text. A chunk of plain Latin letters and ASCII marks after them is
-    two of the tokenizer's words, whatever its case, which are remembered too.
+    line ends make up those of a text. A chunk of plain Latin letters and ASCII marks after them is two of the
+    tokenizer's words, whatever its case. Arrow finds a batch's distinct chunks and words; only words that are not
+    remembered go to the tokenizer, many in one text, where the token that ends a word tells them apart.
     """
 
-    PLAIN = re.compile(r"([a-zà-öø-ÿœß]+)([!-&(-/:-@\[-`{-~]*)")
+    PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿŒœŸß]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+    WORD = r"^([a-zà-öø-ÿœß]+|[!-&(-/:-@\[-`{-~]+)$"
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.seen: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
-        for at in range(0, len(chunks), 4000):
-            some = chunks[at : at + 4000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                yield c, array("I", e.ids).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.known, self.ids, self.lengths = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all the words, and how many each has."""
+        ids, lengths = array("I"), []
+        for at in range(0, len(words), 4000):
+            for e in self.tokenizer.encode_batch_fast(words[at : at + 4000], add_special_tokens=False):
+                ids.extend(e.ids)
+                lengths.append(len(e.ids))
+        return np.array(ids, "<u4"), np.array(lengths, np.int64)
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``one_by_one`` of what are single words to the tokenizer."""
+        ids = array("I")
+        for at in range(0, len(words), 500):
+            for e in self.tokenizer.encode_batch_fast([" ".join(words[at : at + 500])], add_special_tokens=False):
+                ids.extend(e.ids)
+        flat = np.array(ids, "<u4")
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        # Every word has one end at least, so as many ends as words are one for each.
+        return (flat, np.diff(ends, prepend=0)) if len(ends) == len(words) else self.one_by_one(words)
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and how many each has."""
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(at.is_null())
+        single = pc.match_substring_regex(new, self.WORD)
+        new = pa.concat_arrays([new.filter(single), new.filter(pc.invert(single))])
+        n = pc.sum(single).as_py() or 0
+        found = self.joined(new[:n].to_pylist()), self.one_by_one(new[n:].to_pylist())
+        known = pa.concat_arrays([self.known, new])
+        ids, lengths = (np.concatenate(x) for x in ((self.ids, found[0][0], found[1][0]), (self.lengths, found[0][1], found[1][1])))
+        flat, own = taken(ids, lengths, pc.index_in(words, value_set=known).to_numpy())
+        if len(known) > CACHED_WORDS:
+            known, ids, lengths = words, flat, own
+        short = pc.less_equal(pc.binary_length(known), CACHED_LENGTH).to_numpy(zero_copy_only=False)
+        short[CACHED_WORDS:] = False
+        self.ids, self.lengths = (ids, lengths) if short.all() else taken(ids, lengths, np.flatnonzero(short))
+        self.known = known if short.all() else known.filter(pa.array(short))
+        return flat, own
+
+    def encoded(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; none is null."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        starts, chunks = split.offsets.to_numpy(), split.values.dictionary_encode()
+        distinct, at = chunks.dictionary, chunks.indices.to_numpy()
+        parts = pc.extract_regex(distinct, self.PLAIN)
+        letters, marks = (pc.struct_field(parts, i) for i in (0, 1))
+        words = pa.concat_arrays([pc.coalesce(pc.utf8_lower(letters), distinct), pc.coalesce(marks, pa.scalar(""))]).dictionary_encode()
+        both = words.indices.to_numpy().reshape(2, -1).T.ravel()  # a chunk's two words, chunk after chunk
+        flat, n = taken(*self.of_words(words.dictionary), both)
+        n = n.reshape(-1, 2).sum(axis=1)
+        for k in range(0, len(texts), ROWS):
+            own = starts[k : k + ROWS + 1]
+            ids, each = taken(flat, n, at[own[0] : own[-1]])
+            ends = np.concatenate(([0], np.cumsum(each)))[own - own[0]].tolist()
+            yield from (ids[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > CACHED_CHUNKS:
-            self.seen = {}
-        if len(self.words) > CACHED_WORDS:
-            self.words = {"": b""}
-        seen, words = self.seen, self.words
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {c for p in parts for c in p if c not in seen}
-        plain, others = [], []
-        for c in new:
-            if len(c) <= CACHED_LENGTH and (m := self.PLAIN.fullmatch(c.lower())):
-                plain.append((c, *m.groups()))
-            else:
-                others.append(c)
-        words.update(self.encoded(list({w for _, *both in plain for w in both if w not in words})))
-        for c, letters, marks in plain:
-            seen[c] = words[letters] + words[marks]
-        passing = {}
-        for c, ids in self.encoded(others):
-            (seen if len(c) <= CACHED_LENGTH else passing)[c] = ids
-        if passing:
-            return [b"".join([passing[c] if c in passing else seen[c] for c in p]) for p in parts]
-        return [b"".join([seen[c] for c in p]) for p in parts]
+        return list(self.encoded(pa.array(texts, pa.string())))
 
 
 @lru_cache(2)
@@ -89,6 +132,19 @@ def encoder(tokenizer_file: str) -> Encoder:
     return Encoder(tokenizer_file)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about TEXT_BYTES."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > TEXT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_key, piece, start, length, ids_crc32[, ids]) of each text's pieces; ids are bytes of uint32."""
     names = ["doc_id", "doc_key", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -96,13 +152,16 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, step = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for b in batches:
+        for b in gathered(batches):
             rows = []
-            for d, k, ids in zip(b.column("doc_id").to_pylist(), b.column("doc_key").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
+            for d, k, ids in zip(b.column("doc_id").to_pylist(), b.column("doc_key").to_pylist(), encode.encoded(b.column("text")), strict=True):
                 ids += end
                 for n, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((d, k, n, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
+                if len(rows) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
+                    rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
 

@@ -3,9 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from fixtures import awkward, frame
 from tokenizers import Tokenizer
 
+from graphloom.llm import packing
 from graphloom.llm.common import cut
 from graphloom.llm.packing import Encoder, best_fit, lower_bound, pack, pieces
 
@@ -77,3 +79,31 @@ def test_bound_never_exceeds_the_optimum():
         assert lower_bound(np.array(lengths), capacity) <= least <= len(fills)
         assert fills.max() <= capacity and sum(fills) == sum(lengths)
     assert lower_bound(np.array([6, 6, 6, 4]), 10) == 3
+
+
+def test_words_are_encoded_once_and_many_in_one_text(monkeypatch):
+    """One text for hundreds of new words, none for known ones; forgetting changes no ids."""
+    t, e, sent = Tokenizer.from_file(FILE), Encoder(FILE), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return t.encode_batch_fast(texts, **more)
+
+    e.tokenizer = Counted()
+    texts = [f"{chr(97 + i % 26)}word{chr(97 + i // 26)}... Mixed, ÉTÉ!? {'x' * 70} {i % 9} <|endoftext|>\n" for i in range(300)] + [""]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for cached, most in ((10**6, 12), (10**6, 1), (40, 1), (0, 12), (0, 12)):
+        monkeypatch.setattr(packing, "CACHED_WORDS", cached)
+        sent.clear()
+        assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == want
+        assert 0 < len(sent) <= most
+        assert len(e.known) <= cached
+
+
+def test_gathered_batches_keep_rows_and_order(monkeypatch):
+    monkeypatch.setattr(packing, "TEXT_BYTES", 300)
+    batches = [pa.RecordBatch.from_arrays([pa.array(["abc" * (i % 40)] * (i % 4), pa.string())], ["text"]) for i in range(50)]
+    rows = [b.column("text").to_pylist() for b in packing.gathered(iter(batches))]
+    assert sum(rows, []) == [x for b in batches for x in b.column("text").to_pylist()]
+    assert 3 < len(rows) < 50
