@@ -3,8 +3,8 @@
 All n-grams of 1 to ``max_words`` words are exploded into rows, one length after the other, and counted per language. Before its rows
 are aggregated, a length leaves out those whose first or last n - 1 words were too rare, which no candidate and no part of one can be: parts
 of a phrase are at least as frequent as the phrase. What was frequent is told by ``SLOTS`` hash slots, a broadcast whose size does
-not grow with the data: a rare phrase in the slot of a frequent one is only counted in vain. What is left is counted by codes of 32 bits
-first, and then, where a code is frequent, by phrase; only counts of ``least`` or more are kept.
+not grow with the data: a rare phrase in the slot of a frequent one is only counted in vain. What is left of two and three words is counted
+by codes of 32 bits first, and then, where a code is frequent, by phrase; only counts of ``least`` or more are kept.
 
 Counts of both sides of every cut are joined to the candidates, scores are exact (decimals of 38 digits, integral division: an
 error is raised beyond them, none is rounded), and candidates that a phrase of one more word stands for are anti-joined. One word more is
@@ -17,16 +17,18 @@ read. An empty table, or one without frequent phrases, gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ascii_lower, cut, discard, table
 
 LEAST, MAX_WORDS, SHARE, TOP = 100, 5, 100, 2_000
-#: Hash slots that tell what was frequent: at most so many longs are broadcast.
+#: Hash slots that tell what was frequent, a power of two: at most so many longs are broadcast.
 SLOTS = 1 << 20
-#: Phrases of so many words are counted by code first; of longer ones, few pass the filter by their parts.
-CODED = 3
+#: Phrases of so many words are counted by code first; of longer ones, few pass the filter by their parts, and words are few and short.
+CODED = (2, 3)
+#: Bits of a code; the lowest and the highest twenty tell its slots.
+CODE_BITS, SLOT_SHIFTS = 32, (0, 12)
 #: Slices of a language that are ranked by themselves.
 SLICES = 64
 #: Words that a row of exploded pieces holds at most, beside those that its last phrases need.
@@ -36,11 +38,15 @@ PIECE_WORDS = 10_000
 def pieces(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, words, own): the words of each piece. Long pieces come in parts: the first ``own`` words are a part's, and those after them,
     max_words - 1 at most, begin the next."""
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    text, piece = F.coalesce(F.col(text_col), F.lit("")), F.col("piece")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
     d = docs.select(lang, F.explode(F.split(text, r"[.,;:!?\n-\r]+", -1)).alias("piece"))
-    d = d.select("lang", F.split(F.btrim("piece", F.lit(" \t")), "[ \t]+", -1).alias("all")).where("all[0] <> ''")
-    starts = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PIECE_WORDS).cast("int"))
+    d = d.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
+    lower = F.when(F.lower(piece) == piece, piece).otherwise(ascii_lower(piece))
+    # A single space needs no regular expression.
+    one = ~F.contains(piece, F.lit("  ")) & ~F.contains(piece, F.lit("\t"))
+    d = d.select("lang", F.when(one, F.split(lower, " ", -1)).otherwise(F.split(lower, "[ \t]+", -1)).alias("all"))
+    starts = F.when(F.size("all") <= PIECE_WORDS, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PIECE_WORDS).cast("int")))
     d = d.select("lang", "all", F.explode(starts).alias("at"))
     words = F.when(F.size("all") <= PIECE_WORDS, F.col("all")).otherwise(F.slice("all", F.col("at") * PIECE_WORDS + 1, F.lit(PIECE_WORDS + max_words - 1)))
     own = F.least(F.size("all") - F.col("at") * PIECE_WORDS, F.lit(PIECE_WORDS))
@@ -55,31 +61,42 @@ def _phrases(found: DataFrame, n: int) -> DataFrame:
     return rows.toDF("lang", *(f"w{k}" for k in range(1, n + 1)))
 
 
-def _among(rows: DataFrame, name: str, of: DataFrame, salt: int) -> DataFrame:
-    """The rows whose column may be one of a column of ``of``: told by its hash slot, at most SLOTS of them whatever the data."""
-    slot = lambda c: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(SLOTS))
-    slots = F.broadcast(cut(of.select(slot(F.col(of.columns[0])).alias("slot")).distinct(), "slots"))
-    return rows.withColumn("slot", slot(F.col(name))).join(slots, "slot", "left_semi").drop("slot")
+def _slot(h: Column, shift: int) -> Column:
+    return F.shiftright(h, shift).bitwiseAND(F.lit(SLOTS - 1))
+
+
+def _slots(of: DataFrame, shift: int = 0) -> DataFrame:
+    """The slots of a column of hashes, at most SLOTS of them whatever the data."""
+    return F.broadcast(cut(of.select(_slot(F.col(of.columns[0]), shift).alias("slot")).distinct(), "slots"))
+
+
+def _among(rows: DataFrame, h: Column, slots: DataFrame, shift: int = 0) -> DataFrame:
+    """The rows whose hash may be one of those that ``slots`` were made of."""
+    return rows.withColumn("slot", _slot(h, shift)).join(slots, "slot", "left_semi").drop("slot")
 
 
 def frequent(found: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS) -> list[DataFrame]:
     """(lang, phrase, f) of the phrases of 1, 2, ... words that occur ``least`` times or more in ``pieces``.
 
-    Codes of 32 bits are counted first, which are few bytes to shuffle; phrases themselves only where their code is frequent. Of
-    more than CODED words phrases are counted at once."""
+    Of two and three words, codes of 32 bits are counted first, which are few bytes to shuffle; phrases themselves only where their code is
+    frequent, which is looked at before their parts, as it leaves least. Others are counted at once."""
     out: list[DataFrame] = []
     for n in range(1, max_words + 1):
         rows, names = _phrases(found, n), [F.col(f"w{k}") for k in range(1, n + 1)]
+        parts = []
         if n > 1:
-            parts = F.split("phrase", " ")
-            known = out[-1].select(F.xxhash64("lang", *(parts[k] for k in range(n - 1))))
-            for k, part in enumerate((names[:-1], names[1:])):
-                rows = _among(rows.withColumn(f"part{k}", F.xxhash64("lang", *part)), f"part{k}", known, 0)
-        if n <= CODED:
-            rows = rows.select("lang", *(f"w{k}" for k in range(1, n + 1)), F.pmod(F.xxhash64("lang", *names), F.lit(1 << 32)).alias("code"))
-            codes = cut(rows.groupBy("code").agg(F.count("*").alias("f")).where(F.col("f") >= least).select("code"), "codes")
-            for salt in (1, 2):
-                rows = _among(rows, "code", codes, salt)
+            words = F.split("phrase", " ")
+            known = _slots(out[-1].select(F.xxhash64("lang", *(words[k] for k in range(n - 1)))))
+            parts = [(F.xxhash64("lang", *part), known) for part in (names[:-1], names[1:])]
+        if n in CODED:
+            code, likely = F.xxhash64("lang", *names).bitwiseAND(F.lit((1 << CODE_BITS) - 1)), rows
+            for part in parts:
+                likely = _among(likely, *part)
+            codes = cut(likely.groupBy(code.alias("code")).agg(F.count("*").alias("f")).where(F.col("f") >= least).select("code"), "codes")
+            for shift in SLOT_SHIFTS:
+                rows = _among(rows, code, _slots(codes, shift), shift)
+        for part in parts:
+            rows = _among(rows, *part)
         counts = rows.select("lang", F.concat_ws(" ", *names).alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
         out.append(cut(counts.where(F.col("f") >= least), f"phrases-{n}"))
     return out

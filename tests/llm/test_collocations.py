@@ -53,6 +53,16 @@ def test_against_brute_force(spark, monkeypatch, least, max_words, share, top, p
     assert got == want and len(want) > 15
 
 
+def test_tables_of_a_run(spark, monkeypatch):
+    """Words are counted at once, and what was frequent is told to both parts of a phrase by one table."""
+    written, cut = [], m.cut
+    monkeypatch.setattr(m, "cut", lambda df, name: written.append(name) or cut(df, name))
+    docs = spark.createDataFrame([("Éa b\t c  d e f, ÉA B ẞ İ A\u0130",)] * 3 + [("ÉA É\u00a0B",), (" , A\t",)], "text string").selectExpr("text", "'en' as lang")
+    got = sorted(map(tuple, m.collocations(docs, 2).collect()))
+    assert got == brute([(r.text, r.lang) for r in docs.collect()], 2) and len(got) > 3
+    assert (written.count("codes"), written.count("slots")) == (2, 8)
+
+
 def test_large_numbers_and_no_rows(spark):
     assert m.collocations(spark.createDataFrame([], "text string, lang string"), 1).count() == 0
     assert m.collocations(spark.createDataFrame([("a b", "en")], "text string, lang string"), 2).count() == 0
