@@ -45,6 +45,8 @@ BEGINNINGS = (4, 5, 6)
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 5, 4.0, 4_000
 #: Standard errors that a word feature needs in the labelled documents to be looked at at all.
 SCREEN_Z = 2.0
+#: Bits of a hash by which its features are counted apart.
+RANGE_BITS = 4
 #: Stretches between white space that a worker remembers, and the longest of them.
 CACHED_CHUNKS, CACHED_LENGTH = 500_000, 40
 
@@ -165,13 +167,17 @@ def _least(documents: int) -> int:
 
 
 def vocabulary(words: list[np.ndarray], labels: list[np.ndarray]) -> np.ndarray:
-    """The features (hashes) that are frequent enough and tell anything of one of the targets; labels may be NaN."""
+    """The features (hashes) that are frequent enough and tell anything of one of the targets; labels may be NaN.
+
+    Occurrences are sorted a range of hashes at a time: all at once they would take a quarter of a GB of the driver."""
     out = [np.zeros(0, np.uint32)]
-    for y in labels:
-        told = np.flatnonzero(~np.isnan(y))
-        if len(told):
-            names, n, z, _ = _deviations([words[i] for i in told], y[told])
-            out.append(names[(n >= _least(len(told))) & (z >= SCREEN_Z)])
+    for part in range(1 << RANGE_BITS):
+        own = [w[w >> (32 - RANGE_BITS) == part] for w in words]
+        for y in labels:
+            told = np.flatnonzero(~np.isnan(y))
+            if len(told):
+                names, n, z, _ = _deviations([own[i] for i in told], y[told])
+                out.append(names[(n >= _least(len(told))) & (z >= SCREEN_Z)])
     return np.unique(np.concatenate(out))
 
 
