@@ -34,16 +34,22 @@ def jump(labels: DataFrame) -> DataFrame:
     return labels.join(ahead, "label").select("id", F.col("ahead").alias("label"))
 
 
-def extreme_reachable(vertices: DataFrame, edges: DataFrame, largest: bool = False, record: Record | None = None) -> tuple[DataFrame, int]:
+def extreme_reachable(vertices: DataFrame, edges: DataFrame, largest: bool = False, record: Record | None = None, within: bool = False) -> tuple[DataFrame, int]:
     """((id, label), rounds): the least (or largest) id that each vertex reaches over edges, itself included.
 
     A round is one job over the labels of the round before: a vertex takes the best of its own label, of those
     out-neighbours whose labels have just changed, and of its label's label. A label is always reached, and so is all
     that the label reaches: jumping is right for directed edges too. The edges that are looked at shrink to those of
-    vertices that still change; it ends with the round in which none did."""
+    vertices that still change; it ends with the round in which none did.
+
+    An end of an edge may be none of ``vertices``. It is a vertex like any other then; with ``within`` it only lends its id to the first round, and
+    a vertex whose label is no vertex, or has left, has nothing to jump to and leaves in the next round."""
     both, best = (F.greatest, F.max) if largest else (F.least, F.min)
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct(), "label-edges")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    if within:
+        own, kept = cut_counted(ends.join(vertices.select("id").distinct(), "id", "left_semi"), "ends")
+        within, ends = kept < ends.count(), own  # where all ends are vertices, none ever leaves
     near = edges.groupBy(F.col("src").alias("id")).agg(best("dst").alias("near"))
     labels = ends.join(met(near), "id", "left").select("id", both("id", "near").alias("label"))  # vertices without edges keep their own id
     labels, seen = cut_observed(labels.withColumn("changed", F.col("label") != F.col("id")), "label", F.count_if("changed").alias("n"))
@@ -58,6 +64,9 @@ def extreme_reachable(vertices: DataFrame, edges: DataFrame, largest: bool = Fal
         news = edges.join(met(fresh.select(F.col("id").alias("dst"), F.col("label").alias("new")), n), "dst").select(F.col("src").alias("id"), "new")
         news = news.union(_ahead(labels, fresh, n)).groupBy("id").agg(best("new").alias("new"))
         new = labels.select("id", "label").join(met(news), "id", "left").select("id", "label", both("label", "new").alias("new"))
+        if within:  # only a label that has just changed can be gone: one that stays is its own
+            gone = fresh.select("label").distinct().join(met(labels.select(F.col("id").alias("label"))), "label", "left_anti")
+            new = new.join(met(gone, n), "label", "left_anti")
         new = new.select("id", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed"))
         old = labels
         labels, seen = cut_observed(new, "label", F.count_if("changed").alias("n"))

@@ -521,9 +521,9 @@ def _label_rounds(most: int) -> tuple[str, ...]:
 
 @query("a", "select round::bigint as round, changed::bigint as changed from counts where round <= (select min(round) from counts where changed = 0)", *_label_rounds(60))
 def label_rounds(graph):
-    """How many labels each round changes; the last changes none."""
+    """How many labels each round changes; the last changes none. An order may lead to no customer: whose label that is leaves."""
     record = Record()
-    label.min_reachable_label(graph.vertices, graph.edges, record)
+    label.extreme_reachable(graph.vertices, graph.edges, record=record, within=True)
     return record.table(graph.vertices.sparkSession).select("round", "changed")
 
 

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from reference_model import random_graph, reachable, strong
 
@@ -10,6 +11,7 @@ from graphloom.operators.chains import chain_ends
 from graphloom.operators.graph import Graph
 from graphloom.operators.pivot import pivots
 from graphloom.plans import pipelines, scratch
+from graphloom.plans.queries import QUERIES, SQL
 from graphloom.plans.rounds import Record
 
 
@@ -314,3 +316,16 @@ def test_rounds_of_trimming_broadcast_only_what_is_known_to_be_small(spark, monk
     plans = joins_of(monkeypatch, trim, lambda: out.append(trim.trim1(graph.edges)[0]))
     assert "SortMergeJoin" in plans and "BroadcastHashJoin" not in plans
     assert pairs(out[0], "src", "dst") == sorted(cycle(1, 2, 3))
+
+
+def test_rounds_of_labels_where_edges_end_at_no_vertex(spark, tmp_path):
+    """6 -> 5 -> 4 -> 2, and no customer makes the vertex 2."""
+    spark.createDataFrame([(c - 1,) for c in (1, 3, 4, 5, 6)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, src - 1, "1-URGENT", "F") for k, src in ((4, 4), (2, 5), (1, 6))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for table in ("customer", "orders"):
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    want = con.execute(SQL["label_rounds"]).fetchall()
+    assert sorted(want) == [(1, 3), (2, 2), (3, 0)]
+    assert pairs(QUERIES["label_rounds"](spark, str(tmp_path)), "round", "changed") == sorted(want)
