@@ -5,6 +5,7 @@ Each returns (id, component, kind): component is the smallest id of the componen
 
 from __future__ import annotations
 
+import functools
 import logging
 import time
 from collections.abc import Callable
@@ -19,7 +20,7 @@ from graphloom.operators.label import color_components, max_color, min_reachable
 from graphloom.operators.merge import condensation_edges, local_components, merged_components  # noqa: F401  (condensation_edges: callers know it by this module)
 from graphloom.operators.trim import trim1, trim1_survivors, trim2
 from graphloom.plans.rounds import Record
-from graphloom.plans.scratch import cut, discard
+from graphloom.plans.scratch import cut, discard, measured
 
 log = logging.getLogger(__name__)
 
@@ -116,6 +117,18 @@ class _Run:
         return Result(cut(named.join(out.select("id", "kind"), "id"), "components"), self.phases, self.record)
 
 
+def _measured(pipeline: Callable[..., Result]) -> Callable[..., Result]:
+    """A pipeline whose jobs, all of them its own, broadcast only what is measured."""
+
+    @functools.wraps(pipeline)
+    def run(graph: Graph, *args: bool, **options: bool) -> Result:
+        with measured(graph.vertices.sparkSession):
+            return pipeline(graph, *args, **options)
+
+    return run
+
+
+@_measured
 def hong(graph: Graph, use_trim1: bool = True, use_trim2: bool = True) -> Result:
     """Trim, take out the component of the vertex of the largest degree product, trim, decompose by reachable labels,
     and split the rest by forward-backward search of all labels at once."""

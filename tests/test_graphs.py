@@ -329,3 +329,19 @@ def test_rounds_of_labels_where_edges_end_at_no_vertex(spark, tmp_path):
     want = con.execute(SQL["label_rounds"]).fetchall()
     assert sorted(want) == [(1, 3), (2, 2), (3, 0)]
     assert pairs(QUERIES["label_rounds"](spark, str(tmp_path)), "round", "changed") == sorted(want)
+
+
+@pytest.mark.parametrize("run", [pipelines.hong])
+def test_pipelines_broadcast_only_what_is_measured(spark, monkeypatch, run):
+    """Tables of a few rows and so few bytes: none is broadcast for its files' size, and the session is left as it was."""
+    keys = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = [spark.conf.get(k, None) for k in keys]
+    monkeypatch.setattr(scratch, "FEW", 0)
+    monkeypatch.setattr(scratch, "SMALL", 0)
+    graph = made(spark, 7, cycle(1, 2, 3) + cycle(4, 5) + [(3, 4), (5, 6)], [0, 1, 0, 1, 1, 0, 0])
+    plans, write = [], pipelines.cut
+    monkeypatch.setattr(pipelines, "cut", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a))
+    components = run(graph).components
+    assert "SortMergeJoin" in " ".join(plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert pairs(components, "id", "component") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7)]
+    assert [spark.conf.get(k, None) for k in keys] == before
