@@ -147,6 +147,7 @@ def hong(graph: Graph, use_trim1: bool = True, use_trim2: bool = True) -> Result
     return run.result()
 
 
+@_measured
 def slota(graph: Graph, use_trim1: bool = True) -> Result:
     """One pass of trimming, the component of the first pivot, and coloring for the rest."""
     run = _Run(graph)
