@@ -14,7 +14,7 @@ from graphloom.functions.tags import buddy
 from graphloom.operators.graph import Graph, alike, cut_edges
 from graphloom.operators.label import color_components, max_color
 from graphloom.operators.trim import peel_survivors, trim1, trim1_survivors
-from graphloom.plans.scratch import cut, cut_counted
+from graphloom.plans.scratch import cut, cut_counted, measured
 
 
 def nontrivial_components(edges: DataFrame) -> DataFrame:
@@ -71,13 +71,14 @@ def merge_level(components: DataFrame, edges: DataFrame, parts: DataFrame) -> Da
 
 def merged_components(graph: Graph, local: DataFrame | None = None) -> tuple[DataFrame, list[int]]:
     """((id, component), components after each level): local components merged until one part is left."""
-    found, n = cut_counted((local_components(graph) if local is None else local).distinct(), "merged")
-    parts = cut(graph.parts, "parts")
-    sizes = [found.select("component").distinct().count()] if n else []
-    while parts.agg(F.count_distinct("part") > 1).first()[0]:
-        parts = cut(next_parts(parts), "parts")
-        found = cut(merge_level(found, graph.edges, parts), "merged")
-        sizes.append(found.select("component").distinct().count())
+    with measured(graph.vertices.sparkSession):
+        found, n = cut_counted((local_components(graph) if local is None else local).distinct(), "merged")
+        parts = cut(graph.parts, "parts")
+        sizes = [found.select("component").distinct().count()] if n else []
+        while parts.agg(F.count_distinct("part") > 1).first()[0]:
+            parts = cut(next_parts(parts), "parts")
+            found = cut(merge_level(found, graph.edges, parts), "merged")
+            sizes.append(found.select("component").distinct().count())
     return found, sizes
 
 

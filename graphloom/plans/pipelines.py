@@ -158,6 +158,7 @@ def slota(graph: Graph, use_trim1: bool = True) -> Result:
     return run.result()
 
 
+@_measured
 def partitioned(graph: Graph, use_trim1: bool = True, use_trim2: bool = True) -> Result:
     """Trim, find components inside each part, and merge parts pair by pair."""
     if graph.parts is None:

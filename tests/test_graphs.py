@@ -331,7 +331,7 @@ def test_rounds_of_labels_where_edges_end_at_no_vertex(spark, tmp_path):
     assert pairs(QUERIES["label_rounds"](spark, str(tmp_path)), "round", "changed") == sorted(want)
 
 
-@pytest.mark.parametrize("run", [pipelines.hong, pipelines.slota])
+@pytest.mark.parametrize("run", [pipelines.hong, pipelines.slota, pipelines.partitioned])
 def test_pipelines_broadcast_only_what_is_measured(spark, monkeypatch, run):
     """Tables of a few rows and so few bytes: none is broadcast for its files' size, and the session is left as it was."""
     keys = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
